@@ -11,7 +11,7 @@ import unicodedata
 import urllib.parse
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
 def is_utf8(charset: str | None) -> bool:
@@ -27,7 +27,7 @@ def known_charset(charset: str) -> bool:
         return False
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 
@@ -41,7 +41,7 @@ def _strip_marks(text: str) -> str:
     return unicodedata.normalize("NFC", bare)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without_marks(values: pd.Series) -> pd.Series:
     return values.map(_strip_marks, na_action="ignore")
 
@@ -50,7 +50,7 @@ def remove_diacritics(c: Column) -> Column:
     return F.when(c.rlike(r"[^\x00-\x7F]"), _without_marks(c)).otherwise(c)
 
 
-@F.pandas_udf("struct<body:string,error:string>")
+@F.pandas_udf(T.StructType([T.StructField("body", T.StringType()), T.StructField("error", T.StringType())]))
 def _decoded(raw: pd.Series, charset: pd.Series) -> pd.DataFrame:
     def one(data, name):
         if data is None:
@@ -79,7 +79,7 @@ def percent_encode_in(charset: str):
     def quote(text: str) -> str:
         return urllib.parse.quote_plus(text.encode(codec, errors="xmlcharrefreplace"), safe="-_.~")
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def encode(pairs: pd.Series) -> pd.Series:
         return pairs.map(lambda ps: "&".join(f"{quote(p['k'])}={quote(p['v'])}" for p in ps))
 
@@ -89,7 +89,7 @@ def percent_encode_in(charset: str):
 def url_encode_in(charset: str):
     codec = codecs.lookup(charset.strip()).name
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def encode(values: pd.Series) -> pd.Series:
         return values.map(
             lambda v: urllib.parse.quote_plus(v.encode(codec, errors="xmlcharrefreplace"), safe="-_.!*()").replace("~", "%7E"),
@@ -102,7 +102,7 @@ def url_encode_in(charset: str):
 def url_decode_in(charset: str):
     codec = codecs.lookup(charset.strip()).name
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def decode(values: pd.Series) -> pd.Series:
         return values.map(lambda v: urllib.parse.unquote_to_bytes(v.replace("+", " ")).decode(codec, "replace"), na_action="ignore")
 
