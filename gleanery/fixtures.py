@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleanery.operators import taxonomy
 from gleanery.operators.listings import identity, merge_rows
-from gleanery.session import literal_table
+from gleanery.session import literal_table, shared_path
 
 SEQ = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
@@ -94,12 +94,30 @@ def sightings(spark: SparkSession, sf_dir: str, with_categories: bool = True) ->
     ).withColumn("identity", identity())
 
 
-def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The merged catalogue; `id` is the first sighting's place in SEQ order, as a struct."""
+def merged_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue merged from all sightings; `id` is the first sighting's place in SEQ order, as a struct."""
     seen = sightings(spark, sf_dir).withColumn("id", F.struct(*SEQ)).drop("search_key")
     return merge_rows(seen, SEQ, id_col="id").drop(*SEQ)
 
 
+_CATALOGUES: dict[tuple[str, str], str] = {}
+
+
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored catalogue: merged once per application, written to the shared folder, read by every search.
+
+    Rows are clustered by source and date, so a search over named sources or recent dates
+    skips row groups by their min/max.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CATALOGUES:
+        path = shared_path(spark, "catalogue")
+        merged = merged_listings(spark, sf_dir).repartitionByRange("tracker", "identity")
+        merged.sortWithinPartitions("tracker", "published").write.parquet(path)
+        _CATALOGUES[key] = path
+    return spark.read.parquet(_CATALOGUES[key])
+
+
 def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Provenance: managed sightings were produced by the search named by their return flag."""
     return (

@@ -218,14 +218,19 @@ def _json(pages: DataFrame, search: Mapping, env: TemplateEnv, now, charset) ->
 # --- fields -----------------------------------------------------------------------------
 
 
-def _carry_headers(rows: DataFrame, header_rule: Mapping, env: TemplateEnv, now, charset) -> DataFrame:
+def carry_headers(rows: DataFrame, header: Column, out: str, page: str = "page_id", order: str = "row_no") -> DataFrame:
+    """The latest non-NULL header at or above each row of its page. A page is bounded by the body cap."""
+    above = W.partitionBy(page).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn(out, F.last(header, ignorenulls=True).over(above))
+
+
+def _date_headers(rows: DataFrame, header_rule: Mapping, env: TemplateEnv, now, charset) -> DataFrame:
     """__header of a date-header row, and __date: the header above a row of the same page."""
     text = F.col("__row.header")
     is_header = F.coalesce(coerce.trim_space(text) != "", F.lit(False))
     lenient = TemplateEnv(env.config, {}, env.query, env.keywords, env.categories, env.now, strict=False)
     dated = apply_chain(F.when(is_header, text), header_rule["filters"], lenient, now, charset)
-    above = W.partitionBy("page_id").orderBy("row_no").rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("__header", is_header).withColumn("__date", F.last(dated, ignorenulls=True).over(above))
+    return carry_headers(rows.withColumn("__header", is_header), dated, "__date")
 
 
 def _read_fields(rows: DataFrame, search: Mapping, env: TemplateEnv, now, charset) -> tuple[DataFrame, dict[str, str], list[Column]]:
@@ -294,7 +299,7 @@ def extract_rows(
 
     header_rule = search["rows"].get("dateheaders")
     if header_rule:
-        rows = _carry_headers(rows, header_rule, env, now, charset)
+        rows = _date_headers(rows, header_rule, env, now, charset)
     rows, result, reasons = _read_fields(rows, search, env, now, charset)
     if header_rule and "date" in result:
         own = F.col(result["date"])

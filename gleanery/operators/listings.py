@@ -50,7 +50,8 @@ def merge_rows(sightings: DataFrame, order: Sequence[str], id_col: str | None =
     if id_col:
         held = F.when(F.col(id_col).isNotNull(), F.struct(at.alias("at"), F.col(id_col).alias("value")))
         aggs.append(F.min(held).alias("first_id"))
-    merged = sightings.groupBy(*KEY).agg(*aggs)
+    # The leading 64-bit hash gives the sort a numeric prefix; long strings then rarely meet.
+    merged = sightings.groupBy(F.xxhash64(*KEY).alias("__hash"), *KEY).agg(*aggs)
     restored = {
         "published": F.col("dated.value"),
         "search_managed": F.col("search_managed"),

@@ -240,18 +240,16 @@ def search_many(
     hit_shelves = asked.join(shelves, "tag").filter(fits).select("sig", *shelf, "n")
 
     totals = hit_groups.select("sig", "n").unionByName(hit_shelves.select("sig", "n")).groupBy("sig").agg(F.sum("n").alias("total"))
+    by_row = [F.col(f"row.{c}").desc_nulls_last() for c in order]
     shelf_tops = (
-        rows.select(*shelf, F.struct(*carried).alias("row"), F.row_number().over(W.partitionBy(*shelf).orderBy(*newest)).alias("r"))
-        .filter(F.col("r") <= depth)
-        .drop("r")
+        tops.withColumn("r", F.row_number().over(W.partitionBy(*shelf).orderBy(*by_row))).filter(F.col("r") <= depth).drop("r")
     )
     found = (
         hit_groups.join(tops.drop("r"), group).select("sig", "row")
         .unionByName(hit_shelves.join(shelf_tops, shelf).select("sig", "row"))
     )
-    best = [F.col(f"row.{c}").desc_nulls_last() for c in order]
     ranked = (
-        found.withColumn("rank", F.row_number().over(W.partitionBy("sig").orderBy(*best)))
+        found.withColumn("rank", F.row_number().over(W.partitionBy("sig").orderBy(*by_row)))
         .filter(F.col("rank") <= depth)
         .join(totals, "sig")
     )

@@ -158,24 +158,21 @@ def map_categories(
     return result.withColumn(out, ids).drop(*drop)
 
 
-def children_of(tax: DataFrame) -> DataFrame:
-    """parent id -> the known ids strictly inside its group (an equi-join replaces the range join)."""
-    return (
-        tax.filter(F.col("id") != F.col("parent_id"))
-        .groupBy(F.col("parent_id").alias("parent"))
-        .agg(F.collect_set(F.col("id").cast("string")).alias("children"))
-    )
+def _groups() -> Column:
+    """Constant map: whole-group id -> the known ids strictly inside it, as text."""
+    parts = []
+    for parent in sorted({i for i in STANDARD_CATEGORIES.values() if i % GROUP_SIZE == 0}):
+        inside = sorted(i for i in STANDARD_CATEGORIES.values() if parent < i < parent + GROUP_SIZE)
+        parts += [F.lit(parent), F.array(*[F.lit(str(i)) for i in inside])]
+    return F.create_map(*parts)
 
 
-def expand_categories(requests: DataFrame, tax: DataFrame, col: str = "categories", out: str = "expanded") -> DataFrame:
+def expand_categories(requests: DataFrame, col: str = "categories", out: str = "expanded") -> DataFrame:
     """Requested ids (text) plus every known id of a requested whole group, distinct, sorted as text.
 
-    The 71-row taxonomy becomes one constant map, so requests need neither explode nor shuffle.
+    The fixed taxonomy is one constant map, so requests need neither explode nor shuffle.
     """
-    rows = children_of(tax)
-    table = F.map_from_entries(F.array_agg(F.struct(F.col("parent").alias("k"), F.col("children").alias("v"))))
-    groups = rows.agg(table.alias("groups")).select("groups").scalar()
-    nothing = F.array().cast("array<string>")
+    groups, nothing = _groups(), F.array().cast("array<string>")
 
     def group_of(c: Column) -> Column:
         number = F.when(c.rlike(r"^[+-]?[0-9]+$"), c.try_cast("int"))
@@ -195,9 +192,9 @@ def site_categories(
     """
     known = resolved_mappings(mappings, tax)
     targets = known.select(
-        "source", "ordinal", "cat_id", F.explode(F.array_compact(F.array("std_id", "custom_id"))).cast("string").alias("wanted")
+        "source", "ordinal", "cat_id", F.explode(F.array_compact(F.array("std_id", "custom_id")).cast("array<string>")).alias("wanted")
     )
-    wanted = expand_categories(requests, tax, col, "__expanded").select(key, "source", F.explode("__expanded").alias("wanted"))
+    wanted = expand_categories(requests, col, "__expanded").select(key, "source", F.explode("__expanded").alias("wanted"))
     hits = (
         wanted.join(targets, ["source", "wanted"])
         .groupBy(key, "source")
