@@ -127,9 +127,10 @@ def episode(season_col: Column, ep: Column) -> Column:
 
 def keywords() -> Column:
     """The text a source is asked for: query, artist, album, track, author, title, episode."""
-    parts = [F.nullif(F.col(c), F.lit("")) for c in ("query", "artist", "album", "track", "author", "title")]
-    parts.append(F.nullif(episode(F.col("season"), F.col("ep")), F.lit("")))
-    return trim_space(F.concat_ws(" ", *parts))
+    text = F.col("query")
+    for name in ("artist", "album", "track", "author", "title"):
+        text = F.when(F.col(name) != "", trim_space(F.concat(text, F.lit(" "), F.col(name)))).otherwise(text)
+    return trim_space(F.concat(text, F.lit(" "), episode(F.col("season"), F.col("ep"))))
 
 
 def search_terms() -> Column:
