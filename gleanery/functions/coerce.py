@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from gleanery.functions.bind import let
+
 # Unicode white space, as a regex class body.
 SPACE = r"\t\n\x0B\f\r \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
@@ -78,18 +80,22 @@ def peer_count(c: Column) -> Column:
     return F.when(value < PEER_LIMIT, value).otherwise(F.lit(0)).cast("int")
 
 
+def _unit_scale(letters: Column) -> Column:
+    """Bytes of the unit named: the longest known spelling contained wins, no letters are bytes."""
+    by_length = sorted(SIZE_UNITS, key=lambda unit: (-len(unit), unit))
+    scale = reduce(
+        lambda rest, unit: F.when(F.contains(letters, F.lit(unit)), F.lit(1024.0 ** SIZE_UNITS[unit])).otherwise(rest),
+        reversed(by_length),
+        F.lit(None).cast("double"),
+    )
+    return F.when(letters == "", F.lit(1.0)).otherwise(scale)
+
+
 def parse_size_or_null(c: Column) -> Column:
     """Bytes, or NULL when there is no number or no known unit."""
     number = _decimal(keep_numeric(c))
     letters = F.regexp_replace(F.lower(c), r"[^\p{L}]|i", "")
-    by_length = sorted(SIZE_UNITS, key=lambda unit: (-len(unit), unit))
-    exponent = reduce(
-        lambda rest, unit: F.when(F.contains(letters, F.lit(unit)), F.lit(SIZE_UNITS[unit])).otherwise(rest),
-        reversed(by_length),
-        F.lit(None).cast("int"),
-    )
-    scale = F.when(letters == "", F.lit(1.0)).otherwise(F.pow(F.lit(1024.0), exponent))
-    return (number * scale).try_cast("bigint")
+    return (number * let(letters, _unit_scale)).try_cast("bigint")
 
 
 def parse_size(c: Column) -> Column:

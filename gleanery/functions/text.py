@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from gleanery.functions.bind import let
 from gleanery.functions.coerce import trim_space
 
 
@@ -11,17 +12,22 @@ def torrent_filename(name: Column) -> Column:
     """A conservative file name: unsafe characters become _, at most 150 bytes before the suffix."""
     cleaned = F.btrim(trim_space(F.regexp_replace(name, r"[^\p{L}\p{N} .,_+()\[\]-]", "_")), F.lit("."))
     cleaned = F.when(cleaned == "", F.lit("torrent")).otherwise(cleaned)
-    # A cut inside a multi-byte character decodes to a trailing replacement character.
-    cut = F.decode(F.substring(F.encode(cleaned, "UTF-8"), 1, 150), "UTF-8")
-    cut = F.regexp_replace(F.regexp_replace(cut, "\uFFFD+$", ""), "[. ]+$", "")
-    return F.concat(F.when(F.octet_length(cleaned) > 150, cut).otherwise(cleaned), F.lit(".torrent"))
+    return F.concat(let(cleaned, _at_most_150_bytes), F.lit(".torrent"))
+
+
+def _at_most_150_bytes(name: Column) -> Column:
+    def cut(head: Column) -> Column:
+        fitting = F.filter(F.sequence(F.lit(1), F.lit(150)), lambda i: F.octet_length(F.substr(head, F.lit(1), i)) <= 150)
+        return F.regexp_replace(F.substr(head, F.lit(1), F.array_max(fitting)), "[. ]+$", "")
+
+    return F.when(F.octet_length(name) > 150, let(F.substring(name, 1, 150), cut)).otherwise(name)
 
 
 def human_bytes(n: Column) -> Column:
-    out = F.format_string("%.2f EB", n / F.lit(1024.0**6))
+    out = F.format_string("%.2f EB", F.bround(n / F.lit(1024.0**6), 2))
     for power, unit in reversed(list(enumerate(["KB", "MB", "GB", "TB", "PB"], start=1))):
         value = n / F.lit(1024.0**power)
-        out = F.when(value < 1024, F.format_string(f"%.2f {unit}", value)).otherwise(out)
+        out = F.when(value < 1024, F.format_string(f"%.2f {unit}", F.bround(value, 2))).otherwise(out)
     return F.when(n < 1024, F.format_string("%d B", n)).otherwise(out)
 
 
@@ -36,7 +42,7 @@ def human_duration(seconds: Column) -> Column:
         .when(s < 3600, whole(60, "m"))
         .when(s < 86_400, whole(3600, "h"))
         .when(s < 365 * 86_400, whole(86_400, "d"))
-        .otherwise(F.format_string("%.1fy", s / F.lit(365.0 * 86_400)))
+        .otherwise(F.format_string("%.1fy", F.bround(s / F.lit(365.0 * 86_400), 1)))
     )
 
 

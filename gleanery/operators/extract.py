@@ -7,12 +7,13 @@ by source and each source's rules read only that source's files.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gleanery.functions import coerce, jsonpath
+from gleanery.functions.bind import let
 from gleanery.functions.chain import apply_chain
 from gleanery.functions.dates import parse_unknown
 from gleanery.functions.nodes import shred
@@ -26,11 +27,6 @@ from gleanery.sources.pages import no_results, preprocess
 PAGE = ["page_id", "source", "url"]
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind a value once inside an expression."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _constant(text: str, env: TemplateEnv) -> str:
     rendered = template_col(text, env)
     if not isinstance(rendered, str):

@@ -24,6 +24,8 @@ def build_session(cores: int | str = "*", app: str = "gleanery", memory: str = "
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Rule chains build thousands of Columns; recording a call site for each costs more than planning them.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
