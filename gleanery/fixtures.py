@@ -51,9 +51,9 @@ def category_mappings(spark: SparkSession, source: str = "shop") -> DataFrame:
     return literal_table(spark, rows, taxonomy.MAPPING_COLUMNS)
 
 
-def sightings(spark: SparkSession, sf_dir: str, with_categories: bool = True) -> DataFrame:
-    """One row per lineitem: one sighting of a listing. Later in SEQ order wins."""
-    li = table(spark, sf_dir, "lineitem")
+def sightings(spark: SparkSession, sf_dir: str, with_categories: bool = True, lines: DataFrame | None = None) -> DataFrame:
+    """One row per lineitem (batch or stream): one sighting of a listing. Later in SEQ order wins."""
+    li = table(spark, sf_dir, "lineitem") if lines is None else lines
     part = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"), "p_type", F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("name")
     )
@@ -100,6 +100,25 @@ def merged_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_rows(seen, SEQ, id_col="id").drop(*SEQ)
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table as a file stream."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}*.parquet")
+
+
+def store_batch(seen: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """Sightings with their order as the long columns a store merge wants, and those columns' names."""
+    order = {
+        "o_day": F.unix_seconds(F.col("l_shipdate").cast("timestamp")),
+        "o_order": F.col("l_orderkey"),
+        "o_line": F.col("l_linenumber").cast("bigint"),
+        "o_part": F.col("l_partkey"),
+        "o_supp": F.col("l_suppkey"),
+        "o_price": F.round(F.col("l_extendedprice") * 100).cast("bigint"),
+    }
+    kept = [c for c in seen.columns if c not in SEQ and c not in ("search_key", "search_managed", "last_seen", "identity")]
+    return seen.select(*kept, *[c.alias(n) for n, c in order.items()]), tuple(order)
+
+
 _CATALOGUES: dict[tuple[str, str], str] = {}
 
 

@@ -15,7 +15,7 @@ MAX_REQUEST_GAP = 60
 
 
 def plus_seconds(ts: Column, seconds: Column) -> Column:
-    return F.timestamp_micros(F.unix_micros(ts) + F.round(seconds * 1_000_000).cast("bigint"))
+    return F.timestamp_micros(F.unix_micros(ts) + F.round(seconds.cast("double") * 1_000_000).cast("bigint"))
 
 
 def failure_streak(attempts: DataFrame, order: tuple[str, ...] = ("started", "attempt_id")) -> DataFrame:

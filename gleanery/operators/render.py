@@ -153,8 +153,9 @@ def enrich(listings: DataFrame, sources: DataFrame, mappings: DataFrame, tax: Da
         listings.join(owner, "tracker", "left")
         .withColumn("tracker_name", F.coalesce("__name", "tracker"))
         .withColumn("tracker_type", F.coalesce("tracker_type", F.lit("")))
-        .withColumn("category_desc", category_desc(names.scalar()))
-        .drop("__name")
+        .withColumn("__names", names.scalar())
+        .withColumn("category_desc", category_desc(F.col("__names")))
+        .drop("__name", "__names")
     )
 
 

@@ -89,7 +89,7 @@ search:
 @query(
     "html_paragraphs",
     r"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
-      p AS (SELECT page_id, unnest(list_slice(string_split(body, '<p>'), 2, NULL)) AS t FROM a),
+      p AS (SELECT page_id, unnest(string_split(body, '<p>')[2:]) AS t FROM a),
       c AS (SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), ' ' || chr(10) || chr(9) || chr(13)) AS t FROM p)
       SELECT page_id, count(*) AS paragraphs, sum(length(t))::BIGINT AS chars FROM c WHERE t != '' GROUP BY page_id""",
 )

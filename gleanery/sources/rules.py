@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 RULES = "path string, size bigint, modified timestamp, id string, document string, error string"
 
@@ -162,8 +162,11 @@ def _files(spark: SparkSession, path: str) -> DataFrame | None:
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, modified, id, document JSON, error): a broken file has an error and hides no other."""
     files = _files(spark, path)
-    if files is None:
-        return spark.createDataFrame([], RULES)
+    return spark.createDataFrame([], RULES) if files is None else parse_rules(files)
+
+
+def parse_rules(files: DataFrame) -> DataFrame:
+    """read_rules over files already at hand as (path, length, modificationTime, content)."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -202,13 +205,12 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
 
 def reject_duplicate_ids(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(usable rules, errors): an id two files share makes both unusable."""
-    counted = rules.withColumn("__n", F.count("id").over(W.partitionBy("id")))
-    clash = F.col("id").isNotNull() & (F.col("__n") > 1)
+    parsed = rules.filter(F.col("id").isNotNull())
+    clashing = parsed.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
     message = F.concat(F.lit('duplicate tracker id "'), F.col("id"), F.lit('"'))
-    return (
-        counted.filter(F.col("id").isNotNull() & ~clash).drop("__n"),
-        counted.filter(clash | F.col("error").isNotNull()).select("path", F.coalesce("error", message).alias("error")),
-    )
+    duplicates = parsed.join(clashing, "id", "left_semi").select("path", message.alias("error"))
+    broken = rules.filter(F.col("error").isNotNull()).select("path", "error")
+    return parsed.join(clashing, "id", "left_anti").select(*rules.columns), broken.unionByName(duplicates)
 
 
 def last_good(versions: DataFrame) -> DataFrame:

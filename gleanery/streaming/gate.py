@@ -16,11 +16,13 @@ def _ordered(chunks: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(frames).sort_values(["ts", "request_id"], kind="stable")
 
 
-def gate_stream(requests: DataFrame, interval: float = REPEAT_INTERVAL, idle_seconds: int = 86_400) -> DataFrame:
+def gate_stream(requests: DataFrame, interval: float = REPEAT_INTERVAL, idle_seconds: int | None = 86_400) -> DataFrame:
     """accepted per request: a repeat of (source, key) within the interval of the last accepted
     success is answered from the store. requests: request_id, source, key, ts, ok.
 
-    State is one timestamp per live key, dropped after a long idle time. One micro-batch
+    State is one timestamp per live key, dropped after idle_seconds. Pass None under an
+    availableNow trigger: a processing-time timeout asks for another batch for ever, so such
+    a run would never end. One micro-batch
     of one key is sorted in a task; the trigger bounds how much that is.
     """
 
@@ -39,7 +41,8 @@ def gate_stream(requests: DataFrame, interval: float = REPEAT_INTERVAL, idle_sec
             accepted.append(go)
         if last is not None:
             state.update((last,))
-            state.setTimeoutDuration(int(max(interval, idle_seconds) * 1000))
+            if idle_seconds is not None:
+                state.setTimeoutDuration(int(max(interval, idle_seconds) * 1000))
         yield pd.DataFrame({"request_id": pdf.request_id, "source": key[0], "key": key[1], "accepted": accepted})
 
     return requests.groupBy("source", "key").applyInPandasWithState(
@@ -47,16 +50,18 @@ def gate_stream(requests: DataFrame, interval: float = REPEAT_INTERVAL, idle_sec
         "request_id bigint, source string, key string, accepted boolean",
         "last bigint",
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
-def pace_stream(requests: DataFrame, spacing: float = SPACING, max_wait: float = MAX_WAIT) -> DataFrame:
+def pace_stream(
+    requests: DataFrame, spacing: float = SPACING, max_wait: float = MAX_WAIT, idle_seconds: int | None = 86_400
+) -> DataFrame:
     """decision and wait_ms per request of a source: backoff after failures, one slot per `spacing`,
     and no queue longer than max_wait. requests: request_id, source, ts, ok, seconds.
 
     A failure raises the backoff (5 s doubled per failure in a row, at most ten minutes); a
-    success clears it.
+    success clears it. idle_seconds as in gate_stream.
     """
 
     def decide(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -83,7 +88,8 @@ def pace_stream(requests: DataFrame, spacing: float = SPACING, max_wait: float =
                     wait = min(REPEAT_INTERVAL * 2 ** min(failures, 8), MAX_BACKOFF)
                     next_allowed = max(next_allowed, start + int((row.seconds + wait) * 1_000_000))
         state.update((next_allowed, failures))
-        state.setTimeoutDuration(MAX_BACKOFF * 2 * 1000)
+        if idle_seconds is not None:
+            state.setTimeoutDuration(idle_seconds * 1000)
         decisions = pd.DataFrame(out, columns=["decision", "wait_ms"])
         yield pd.DataFrame(
             {"request_id": pdf.request_id.values, "source": key[0], "decision": decisions.decision, "wait_ms": decisions.wait_ms}
@@ -94,5 +100,5 @@ def pace_stream(requests: DataFrame, spacing: float = SPACING, max_wait: float =
         "request_id bigint, source string, decision string, wait_ms bigint",
         "next_allowed bigint, failures int",
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
