@@ -46,6 +46,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in one file, spread over the cores for CPU-heavy projections; a table that
+    already comes in enough splits is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def category_mappings(spark: SparkSession, source: str = "shop") -> DataFrame:
     rows = [(source, o, i, c, d, flag) for o, i, c, d, flag in TYPE_MAPPINGS]
     return literal_table(spark, rows, taxonomy.MAPPING_COLUMNS)
@@ -186,7 +193,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured pages: source is the host of the address."""
-    pages = table(spark, sf_dir, "pages")
+    pages = spread(table(spark, sf_dir, "pages"))
     return pages.select(
         "page_id",
         F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("source"),

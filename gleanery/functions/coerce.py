@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
-from gleanery.functions.bind import let
-
 # Unicode white space, as a regex class body.
 SPACE = r"\t\n\x0B\f\r \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
@@ -57,7 +53,7 @@ def keep_numeric(c: Column) -> Column:
 def _decimal(kept: Column) -> Column:
     point = F.regexp_replace(F.translate(kept, ",", "."), r"\.(?=.*\.)", "")
     value = point.try_cast("double")
-    return F.when(F.abs(value) != F.lit(float("inf")), value)
+    return F.nullif(value, F.lit(float("inf")))
 
 
 def coerce_long(c: Column) -> Column:
@@ -80,22 +76,19 @@ def peer_count(c: Column) -> Column:
     return F.when(value < PEER_LIMIT, value).otherwise(F.lit(0)).cast("int")
 
 
-def _unit_scale(letters: Column) -> Column:
-    """Bytes of the unit named: the longest known spelling contained wins, no letters are bytes."""
-    by_length = sorted(SIZE_UNITS, key=lambda unit: (-len(unit), unit))
-    scale = reduce(
-        lambda rest, unit: F.when(F.contains(letters, F.lit(unit)), F.lit(1024.0 ** SIZE_UNITS[unit])).otherwise(rest),
-        reversed(by_length),
-        F.lit(None).cast("double"),
-    )
-    return F.when(letters == "", F.lit(1.0)).otherwise(scale)
-
-
 def parse_size_or_null(c: Column) -> Column:
-    """Bytes, or NULL when there is no number or no known unit."""
+    """Bytes, or NULL when there is no number or no known unit.
+
+    The alternatives of one pattern are tried in order, so the longest known unit contained
+    anywhere wins; no letters at all mean bytes.
+    """
     number = _decimal(keep_numeric(c))
     letters = F.regexp_replace(F.lower(c), r"[^\p{L}]|i", "")
-    return (number * let(letters, _unit_scale)).try_cast("bigint")
+    by_length = sorted(SIZE_UNITS, key=lambda unit: (-len(unit), unit))
+    pattern = "|".join(f"^.*({unit}).*$" for unit in by_length)
+    unit = F.regexp_replace(letters, pattern, "".join(f"${n + 1}" for n in range(len(by_length))))
+    scales = [part for name, power in {**SIZE_UNITS, "": 0}.items() for part in (F.lit(name), F.lit(1024.0**power))]
+    return (number * F.try_element_at(F.create_map(*scales), unit)).try_cast("bigint")
 
 
 def parse_size(c: Column) -> Column:

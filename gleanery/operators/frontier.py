@@ -57,10 +57,13 @@ def plan_frontier(requests: DataFrame, sources: DataFrame, paths: DataFrame, ren
     requests: request_id, source, site_categories and whatever `rendered` (the path as a
     Column, default the path text itself) and `form` (the encoded form) read.
     """
-    planned = plan_paths(requests, paths).join(
-        candidate_mirrors(sources).select("source", F.col("ordinal").alias("mirror_ordinal"), "mirror"), "source"
-    )
-    addressed = planned.withColumn("url", request_url(F.col("mirror"), rendered if rendered is not None else F.col("path")))
+    mirrors = candidate_mirrors(sources).select("source", F.col("ordinal").alias("mirror_ordinal"), "mirror")
+    if rendered is None:
+        # The address does not depend on the request: resolve it once per source, path and mirror.
+        addresses = paths.join(mirrors, "source").withColumn("url", request_url(F.col("mirror"), F.col("path")))
+        addressed = plan_paths(requests, addresses)
+    else:
+        addressed = plan_paths(requests, paths).join(mirrors, "source").withColumn("url", request_url(F.col("mirror"), rendered))
     addressed = addressed.withColumn("form", form if form is not None else F.lit(""))
     return dedup_gets(addressed)
 

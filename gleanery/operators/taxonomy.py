@@ -183,23 +183,27 @@ def expand_categories(requests: DataFrame, col: str = "categories", out: str = "
 
 
 def site_categories(
-    requests: DataFrame, mappings: DataFrame, tax: DataFrame, key: str = "request_id", col: str = "categories"
+    requests: DataFrame, mappings: DataFrame, tax: DataFrame, col: str = "categories"
 ) -> DataFrame:
     """(request, source) -> the source's own ids for the requested ones, in mapping order.
 
     Nothing mapped, or nothing requested, falls back to the mappings flagged default.
     `requests` carries `source`; the mapping table is reduced before it meets them.
     """
+    asked = "__asked"
     known = resolved_mappings(mappings, tax)
     targets = known.select(
         "source", "ordinal", "cat_id", F.explode(F.array_compact(F.array("std_id", "custom_id")).cast("array<string>")).alias("wanted")
     )
-    wanted = expand_categories(requests, col, "__expanded").select(key, "source", F.explode("__expanded").alias("wanted"))
+    # Requests that ask a source for the same categories are answered once.
+    keyed = requests.withColumn(asked, F.array_sort(F.array_distinct(F.coalesce(col, F.array().cast("array<string>")))))
+    distinct = expand_categories(keyed.select("source", asked).distinct(), asked, "__expanded")
     hits = (
-        wanted.join(targets, ["source", "wanted"])
-        .groupBy(key, "source")
+        distinct.select("source", asked, F.explode("__expanded").alias("wanted"))
+        .join(targets, ["source", "wanted"])
+        .groupBy("source", asked)
         .agg(F.array_sort(F.collect_set(F.struct("ordinal", "cat_id"))).alias("arms"))
-        .select(key, "source", F.array_distinct(F.transform("arms", lambda a: a["cat_id"])).alias("mapped"))
+        .select("source", asked, F.array_distinct(F.transform("arms", lambda a: a["cat_id"])).alias("mapped"))
     )
     defaults = (
         mappings.filter("is_default")
@@ -208,10 +212,10 @@ def site_categories(
         .select("source", F.array_distinct(F.transform("arms", lambda a: a["cat_id"])).alias("defaults"))
     )
     return (
-        requests.join(hits, [key, "source"], "left")
+        keyed.join(hits, ["source", asked], "left")
         .join(defaults, "source", "left")
         .withColumn("site_categories", F.coalesce("mapped", "defaults", F.array().cast("array<string>")))
-        .drop("mapped", "defaults")
+        .drop("mapped", "defaults", asked)
     )
 
 

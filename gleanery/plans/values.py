@@ -18,7 +18,7 @@ NOW_SQL = "TIMESTAMP '2002-01-15 12:30:00'"
 
 
 def _lines(spark, sf):
-    return fx.table(spark, sf, "lineitem")
+    return fx.spread(fx.table(spark, sf, "lineitem"))
 
 
 def _grouped(c: Column) -> Column:
@@ -130,7 +130,7 @@ def declared_dates(spark, sf):
     out["no_year"] = dates.parse_declared(F.date_format("o_orderdate", "dd.MM"), "dd.MM", NOW)
     out["rolled_back"] = dates.parse_declared(F.date_format("o_orderdate", "MMM d"), "Jan 2", NOW)
     out["mismatch"] = dates.parse_declared(F.date_format("o_orderdate", "yyyy-MM-dd"), "dd/MM/yyyy", NOW)
-    return fx.table(spark, sf, "orders").select("o_orderkey", *[stamp(c).alias(n) for n, c in out.items()])
+    return fx.spread(fx.table(spark, sf, "orders")).select("o_orderkey", *[stamp(c).alias(n) for n, c in out.items()])
 
 
 @query(
@@ -149,7 +149,7 @@ def relative_dates(spark, sf):
         "just_now": F.concat(n.cast("string"), F.lit(" known")),
         "unknown_unit": F.concat((n % 9).cast("string"), F.lit(" fortnights ago 2 days")),
     }
-    return fx.table(spark, sf, "events").select("event_id", *[stamp(dates.time_ago(c, NOW)).alias(k) for k, c in ago.items()])
+    return fx.spread(fx.table(spark, sf, "events")).select("event_id", *[stamp(dates.time_ago(c, NOW)).alias(k) for k, c in ago.items()])
 
 
 @query(
@@ -181,7 +181,7 @@ def unknown_dates(spark, sf):
         "hopeless": F.concat(F.lit("soon "), k.cast("string"), F.lit(" or never")),
     }
     rows = F.array(*[F.struct(F.lit(n).alias("shape"), c.alias("text")) for n, c in shapes.items()])
-    written = fx.table(spark, sf, "orders").select("o_orderkey", F.inline(rows))
+    written = fx.spread(fx.table(spark, sf, "orders")).select("o_orderkey", F.inline(rows))
     return written.select("o_orderkey", "shape", stamp(dates.parse_unknown(F.col("text"), NOW)).alias("parsed"))
 
 
@@ -192,7 +192,7 @@ def unknown_dates(spark, sf):
 )
 def feed_dates(spark, sf):
     known = F.when(F.col("o_orderstatus") != "F", F.col("o_orderdate").cast("timestamp"))
-    return fx.table(spark, sf, "orders").select(
+    return fx.spread(fx.table(spark, sf, "orders")).select(
         "o_orderkey", dates.feed_date(known, NOW).alias("pub_date"), F.lit(dates.template_year(NOW)).alias("template_year")
     )
 
@@ -239,7 +239,7 @@ def filter_chain(spark, sf):
 )
 def word_filters(spark, sf):
     """Accepted words in the order of the accepted list, over whole documents."""
-    return fx.table(spark, sf, "documents").select(
+    return fx.spread(fx.table(spark, sf, "documents")).select(
         "doc_id",
         _chain(F.col("text"), ("validate", "The, de", "und;of", "que la", "the")).alias("accepted"),
         _chain(F.lit('["the"'), ("jsonjoinarray", "$", ",")).alias("kept"),
@@ -276,7 +276,7 @@ def html_entities(spark, sf):
 )
 def diacritics(spark, sf):
     bare = _chain(F.col("text"), ("diacritics", "replace"))
-    return fx.table(spark, sf, "documents").select("doc_id", (bare == F.col("text")).alias("plain"), F.length(bare).alias("bare_length"))
+    return fx.spread(fx.table(spark, sf, "documents")).select("doc_id", (bare == F.col("text")).alias("plain"), F.length(bare).alias("bare_length"))
 
 
 @query(
@@ -362,7 +362,7 @@ def human_text(spark, sf):
 )
 def file_names(spark, sf):
     """A document's whole text as a title: cleaned, cut to 150 bytes at a character boundary."""
-    return fx.table(spark, sf, "documents").select("doc_id", F.md5(txt.torrent_filename(F.col("text")).cast("binary")).alias("name"))
+    return fx.spread(fx.table(spark, sf, "documents")).select("doc_id", F.md5(txt.torrent_filename(F.col("text")).cast("binary")).alias("name"))
 
 
 # --- redaction and profiles ---------------------------------------------------------------
@@ -376,7 +376,7 @@ TOKENS_SQL = r"list_filter(regexp_extract_all({c}, '[A-Za-z0-9]{{16,}}'), lambda
       lambda a, t: regexp_replace(a, '(^|[^A-Za-z0-9])' || t || '($|[^A-Za-z0-9])', '\\1…\\2', 'g'))) AS redacted FROM documents""",
 )
 def redact_tokens(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", F.md5(redact.redact_tokens(F.col("text")).cast("binary")).alias("redacted"))
+    return fx.spread(fx.table(spark, sf, "documents")).select("doc_id", F.md5(redact.redact_tokens(F.col("text")).cast("binary")).alias("redacted"))
 
 
 @query(
@@ -429,4 +429,4 @@ def redact_paths(spark, sf):
       GROUP BY code_point""",
 )
 def char_profile(spark, sf):
-    return profile.char_profile(fx.table(spark, sf, "documents"), "text")
+    return profile.char_profile(fx.spread(fx.table(spark, sf, "documents")), "text")
