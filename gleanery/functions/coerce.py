@@ -79,8 +79,8 @@ def peer_count(c: Column) -> Column:
 def parse_size_or_null(c: Column) -> Column:
     """Bytes, or NULL when there is no number or no known unit.
 
-    The alternatives of one pattern are tried in order, so the longest known unit contained
-    anywhere wins; no letters at all mean bytes.
+    Letters that are a unit are looked up. Otherwise the alternatives of one pattern are tried
+    in order, so the longest known unit contained anywhere wins; no letters at all mean bytes.
     """
     number = _decimal(keep_numeric(c))
     letters = F.regexp_replace(F.lower(c), r"[^\p{L}]|i", "")
@@ -88,7 +88,8 @@ def parse_size_or_null(c: Column) -> Column:
     pattern = "|".join(f"^.*({unit}).*$" for unit in by_length)
     unit = F.regexp_replace(letters, pattern, "".join(f"${n + 1}" for n in range(len(by_length))))
     scales = [part for name, power in {**SIZE_UNITS, "": 0}.items() for part in (F.lit(name), F.lit(1024.0**power))]
-    return (number * F.try_element_at(F.create_map(*scales), unit)).try_cast("bigint")
+    known = F.create_map(*scales)
+    return (number * F.coalesce(F.try_element_at(known, letters), F.try_element_at(known, unit))).try_cast("bigint")
 
 
 def parse_size(c: Column) -> Column:

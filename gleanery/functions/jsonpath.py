@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
+from gleanery.functions.bind import let
+
 
 def variant_path(path: str) -> str | None:
     """A dotted path with [n] indexes as a Spark variant path; None when it can match nothing."""
@@ -47,7 +49,10 @@ def _plain_number(v: Column) -> Column:
 
 
 def _one(v: Column) -> Column:
-    kind = F.schema_of_variant(v)
+    return let(F.schema_of_variant(v), lambda kind: _of_kind(v, kind))
+
+
+def _of_kind(v: Column, kind: Column) -> Column:
     text = F.try_variant_get(v, "$", "string")
     return (
         F.when(F.is_variant_null(v), F.lit(""))
@@ -70,9 +75,14 @@ def scalar_text(v: Column, depth: int = 2) -> Column:
     """
     if depth == 0:
         return _one(v)
-    items = array_of(v)
-    joined = F.array_join(F.transform(items, lambda x: scalar_text(x, depth - 1)), ",")
-    return F.when(v.isNull(), F.lit(None).cast("string")).when(items.isNotNull(), joined).otherwise(_one(v))
+    return let(v, lambda x: F.when(x.isNotNull(), _text(x, depth)))
+
+
+def _text(v: Column, depth: int) -> Column:
+    def joined(items: Column) -> Column:
+        return F.array_join(F.transform(items, lambda x: _text(x, depth - 1) if depth > 1 else _one(x)), ",")
+
+    return F.when(F.schema_of_variant(v).startswith("ARRAY"), joined(array_of(v))).otherwise(_one(v))
 
 
 def value_text(v: Column) -> Column:

@@ -157,7 +157,7 @@ search:
 )
 def json_rows(spark, sf):
     """Answers with zero to two hits and a hidden one, built around each event's own JSON."""
-    e = fx.table(spark, sf, "events")
+    e = fx.spread(fx.table(spark, sf, "events"))
     hit = F.concat(
         F.lit('{"name": "'), F.col("event_type"), F.lit('%d", "props": '), F.col("props"), F.lit(', "flags": [true, null, '),
         F.col("user_id").cast("string"), F.lit(', "a"], "price": '), F.col("value").cast("string"), F.lit(', "even": '),

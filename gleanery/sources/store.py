@@ -35,9 +35,11 @@ class ListingStore:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop
 
-    def _exists(self, path: str) -> bool:
+    def _filled(self, path: str) -> set[int]:
+        """The buckets that hold rows."""
         fs, p = self._fs(path)
-        return fs.exists(p)
+        found = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return {int(name.removeprefix("bucket=")) for name in found if name.startswith("bucket=")}
 
     def _remove(self, path: str) -> None:
         fs, p = self._fs(path)
@@ -51,7 +53,7 @@ class ListingStore:
     def _read(self, name: str) -> DataFrame:
         schema = T.StructType([*(LISTING if name == "listings" else SEARCHES).fields, T.StructField("bucket", T.IntegerType())])
         path = f"{self.root}/{name}"
-        if not self._exists(path):
+        if not self._filled(path):
             return self.spark.createDataFrame([], schema)
         table = self.spark.read.parquet(path)
         return check_schema(table, schema).select(*schema.names)
@@ -91,12 +93,7 @@ class ListingStore:
         """Swap the touched buckets of a table for `content`; buckets left without rows disappear."""
         target, stage = f"{self.root}/{name}", f"{self.root}/.stage-{name}-{uuid.uuid4().hex}"
         self._write(content.withColumn("bucket", self._bucket()), stage, order, dynamic=False)
-        fs, p = self._fs(stage)
-        filled = {
-            int(s.getPath().getName().removeprefix("bucket="))
-            for s in fs.listStatus(p)
-            if s.getPath().getName().startswith("bucket=")
-        }
+        filled = self._filled(stage)
         if filled:
             self._write(self.spark.read.parquet(stage), target, order, dynamic=True)
         for bucket in set(touched) - filled:
