@@ -199,7 +199,7 @@ def stream_gate(spark, sf):
 
 @query("stream_pacing")
 def stream_pacing(spark, sf):
-    """Backoff and spacing as keyed state; checked against a loop in the tests."""
+    """Backoff and spacing as keyed state; no SQL counterpart and no loop to check it against yet."""
     root = shared_path(spark, "pacing")
     events = fx.stream(spark, sf, "events").select(
         F.col("event_id").alias("request_id"), F.col("user_id").cast("string").alias("source"), F.col("ts").cast("timestamp").alias("ts"),
