@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleanery.llm.language import op5_language_id
+from gleanery.llm.licenses import OP4_SQL, op4_license_scan
 from gleanery.llm.media import op2_media_columns
 from gleanery.llm.url_filters import OP9_SQL, op9_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
+    "op4_license_scan": op4_license_scan,
+    "op5_language_id": op5_language_id,
     "op9_url_filters": op9_url_filters,
 }
 
-ORACLES: dict[str, str] = {"op9_url_filters": OP9_SQL}
+ORACLES: dict[str, str] = {"op4_license_scan": OP4_SQL, "op9_url_filters": OP9_SQL}
