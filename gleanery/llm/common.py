@@ -68,3 +68,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def random_words(seed: int, n: int) -> np.ndarray:
     """n fixed 64-bit words, the same on every machine."""
     return mix64((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed * 1_000_003)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def numbered(df: DataFrame, order: list[Column], number: str, name: str) -> DataFrame:
+    """df with the place of each row (from 0) in a total order, without gathering rows anywhere.
+
+    Rows are dealt by range and sorted where they land; the table is stored, so the places stay what they
+    are, and only one count per partition reaches the driver.
+    """
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    kept = stored(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), name)
+    before, starts = 0, []
+    for row in kept.groupBy("_part").count().orderBy("_part").collect():
+        starts.append((row._part, before))
+        before += row["count"]
+    offset = F.coalesce(*[F.when(F.col("_part") == p, F.lit(b)) for p, b in starts], F.lit(0)) if len(starts) < 64 else F.element_at(
+        F.create_map(*[F.lit(x) for pair in starts for x in pair]), F.col("_part")
+    )
+    return kept.withColumn(number, (offset + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_part", "_at")

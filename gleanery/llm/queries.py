@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gleanery.llm.language import op5_language_id
 from gleanery.llm.licenses import OP4_SQL, op4_license_scan
 from gleanery.llm.media import op2_media_columns
+from gleanery.llm.mixing import op10_mix_sources
 from gleanery.llm.url_filters import OP9_SQL, op9_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": op4_license_scan,
     "op5_language_id": op5_language_id,
     "op9_url_filters": op9_url_filters,
+    "op10_mix_sources": op10_mix_sources,
 }
 
 ORACLES: dict[str, str] = {"op4_license_scan": OP4_SQL, "op9_url_filters": OP9_SQL}
