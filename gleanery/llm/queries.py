@@ -10,11 +10,13 @@ from gleanery.llm.language import op5_language_id
 from gleanery.llm.licenses import OP4_SQL, op4_license_scan
 from gleanery.llm.media import op2_media_columns
 from gleanery.llm.mixing import op10_mix_sources
+from gleanery.llm.packing import op3_pack_sequences
 from gleanery.llm.token_frames import op8_token_frames
 from gleanery.llm.url_filters import OP9_SQL, op9_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
+    "op3_pack_sequences": op3_pack_sequences,
     "op4_license_scan": op4_license_scan,
     "op5_language_id": op5_language_id,
     "op8_token_frames": op8_token_frames,
