@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleanery.llm.edit_prints import op7_edit_fingerprints
 from gleanery.llm.language import op5_language_id
 from gleanery.llm.licenses import OP4_SQL, op4_license_scan
 from gleanery.llm.media import op2_media_columns
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pack_sequences": op3_pack_sequences,
     "op4_license_scan": op4_license_scan,
     "op5_language_id": op5_language_id,
+    "op7_edit_fingerprints": op7_edit_fingerprints,
     "op8_token_frames": op8_token_frames,
     "op9_url_filters": op9_url_filters,
     "op10_mix_sources": op10_mix_sources,
