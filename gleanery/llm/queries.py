@@ -11,6 +11,7 @@ from gleanery.llm.language import op5_language_id
 from gleanery.llm.licenses import OP4_SQL, op4_license_scan
 from gleanery.llm.media import op2_media_columns
 from gleanery.llm.mixing import op10_mix_sources
+from gleanery.llm.near_dedup import op6_near_duplicates
 from gleanery.llm.packing import op3_pack_sequences
 from gleanery.llm.token_frames import op8_token_frames
 from gleanery.llm.url_filters import OP9_SQL, op9_url_filters
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pack_sequences": op3_pack_sequences,
     "op4_license_scan": op4_license_scan,
     "op5_language_id": op5_language_id,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_edit_fingerprints": op7_edit_fingerprints,
     "op8_token_frames": op8_token_frames,
     "op9_url_filters": op9_url_filters,
