@@ -13,10 +13,12 @@ from gleanery.llm.media import op2_media_columns
 from gleanery.llm.mixing import op10_mix_sources
 from gleanery.llm.near_dedup import op6_near_duplicates
 from gleanery.llm.packing import op3_pack_sequences
+from gleanery.llm.suffix_dedup import op1_suffix_dedup
 from gleanery.llm.token_frames import op8_token_frames
 from gleanery.llm.url_filters import OP9_SQL, op9_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_media_columns": op2_media_columns,
     "op3_pack_sequences": op3_pack_sequences,
     "op4_license_scan": op4_license_scan,
