@@ -169,8 +169,8 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     return net
 
 
-def identify(docs: DataFrame, net: ByteNet | None, text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The columns in `keep`, then lang_pred and score, one row per row of docs."""
+def identify(docs: DataFrame, net: ByteNet | None, text_column: str = "text", keep: tuple[str, ...] = (), predicted: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns in `keep`, then the prediction and its score, one row per row of docs."""
     text = F.col(f"`{text_column}`")
     readable = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias("_")).alias("keep"), F.when(readable, text).alias("text"))
@@ -188,7 +188,7 @@ def identify(docs: DataFrame, net: ByteNet | None, text_column: str = "text", ke
                     langs[i], scores[i] = net.labels[b], min(1.0, float(s))
             yield pa.RecordBatch.from_arrays([batch.column("keep"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["keep", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, schema).select(*[F.col("keep")[c].alias(c) for c in keep], "lang_pred", "score")
+    return rows.mapInArrow(run, schema).select(*[F.col("keep")[c].alias(c) for c in keep], F.col("lang_pred").alias(predicted[0]), F.col("score").alias(predicted[1]))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

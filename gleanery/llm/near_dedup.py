@@ -73,10 +73,11 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _sets_table(docs: DataFrame, id_column: str, text_column: str, words: int) -> DataFrame:
-    """(id, row, n, f1, f2, sig, packed): size, fingerprint and signature of every text's set, and the text."""
-    rows = docs.select(F.col(f"`{id_column}`").alias("id"), text_or_empty(text_column).cast("binary").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+def _sets_table(docs: DataFrame, id_column: str, text_column: str, words: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep, row, n, f1, f2, sig, packed): size, fingerprint and signature of every text's set, and the text."""
+    other = F.struct(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text_column}`").isNull().alias("__null"))
+    rows = docs.select(F.col(f"`{id_column}`").alias("id"), other.alias("keep"), text_or_empty(text_column).cast("binary").alias("text"))
+    kind, kept = (rows.schema[x].dataType.simpleString() for x in ("id", "keep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
@@ -86,9 +87,9 @@ def _sets_table(docs: DataFrame, id_column: str, text_column: str, words: int) -
             sig = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * HASHES, pa.int32()), pa.array(_signatures(sets).astype(np.int32).reshape(-1)))
             prints = [[int(mix64(s ^ np.uint64(salt)).sum(dtype=np.uint64).astype(np.int64)) for s in sets] for salt in (0x5851F42D, 0x14057B7E)]
             made = [pa.array([len(s) for s in sets], pa.int64()), *[pa.array(x, pa.int64()) for x in prints], sig, pa.array([packer.compress(t) for t in texts], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *made], names=["id", "n", "f1", "f2", "sig", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("keep"), *made], names=["id", "keep", "n", "f1", "f2", "sig", "packed"])
 
-    made = rows.mapInArrow(run, f"id {kind}, n long, f1 long, f2 long, sig array<int>, packed binary")
+    made = rows.mapInArrow(run, f"id {kind}, keep {kept}, n long, f1 long, f2 long, sig array<int>, packed binary")
     return stored(made.withColumn("row", F.monotonically_increasing_id()), "near-sets")
 
 
@@ -265,12 +266,8 @@ class Join:
         return links
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of docs: id, row, n_shingles and component_id (the smallest id connected with it).
-
-    `row` numbers the rows of docs in their order, as `monotonically_increasing_id` does.
-    """
-    sets = _sets_table(docs, id_column, text_column, words)
+def _found(sets: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, row, n_shingles, component_id, component) of every row of a sets table; `component` is unique, whatever the ids."""
     join = Join(sets, words, percent)
 
     def roots(first: int, last: int, labels: DataFrame | None) -> DataFrame:
@@ -294,9 +291,41 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     labels = united(links)
     found = join.classes.select("f1", "f2", "c", "cid").join(labels.withColumnRenamed("v", "c"), "c", "left").withColumn("label", F.coalesce("u", "c"))
     least = found.groupBy("label").agg(F.min("cid").alias("component_id"))
-    found = stored(found.join(least, "label").select("f1", "f2", "component_id"), "near-found")
+    found = stored(found.join(least, "label").select("f1", "f2", "component_id", "label"), "near-found")
     rows = sets.select("id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("f1")).alias("f1"), "f2").join(found, ["f1", "f2"], "left")
-    return rows.select(F.col("id").alias(id_column), "row", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    linked = F.col("n_shingles") > 0
+    return rows.select("id", "row", "n_shingles", F.when(linked, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.when(linked, F.col("label")).alias("component"))
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of docs: id, n_shingles and component_id (the smallest id connected with it)."""
+    found = _found(_sets_table(docs, id_column, text_column, words), words, percent)
+    return found.select(F.col("id").alias(id_column), "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs without near duplicates: of each component its smallest id, of rows with that id the first."""
+    keep = tuple(c for c in docs.columns if c != text_column)
+    sets = _sets_table(docs, id_column, text_column, words, keep)
+    found = stored(_found(sets, words, percent).where("component IS NOT NULL").select("row", "component", F.struct(~F.col("id").eqNullSafe(F.col("component_id")), "row").alias("rank")), "near-ranks")
+    stays = found.groupBy("component").agg(F.min("rank").alias("rank"))
+    goes = found.join(stays.select("component", F.col("rank.row").alias("first")), "component").where("row != first").select("row")
+    rows = sets.select("row", "keep", "packed").join(stored(goes, "near-goes"), "row", "left_anti").select("keep", "packed")
+    return unpacked(rows, docs, text_column)
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, text_column: str) -> DataFrame:
+    """Rows (keep, packed) as rows of docs: the kept columns, and the text out of its zstandard frame."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in slices(batches, "packed", 2 << 20):
+            texts = pa.array([unpack.decompress(x).decode("utf-8", "ignore") for x in batch.column("packed").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("keep"), texts], names=["keep", "text"])
+
+    made = rows.mapInArrow(run, f"keep {rows.schema['keep'].dataType.simpleString()}, text string")
+    text = F.when(~F.col("keep")["__null"], F.col("text"))
+    return made.select(*[text.alias(c) if c == text_column else F.col("keep")[c].alias(c) for c in docs.columns])
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

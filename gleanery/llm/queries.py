@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from gleanery.llm.edit_prints import op7_edit_fingerprints
 from gleanery.llm.language import op5_language_id
 from gleanery.llm.licenses import OP4_SQL, op4_license_scan
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_frames": op8_token_frames,
     "op9_url_filters": op9_url_filters,
     "op10_mix_sources": op10_mix_sources,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {"op4_license_scan": OP4_SQL, "op9_url_filters": OP9_SQL}

@@ -217,11 +217,12 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _anchored(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Stored (id, row, n_bytes, sha256, packed, found): every text with its anchors."""
-    rows = docs.select(F.col(f"`{id_column}`").alias("id"), text_or_empty(text_column).cast("binary").alias("text"))
+def _anchored(docs: DataFrame, id_column: str, text_column: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Stored (id, keep, row, n_bytes, sha256, packed, found): every text with its anchors."""
+    other = F.struct(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text_column}`").isNull().alias("__null"))
+    rows = docs.select(F.col(f"`{id_column}`").alias("id"), other.alias("keep"), text_or_empty(text_column).cast("binary").alias("text"))
     fields = {"h": pa.int64(), "p": pa.int64(), "lo": pa.int64(), "hi": pa.int64()}
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, sha256 string, packed binary, found array<struct<h:long,p:long,lo:long,hi:long>>"
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, keep {rows.schema['keep'].dataType.simpleString()}, n_bytes long, sha256 string, packed binary, found array<struct<h:long,p:long,lo:long,hi:long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
@@ -243,7 +244,7 @@ def _anchored(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
             inner = pa.StructArray.from_arrays([pa.array(h.astype(np.int64)), *[pa.array(x - shift) for x in (p, lo, hi)]], names=list(fields))
             found = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), inner)
             made = [pa.array(sizes), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array([packer.compress(t) for t in texts], pa.binary()), found]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *made], names=["id", "n_bytes", "sha256", "packed", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("keep"), *made], names=["id", "keep", "n_bytes", "sha256", "packed", "found"])
 
     return stored(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "suffix-docs")
 
@@ -334,18 +335,14 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     return stored(spans.groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "suffix-spans")
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", text: bool = True) -> DataFrame:
-    """One row per row of docs: id, row, n_bytes, n_removed, n_spans, spans, kept_sha256 and, if asked for, the bytes kept.
-
-    `row` numbers the rows of docs in their order, as `monotonically_increasing_id` does.
-    """
-    texts = _anchored(docs, id_column, text_column)
-    spans = repeated_spans(texts)
-    kind = texts.schema["id"].dataType.simpleString()
-    rows = texts.select("id", "row", "n_bytes", "sha256", "packed").join(spans, "row", "left")
-    # Unless texts are wanted, whole documents travel without them.
-    schema = f"id {kind}, row long, n_bytes long, n_removed long, n_spans long, spans array<struct<a:long,b:long>>, kept_sha256 string, kept binary"
-    names = ["id", "row", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept"]
+def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = (), text: bool = True) -> DataFrame:
+    """One row per row of docs: id, the columns in `keep`, n_bytes, n_removed, n_spans, spans, kept_sha256 and, if
+    asked for, the bytes kept (null where the text is)."""
+    texts = _anchored(docs, id_column, text_column, keep)
+    rows = texts.select("id", "keep", "n_bytes", "sha256", "packed", "row").join(repeated_spans(texts), "row", "left")
+    kind, kept = (texts.schema[x].dataType.simpleString() for x in ("id", "keep"))
+    schema = f"id {kind}, keep {kept}, n_bytes long, n_removed long, n_spans long, spans array<struct<a:long,b:long>>, kept_sha256 string, kept binary"
+    names = ["id", "keep", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -353,18 +350,42 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             out: list[tuple] = []
             for packed, whole, found in zip(*(batch.column(x).to_pylist() for x in ("packed", "sha256", "spans"))):
                 merged = _merged([(s["a"], s["b"]) for s in found or []])
-                kept = None
+                rest = None
                 if merged or text:
                     raw = unpack.decompress(packed)
                     cuts = [0, *[x for s in merged for x in s], len(raw)]
-                    kept = b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
-                    whole = hashlib.sha256(kept).hexdigest() if merged else whole
-                out.append((sum(b - a for a, b in merged), len(merged), [{"a": a, "b": b} for a, b in merged], whole, kept if text else None))
+                    rest = b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
+                    whole = hashlib.sha256(rest).hexdigest() if merged else whole
+                out.append((sum(b - a for a, b in merged), len(merged), [{"a": a, "b": b} for a, b in merged], whole, rest if text else None))
             made = [pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.string(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in names[:3]], *made], names=names)
 
-    made = rows.mapInArrow(run, schema).withColumnRenamed("id", id_column)
-    return made if text else made.drop("kept")
+    made = rows.select("id", "keep", "n_bytes", "sha256", "packed", "spans").mapInArrow(run, schema)
+    bytes_kept = [F.when(~F.col("keep")["__null"], F.col("kept")).alias("kept")] if text else []
+    return made.select(F.col("id").alias(id_column), *[F.col("keep")[c].alias(c) for c in keep], *names[2:-1], *bytes_kept)
+
+
+def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of docs with their repeated strings removed; half characters at a cut go too."""
+    keep = tuple(c for c in docs.columns if c not in (id_column, text_column))
+    texts = _anchored(docs, id_column, text_column, keep)
+    rows = texts.select("id", "keep", "packed", "row").join(repeated_spans(texts), "row", "left").select("id", "keep", "packed", "spans")
+    kind, kept = (texts.schema[x].dataType.simpleString() for x in ("id", "keep"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in slices(batches, "packed", 2 << 20):
+            out = []
+            for packed, found in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist()):
+                raw = unpack.decompress(packed)
+                cuts = [0, *[x for s in _merged([(s["a"], s["b"]) for s in found or []]) for x in s], len(raw)]
+                out.append("".join(raw[a:b].decode("utf-8", "ignore") for a, b in zip(cuts[::2], cuts[1::2])))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("keep"), pa.array(out, pa.string())], names=["id", "keep", "text"])
+
+    made = rows.mapInArrow(run, f"id {kind}, keep {kept}, text string")
+    text = F.when(~F.col("keep")["__null"], F.col("text"))
+    column = {id_column: F.col("id"), text_column: text}
+    return made.select(*[column.get(c, F.col("keep")[c] if c in keep else None).alias(c) for c in docs.columns])
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
