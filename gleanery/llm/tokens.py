@@ -1,7 +1,7 @@
 """Token ids by the tokenizers library, one encoding for each distinct piece of text.
 
 Both vocabularies split a text into pieces by a fixed pattern before they merge bytes, and a piece's ids
-depend on nothing around it. `Encoder` therefore splits plain texts itself, lets the library encode
+depend on nothing around it. `Encoder` therefore splits plain texts itself, lets the library's model merge
 each distinct piece once, and joins the ids. Texts with characters outside a plain set (ASCII, Latin letters) go
 to the library whole, so the ids never rest on a second reading of Unicode tables.
 """
@@ -32,13 +32,19 @@ def vocabulary(name: str) -> str:
 
 
 class Pieces(dict):
-    """Ids of pieces; a piece not seen before is encoded by the library, and kept unless it is very long."""
+    """Ids of pieces; the library's model merges a piece not seen before, which is kept unless it is very long."""
 
     def __init__(self, library) -> None:  # noqa: ANN001
-        self.library = library
+        from tokenizers import pre_tokenizers
+
+        self.model = library.model
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        plain = [chr(c) for c in range(0x180) if PLAIN.fullmatch(chr(c))]
+        self.spelled = {ord(c): "".join(part for part, _ in as_bytes(c)) for c in plain}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        merged = self.model.tokenize(piece.translate(self.spelled))
+        ids = b"".join([t.id.to_bytes(4, "little") for t in merged])
         if len(piece) <= LONGEST:
             self[piece] = ids
         return ids
