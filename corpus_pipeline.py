@@ -25,8 +25,9 @@ LEAST_SCORE = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; texts without letters, null or empty go, and hardly told ones."""
-    found = identify(docs, train(docs), keep=tuple(docs.columns), predicted=("__lang", "__score"))
-    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    found = identify(rows, train(docs), keep=("doc",))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
