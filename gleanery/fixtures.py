@@ -1,7 +1,7 @@
 """Listing, request, attempt and page tables derived from the driver's star schema.
 
 Every view is a plain projection or join, so filters and column pruning still reach the
-parquet scans. Each has the same definition in SQL in plans/oracle.py.
+parquet scans. Each has the same definition in SQL in plans/sql.py.
 """
 
 from __future__ import annotations
@@ -47,10 +47,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small table in one file, spread over the cores for CPU-heavy projections; a table that
-    already comes in enough splits is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A table dealt evenly over the session's partitions, for projections that cost far more than
+    moving a row: the driver's tables are files of one row group each."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def category_mappings(spark: SparkSession, source: str = "shop") -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F
 
 from gleanery.functions.bind import let
+from gleanery.functions.text import plain_double
 
 
 def variant_path(path: str) -> str | None:
@@ -42,10 +43,8 @@ def lookup(value: Column, path: str) -> Column:
 
 
 def _plain_number(v: Column) -> Column:
-    number = F.try_variant_get(v, "$", "double")
-    whole = F.try_variant_get(v, "$", "bigint").cast("string")
-    wide = F.regexp_replace(number.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
-    return F.when(number == F.floor(number), F.coalesce(whole, number.try_cast("decimal(38,0)").cast("string"))).otherwise(wide)
+    """A JSON number, which is a double, in plain digits."""
+    return plain_double(F.try_variant_get(v, "$", "double"))
 
 
 def _one(v: Column) -> Column:
@@ -68,21 +67,39 @@ def array_of(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
 
-def scalar_text(v: Column, depth: int = 2) -> Column:
-    """Text of a value: null '', booleans True/False, arrays comma-joined, plain numbers.
+#: A scalar of a JSON array, or an empty array, which counts as an empty scalar.
+_ITEM = r'"(?:[^"\\]++|\\.)*+"|\[\s*\]|[^\[\],\s"]++'
 
-    SQL NULL (nothing selected) stays NULL. Arrays nest to `depth` levels.
+
+def scalar_text(v: Column) -> Column:
+    """Text of a value: null '', booleans True/False, arrays comma-joined however deep, plain numbers.
+
+    SQL NULL (nothing selected) stays NULL. An array of scalars is read off its own text, so
+    nesting has no bound; one that holds objects is joined item by item, an object as its JSON text.
     """
-    if depth == 0:
-        return _one(v)
-    return let(v, lambda x: F.when(x.isNotNull(), _text(x, depth)))
+    return let(v, lambda x: F.when(x.isNotNull(), let(F.schema_of_variant(x), lambda kind: _text(x, kind))))
+
+
+def _item_text(item: Column) -> Column:
+    return (
+        F.when(F.startswith(item, F.lit('"')), F.get_json_object(F.concat(F.lit("["), item, F.lit("]")), "$[0]"))
+        .when(item.isin("null") | F.startswith(item, F.lit("[")), F.lit(""))
+        .when(item.isin("true", "false"), F.initcap(item))
+        .otherwise(plain_double(item.try_cast("double")))
+    )
+
 
+def _text(v: Column, kind: Column) -> Column:
+    def flat(json: Column) -> Column:
+        return F.array_join(F.transform(F.regexp_extract_all(json, F.lit(_ITEM), F.lit(0)), _item_text), ",")
 
-def _text(v: Column, depth: int) -> Column:
-    def joined(items: Column) -> Column:
-        return F.array_join(F.transform(items, lambda x: _text(x, depth - 1) if depth > 1 else _one(x)), ",")
+    def item(x: Column) -> Column:
+        json = F.to_json(x)
+        return F.when(F.startswith(json, F.lit("[")) & ~F.contains(json, F.lit("{")), flat(json)).otherwise(F.coalesce(_one(x), F.lit("")))
 
-    return F.when(F.schema_of_variant(v).startswith("ARRAY"), joined(array_of(v))).otherwise(_one(v))
+    whole = F.to_json(v)
+    joined = F.when(F.contains(whole, F.lit("{")), F.array_join(F.transform(array_of(v), item), ",")).otherwise(flat(whole))
+    return F.when(kind.startswith("ARRAY"), joined).otherwise(_of_kind(v, kind))
 
 
 def value_text(v: Column) -> Column:

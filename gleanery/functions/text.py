@@ -46,7 +46,25 @@ def human_duration(seconds: Column) -> Column:
     )
 
 
+def plain_double(x: Column) -> Column:
+    """A double without an exponent or trailing zeros, every digit kept: 0.00000001, 1, 0.5."""
+
+    def spell(text: Column) -> Column:
+        sign = F.when(F.startswith(text, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+        mantissa, power = F.ltrim(F.substring_index(text, "E", 1), F.lit("-")), F.substring_index(text, "E", -1).try_cast("int")
+        whole, part = F.substring_index(mantissa, ".", 1), F.regexp_replace(F.substring_index(mantissa, ".", -1), "0+$", "")
+        digits = F.concat(whole, part)
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        large = F.when(power >= F.length(part), F.rpad(digits, power + 1, "0")).otherwise(
+            F.concat_ws(".", F.substr(digits, F.lit(1), power + 1), F.substr(digits, power + 2))
+        )
+        return F.when(~F.contains(text, F.lit("E")), F.regexp_replace(text, r"\.0$", "")).otherwise(
+            F.concat(sign, F.when(power < 0, small).otherwise(large))
+        )
+
+    return let(x.cast("double").cast("string"), spell)
+
+
 def number_text(x: Column) -> Column:
     """A factor without an exponent or trailing zeros: 1, 0.5."""
-    plain = F.regexp_replace(x.cast("decimal(38,15)").cast("string"), r"0+$", "")
-    return F.regexp_replace(plain, r"\.$", "")
+    return plain_double(x)

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanery.operators.scan import islands, running, scan_islands
 
+# Fixed value: what clients are told of a source that failed; its cause stays in the log.
+SEARCH_FAILED = "the tracker could not be searched"
+
 # Pacing limits, in seconds.
 REPEAT_INTERVAL = 5
 SPACING = 1
@@ -92,7 +95,7 @@ def outcome_report(attempts: DataFrame, page: DataFrame, names: DataFrame | None
         "source",
         F.floor((F.unix_micros("ended") - F.unix_micros("started")) / 1000).cast("bigint").alias("elapsed_ms"),
         F.coalesce("results", F.lit(0)).cast("bigint").alias("results"),
-        F.when(F.col("ok"), F.lit("")).otherwise(F.lit("the indexer could not be searched")).alias("error"),
+        F.when(F.col("ok"), F.lit("")).otherwise(F.lit(SEARCH_FAILED)).alias("error"),
         F.when(F.col("ok"), F.lit(2)).otherwise(F.lit(1)).alias("status"),
     )
     if names is None:

@@ -80,7 +80,7 @@ def normalize_requests(
 
     def count(name: str, fallback: int) -> Column:
         n = as_integer(first(name))
-        return F.when(n > 0, F.least(n, F.lit(2**31 - 1))).otherwise(F.lit(fallback))
+        return F.when(n > 0, n).otherwise(F.lit(fallback))
 
     parts = F.flatten(F.transform(values("cat", "category"), lambda v: F.split(v, ",")))
     listed = F.filter(F.transform(parts, trim_space), lambda p: p != "")
@@ -89,7 +89,7 @@ def normalize_requests(
         *[c for c in raw.columns if c != params],
         categories.alias("categories"),
         F.least(count("limit", default_limit), F.lit(max_limit)).cast("int").alias("limit"),
-        count("offset", 0).cast("int").alias("offset"),
+        count("offset", 0).cast("bigint").alias("offset"),
         canonical_type(first("t")).alias("type"),
         *[first(*names).alias(name) for name, names in FIELDS.items()],
     )

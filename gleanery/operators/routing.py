@@ -237,17 +237,22 @@ def id_search_supported() -> Column:
 # --- capabilities --------------------------------------------------------------------
 
 
-def merged_modes(sources: DataFrame) -> DataFrame:
-    """(mode, params): the union over the sources, sorted; a lone source keeps its own order."""
-    rows = search_modes(sources)
-    return rows.groupBy("mode").agg(
-        F.when(
-            F.count_distinct("source") == 1,
-            F.transform(F.array_sort(F.collect_set(F.struct("ordinal", "param"))), lambda p: p["param"]),
-        )
-        .otherwise(F.array_sort(F.collect_set("param")))
-        .alias("params")
+def merged_modes(sources: DataFrame, by: Column | None = None) -> DataFrame:
+    """(mode, params): the union over a set of sources, sorted; a set of one source keeps its own order.
+
+    With `by` every value of it is a set of its own, and a column `by` comes first.
+    """
+    keyed = sources.withColumn("__by", F.lit(0) if by is None else by)
+    sizes = keyed.groupBy("__by").agg(F.count_distinct("id").alias("__size"))
+    flat = keyed.select("__by", F.explode(effective_modes(F.col("modes"))).alias("mode", "params"))
+    rows = flat.select("__by", "mode", F.posexplode_outer("params").alias("ordinal", "param"))
+    merged = rows.groupBy("__by", "mode").agg(
+        F.array_sort(F.collect_set("param")).alias("sorted"),
+        F.array_sort(F.collect_set(F.when(F.col("param").isNotNull(), F.struct("ordinal", "param")))).alias("own"),
     )
+    params = F.when(F.col("__size") == 1, F.transform("own", lambda p: p["param"])).otherwise(F.col("sorted"))
+    out = merged.join(sizes, "__by").select(*([] if by is None else [F.col("__by").alias("by")]), "mode", params.alias("params"))
+    return out
 
 
 def _searching(modes: Column, raw: Column) -> Column:

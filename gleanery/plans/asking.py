@@ -296,7 +296,7 @@ def resolve_settings(spark, sf):
 
 
 HEALTH = """
-health AS (SELECT user_id, count(*) FILTER (event_type = 'error') AS failures FROM events WHERE value > 200 GROUP BY user_id)"""
+health AS (SELECT user_id, count(*) FILTER (event_type = 'error' AND value > 200) AS failures FROM events GROUP BY user_id)"""
 
 
 @query(
@@ -306,24 +306,48 @@ health AS (SELECT user_id, count(*) FILTER (event_type = 'error') AS failures FR
       SELECT id FROM s WHERE (k % 3 = 0 AND k % 2 = 0 AND NOT failures > 0) OR (NOT scraped AND k % 3 = 1)""",
 )
 def source_filter(spark, sf):
-    e = fx.table(spark, sf, "events").filter("value > 200")
+    e = fx.table(spark, sf, "events")
     health = e.groupBy(F.concat(F.lit("Supplier#"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("id")).agg(
-        F.count_if(F.col("event_type") == "error").alias("failures"), F.lit(True).alias("scraped")
+        F.count_if((F.col("event_type") == "error") & (F.col("value") > 200)).alias("failures"), F.lit(True).alias("scraped")
     )
     sources = source_table(spark, sf).join(health, "id", "left")
     chosen = sources.filter(routing.source_predicate("TYPE:public + lang:EN+!test:failed, status:unknown+type:private"))
     return chosen.select("id")
 
 
+MODES = """
+declared AS (SELECT s_nationkey AS nation, s_suppkey AS id, unnest(CASE s_suppkey % 5
+    WHEN 0 THEN [{'mode': 'search', 'params': ['q']}, {'mode': 'tv-search', 'params': ['q', 'season', 'ep', 'tvdbid']}, {'mode': 'movie-search', 'params': ['q', 'imdbid']}]
+    WHEN 1 THEN [{'mode': 'search', 'params': ['q']}, {'mode': 'tv-search', 'params': ['q', 'season', 'rid']}]
+    WHEN 2 THEN [{'mode': 'search', 'params': ['q']}, {'mode': 'audio-search', 'params': ['q', 'artist']}]
+    WHEN 3 THEN [{'mode': 'movie-search', 'params': ['q', 'imdbid', 'year']}]
+    ELSE [{'mode': 'search', 'params': ['q']}, {'mode': 'music-search', 'params': ['album', 'q']}] END) AS d FROM supplier)"""
+
+
 @query(
     "merged_modes",
-    """SELECT * FROM (VALUES ('audio-search', 'artist,q'), ('movie-search', 'imdbid,q,year'), ('music-search', 'album,q'), ('search', 'q'),
-      ('tv-search', 'ep,q,rid,season,tvdbid')) t(mode, params) WHERE (SELECT count(*) FROM supplier) >= 10""",
+    f"""WITH {MODES}, p AS (SELECT DISTINCT d.mode AS mode, unnest(d.params) AS param FROM declared)
+      SELECT mode, string_agg(param, ',' ORDER BY param) AS params FROM p GROUP BY mode""",
 )
 def merged_modes(spark, sf):
     return routing.merged_modes(source_table(spark, sf)).select("mode", joined("params").alias("params"))
 
 
+@query(
+    "merged_modes_by_nation",
+    f"""WITH {MODES}, size AS (SELECT s_nationkey AS nation, count(*) AS n FROM supplier GROUP BY 1),
+      p AS (SELECT DISTINCT nation, d.mode AS mode, unnest(d.params) AS param FROM declared),
+      merged AS (SELECT nation, mode, string_agg(param, ',' ORDER BY param) AS params FROM p GROUP BY ALL)
+      SELECT m.nation AS by, m.mode AS mode, CASE WHEN n = 1 THEN array_to_string(any_value(d.params), ',') ELSE params END AS params
+      FROM declared JOIN size ON size.nation = declared.nation JOIN merged m ON m.nation = declared.nation AND m.mode = d.mode
+      GROUP BY m.nation, m.mode, n, params""",
+)
+def merged_modes_by_nation(spark, sf):
+    """Every nation's sources as a set: single ones keep their order, and a mode that one of several has is sorted."""
+    sources = source_table(spark, sf).join(fx.table(spark, sf, "supplier").select(F.col("s_name").alias("id"), "s_nationkey"), "id")
+    return routing.merged_modes(sources, F.col("s_nationkey")).select("by", "mode", joined("params").alias("params"))
+
+
 @query(
     "source_caps",
     f"""WITH {sql.taxonomy()}, {BRAND_MAPPINGS}, c AS (SELECT 'Supplier#' || lpad((substr(source, 7)::INT)::VARCHAR, 9, '0') AS id,
@@ -350,35 +374,63 @@ def source_caps(spark, sf):
 
 @query(
     "aggregate_caps",
-    """SELECT 5 AS categories, 'album,q' AS audio, 'imdbid,q,year' AS movie, 'raw' AS engine WHERE (SELECT count(*) FROM part) > 20""",
+    f"""WITH {sql.taxonomy()}, {BRAND_MAPPINGS}, {MODES}, p AS (SELECT DISTINCT d.mode AS mode, unnest(d.params) AS param FROM declared),
+      m AS (SELECT mode, string_agg(param, ',' ORDER BY param) AS params FROM p GROUP BY mode)
+      SELECT (SELECT count(DISTINCT std_id) FROM resolved) AS categories,
+        coalesce((SELECT params FROM m WHERE mode = 'music-search'), (SELECT params FROM m WHERE mode = 'audio-search'), '') AS audio,
+        coalesce((SELECT params FROM m WHERE mode = 'movie-search'), '') AS movie, coalesce((SELECT params FROM m WHERE mode = 'tv-search'), '') AS tv,
+        CASE WHEN EXISTS (SELECT 1 FROM m WHERE mode = 'search') THEN 'yes' ELSE 'no' END AS search,
+        CASE WHEN EXISTS (SELECT 1 FROM supplier WHERE s_suppkey % 10 = 9) THEN 'raw' ELSE '' END AS engine""",
 )
 def aggregate_caps(spark, sf):
     c = routing.aggregate_caps(source_table(spark, sf), brand_mappings(spark, sf), tax.taxonomy(spark))
     return c.select(
         F.size("categories").alias("categories"), F.col("searching.audio_search.supportedParams").alias("audio"),
-        F.col("searching.movie_search.supportedParams").alias("movie"), F.col("searching.search.searchEngine").alias("engine"),
+        F.col("searching.movie_search.supportedParams").alias("movie"), F.col("searching.tv_search.supportedParams").alias("tv"),
+        F.col("searching.search.available").alias("search"), F.col("searching.search.searchEngine").alias("engine"),
     )
 
 
+LISTED = f"""{sql.taxonomy()}, {BRAND_MAPPINGS}, c AS (SELECT 'Supplier#' || lpad((substr(source, 7)::INT)::VARCHAR, 9, '0') AS id,
+        count(DISTINCT std_id) + count(DISTINCT custom_id) AS n FROM resolved GROUP BY source)"""
+
+
+def _source_mappings(spark, sf):
+    """The brands' mappings as those of the source with the same number."""
+    number = F.lpad(F.regexp_extract("source", "([0-9]+)", 1), 9, "0")
+    return brand_mappings(spark, sf).withColumn("source", F.concat(F.lit("Supplier#"), number))
+
+
 @query(
     "source_list",
-    """SELECT s_name AS id, 'Shop ' || s_suppkey AS title, 'https://s' || s_suppkey || '.invalid/' AS link, 1 AS configured FROM supplier""",
+    f"""WITH {LISTED} SELECT s_name AS id, 'Shop ' || s_suppkey AS title, 'https://s' || s_suppkey || '.invalid/' AS link, 1 AS configured, '' AS description,
+        CASE WHEN s_suppkey % 2 = 0 THEN 'en-US' ELSE 'de-DE' END AS language,
+        CASE s_suppkey % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'Private' ELSE 'semi-private' END AS type, coalesce(n, 0) AS categories, 50 AS limit_default, 100 AS limit_max,
+        CASE s_suppkey % 5 WHEN 0 THEN 'q,season,ep,tvdbid' WHEN 1 THEN 'q,season,rid' ELSE '' END AS tv FROM supplier LEFT JOIN c ON c.id = s_name""",
 )
 def source_list(spark, sf):
-    out = routing.source_list(source_table(spark, sf), brand_mappings(spark, sf), tax.taxonomy(spark))
-    return out.select("id", "title", "link", flag("configured").alias("configured"))
+    out = routing.source_list(source_table(spark, sf), _source_mappings(spark, sf), tax.taxonomy(spark))
+    return out.select(
+        "id", "title", "link", flag("configured").alias("configured"), "description", "language", "type", F.size("categories").alias("categories"),
+        F.col("limits.default").alias("limit_default"), F.col("limits.max").alias("limit_max"), F.col("searching.tv_search.supportedParams").alias("tv"),
+    )
 
 
 @query(
     "source_directory_json",
-    """SELECT s_name AS id, 'https://s' || s_suppkey || '.invalid/' AS site_link, 'https://s' || s_suppkey || '.invalid/b/' AS alternative FROM supplier""",
+    f"""WITH {LISTED} SELECT s_name AS id, 'https://s' || s_suppkey || '.invalid/' AS site_link, 'https://s' || s_suppkey || '.invalid/b/' AS alternative,
+        'Shop ' || s_suppkey AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'en-US' ELSE 'de-DE' END AS language,
+        CASE s_suppkey % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'Private' ELSE 'semi-private' END AS type, coalesce(n, 0) AS caps,
+        'true' AS configured, '' AS last_error, 'false' AS potatoenabled FROM supplier LEFT JOIN c ON c.id = s_name""",
 )
 def source_directory_json(spark, sf):
-    out = routing.source_directory_json(source_table(spark, sf), brand_mappings(spark, sf), tax.taxonomy(spark))
+    out = routing.source_directory_json(source_table(spark, sf), _source_mappings(spark, sf), tax.taxonomy(spark))
     doc = F.try_parse_json("json")
+    text = lambda path: F.try_variant_get(doc, path, "string")
     return out.select(
-        "id", F.try_variant_get(doc, "$.site_link", "string").alias("site_link"),
-        F.try_variant_get(doc, "$.alternativesitelinks[0]", "string").alias("alternative"),
+        "id", text("$.site_link").alias("site_link"), text("$.alternativesitelinks[0]").alias("alternative"),
+        *[text(f"$.{k}").alias(k) for k in ("name", "language", "type", "configured", "last_error", "potatoenabled")],
+        F.size(F.try_variant_get(doc, "$.caps", "array<variant>")).alias("caps"),
     )
 
 

@@ -151,7 +151,7 @@ search:
 @query(
     "json_rows",
     """WITH j AS (SELECT event_id, json_extract(props, '$.k')::INT AS k, value, event_type, user_id FROM events)
-      SELECT event_id AS page_id, i AS row_no, event_type || i AS title, k::VARCHAR AS k, 'True,,' || user_id || ',a' AS flags,
+      SELECT event_id AS page_id, i AS row_no, event_type || i AS title, k::VARCHAR AS k, 'True,,' || user_id || ',0.00000000000000000001,,a,1' || repeat('0', 40) AS flags,
         CASE WHEN value = floor(value) THEN value::BIGINT::VARCHAR ELSE value::VARCHAR END || ' EUR' AS price, CASE WHEN k % 2 = 0 THEN 'even' ELSE 'odd' END AS parity
       FROM j, unnest(range(user_id % 3)) t(i) WHERE k != 13""",
 )
@@ -159,8 +159,8 @@ def json_rows(spark, sf):
     """Answers with zero to two hits and a hidden one, built around each event's own JSON."""
     e = fx.spread(fx.table(spark, sf, "events"))
     hit = F.concat(
-        F.lit('{"name": "'), F.col("event_type"), F.lit('%d", "props": '), F.col("props"), F.lit(', "flags": [true, null, '),
-        F.col("user_id").cast("string"), F.lit(', "a"], "price": '), F.col("value").cast("string"), F.lit(', "even": '),
+        F.lit('{"name": "'), F.col("event_type"), F.lit('%d", "props": '), F.col("props"), F.lit(', "flags": [true, null, [['),
+        F.col("user_id").cast("string"), F.lit(', [1e-20]], []], "a", 1e40], "price": '), F.col("value").cast("string"), F.lit(', "even": '),
         (F.get_json_object("props", "$.k").cast("int") % 2 == 0).cast("string"), F.lit("}"),
     )
     n = F.col("user_id") % 3

@@ -39,7 +39,7 @@ def backoff_deadline(spark, sf):
     "source_states",
     f"""WITH {STREAKS}, last AS (SELECT source, arg_max(streak, row(started, attempt_id)) AS failures, max(next_allowed) AS next_allowed FROM deadlines GROUP BY source),
       s AS (SELECT s_name AS id, 'Shop ' || s_suppkey AS name, s_suppkey::VARCHAR AS k FROM supplier),
-      t AS (SELECT l_suppkey, count(*) AS torrents FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL)
+      t AS (SELECT l_suppkey, count(*) AS torrents FROM lineitem GROUP BY ALL)
       SELECT id, name, coalesce(torrents, 0) AS torrents, coalesce(failures, 0) AS failures,
         CASE WHEN failures > 0 AND {NOW_SQL} < next_allowed THEN 'backoff' WHEN l.source IS NULL THEN 'idle' WHEN failures > 0 THEN 'failing' ELSE 'ok' END AS state
       FROM s LEFT JOIN last l ON l.source = k LEFT JOIN t ON l_suppkey::VARCHAR = k""",
@@ -48,7 +48,7 @@ def source_states(spark, sf):
     """The panel's directory: every source, scraped or not, with its count and state."""
     name = F.concat(F.lit("Supplier#"), F.lpad("source", 9, "0"))
     state = h.source_health(fx.attempts(spark, sf)).withColumn("source", name)
-    stored = fx.table(spark, sf, "lineitem").filter("l_linenumber = 1").select(
+    stored = fx.table(spark, sf, "lineitem").select(
         F.concat(F.lit("Supplier#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0")).alias("tracker"),
         F.col("l_shipdate").cast("timestamp").alias("published"),
     )
@@ -75,7 +75,7 @@ def _tried(spark, sf):
     "outcome_report",
     f"""WITH {SEARCH_ATTEMPTS}, c AS (SELECT request_id, tracker, count(*) AS n FROM rows GROUP BY ALL)
       SELECT t.request_id, source, source AS name, (epoch_us(ended) - epoch_us(started)) // 1000 AS elapsed_ms, coalesce(n, 0) AS results,
-        CASE WHEN ok THEN '' ELSE 'the indexer could not be searched' END AS error, CASE WHEN ok THEN 2 ELSE 1 END AS status
+        CASE WHEN ok THEN '' ELSE 'the tracker could not be searched' END AS error, CASE WHEN ok THEN 2 ELSE 1 END AS status
       FROM tried t LEFT JOIN c ON c.request_id = t.request_id AND tracker = source""",
 )
 def outcome_report(spark, sf):

@@ -161,7 +161,11 @@ def relative_dates(spark, sf):
       CASE WHEN strftime(o_orderdate, '%m-%d') = '02-29' THEN '' WHEN strftime(o_orderdate, '%m-%d') <= '01-15' THEN '2002-' || strftime(o_orderdate, '%m-%d') || ' 00:00:00'
         ELSE '2001-' || strftime(o_orderdate, '%m-%d') || ' 00:00:00' END AS no_year,
       '2002-01-15 ' || lpad((12 + o_orderkey % 12)::VARCHAR, 2, '0') || ':07:00' AS clock,
-      strftime({NOW_SQL} - to_days((o_orderkey % 400)::INT), '%Y-%m-%d %H:%M:%S') AS ago, '' AS hopeless FROM orders)
+      strftime({NOW_SQL} - to_days((o_orderkey % 400)::INT), '%Y-%m-%d %H:%M:%S') AS ago, '' AS hopeless,
+      strftime(o_orderdate + INTERVAL 3 HOUR, '%Y-%m-%d 03:00:00') AS year_last, strftime(o_orderdate, '%Y-%m-%d 12:00:00') AS short_year,
+      strftime(o_orderdate, '%Y-%m-%d 00:00:00') AS slashes, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d 00:00:00') AS month_only,
+      strftime(o_orderdate, '%Y-%m-%d 10:20:30') AS abbreviation, strftime(o_orderdate, '%Y-%m-%d 00:00:00') AS padded_epoch,
+      (5000 + o_orderkey % 4000)::VARCHAR || '-01-01 00:00:00' AS far_epoch FROM orders)
       ON COLUMNS(* EXCLUDE o_orderkey) INTO NAME shape VALUE parsed""",
 )
 def unknown_dates(spark, sf):
@@ -179,6 +183,13 @@ def unknown_dates(spark, sf):
         "clock": F.concat(F.when(k % 12 == 0, F.lit("12")).otherwise((k % 12).cast("string")), F.lit(":07 PM")),
         "ago": F.concat((k % 400).cast("string"), F.lit(" days ago")),
         "hopeless": F.concat(F.lit("soon "), k.cast("string"), F.lit(" or never")),
+        "year_last": F.date_format(d, "EEE MMM d 03:00:00 'UTC' yyyy"),
+        "short_year": F.date_format(d, "d MMM yy '12:00 UTC'"),
+        "slashes": F.date_format(d, "M/d/yy"),
+        "month_only": F.date_format(d, "yyyy-MM"),
+        "abbreviation": F.date_format(d, "yyyy-MM-dd '10:20:30 EST'"),
+        "padded_epoch": F.lpad(F.unix_seconds(d).cast("string"), 20, "0"),
+        "far_epoch": F.unix_seconds(F.make_timestamp((5000 + k % 4000).cast("int"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))).cast("string"),
     }
     rows = F.array(*[F.struct(F.lit(n).alias("shape"), c.alias("text")) for n, c in shapes.items()])
     written = fx.spread(fx.table(spark, sf, "orders")).select("o_orderkey", F.inline(rows))

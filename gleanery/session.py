@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
-def build_session(cores: int | str = "*", app: str = "gleanery", memory: str = "8g") -> SparkSession:
-    """A local session with the settings the jobs expect on a cluster too."""
+def build_session(cores: int | str = "*", app: str = "gleanery", memory: str = "8g", partitions: int = 8) -> SparkSession:
+    """A local session for tests and measurements. On a cluster the caller brings the session, sized to the job."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -36,14 +36,18 @@ def use_utc(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and staged tables.
+    """The shared folder for checkpoints and staged tables: spark.checkpoint.dir.
 
-    On a cluster this is spark.checkpoint.dir; only where that is unset, as in a
-    bare local test, is a folder of our own chosen.
+    Only a session that runs in one process, as in a bare local test, may go without: it
+    gets a folder of its own. On a cluster a missing setting is an error, since a local folder
+    would hold each machine's part alone.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = os.path.join(tempfile.gettempdir(), "gleanery-shared")
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="gleanery-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 

@@ -67,12 +67,44 @@ def test_unknown_dates(evaluate):
         "2024-03-05 07:05": datetime(2024, 3, 5, 7, 5),
         "Fri, 15 Mar 2024 12:00:00 +0200": datetime(2024, 3, 15, 10, 0),
         "15 Mar 2024": datetime(2024, 3, 15),
+        "Fri Mar 15 12:00:00 2024": datetime(2024, 3, 15, 12, 0),
+        "15 Mar 24 12:00 UTC": datetime(2024, 3, 15, 12, 0),
+        "3/15/24": datetime(2024, 3, 15),
+        "2024-03": datetime(2024, 3, 1),
+        "2024-03-15 12:00:00 EST": datetime(2024, 3, 15, 12, 0),
+        "00001710526200": datetime(2024, 3, 15, 18, 10),
+        "99999999999999999999": None,
+        "total nonsense": None,
+        "--": None,
         "soon": None,
         "": None,
     }
     assert evaluate(list(table), lambda c: dates.parse_unknown(c, NOW)) == list(table.values())
 
 
+def test_clock_readings_survive_dst_transitions(spark, evaluate):
+    """A time of day is built from its parts: 03:30 stays 03:30 on the day that has no 02:30."""
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        shown = lambda now: lambda c: dates.parse_unknown(c, now).cast("string")
+        assert evaluate(["Yesterday at 03:30"], shown(datetime(2024, 3, 11, 12, 0))) == ["2024-03-10 03:30:00"]
+        assert evaluate(["Sunday at 03:30"], shown(datetime(2024, 3, 16, 12, 0))) == ["2024-03-10 03:30:00"]
+        assert evaluate(["01:30"], shown(datetime(2024, 11, 3, 12, 0))) == ["2024-11-03 01:30:00"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_json_scalars(spark):
+    from gleanery.functions import jsonpath
+
+    table = {
+        "[[1,2],[3]]": "1,2,3", "[[[1],[2,[3,[4]]]],[]]": "1,2,3,4,", "1e-20": "0.00000000000000000001", "1e40": "1" + "0" * 40, "12345": "12345",
+        "-1.5e-7": "-0.00000015", '[true,null,"a,b\\"c",0.5]': 'True,,a,b"c,0.5', '[{"a":1},[2,[3]]]': '{"a":1},2,3', "null": "", "[]": "", "false": "False",
+    }
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(table)], "i int, v string").select("i", jsonpath.scalar_text(F.parse_json("v")).alias("t"))
+    assert [r.t for r in df.orderBy("i").collect()] == list(table.values())
+
+
 def chain(*steps):
     return lambda c: apply_chain(c, [{"name": n, "args": list(a)} for n, *a in steps], now=NOW)
 
