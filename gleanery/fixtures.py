@@ -176,6 +176,39 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search per event, its words, ids and sources taken from a part of its own; pages lie up to 300 rows deep and hold up to 10,000."""
+    events, part = table(spark, sf_dir, "events"), table(spark, sf_dir, "part")
+    many = part.count()
+    e = events.withColumn("p_partkey", (F.col("event_id") * 7) % many + 1).join(part, "p_partkey")
+    n, kind = F.col("event_id"), F.col("event_id") % 20
+    word = F.split("p_name", " ")
+    none = F.array().cast("array<string>")
+    brand = F.lower("p_brand")
+    source = F.concat(F.lit("Supplier#"), F.lpad((F.col("user_id") % 10).cast("string"), 9, "0"))
+    # One in twenty browses everything of a source, one looks for an id, three for a single letter in a named source.
+    terms = (
+        F.when(kind < 2, none)
+        .when(kind < 5, F.array(F.substring("p_type", 1, 1)))
+        .when(kind < 9, F.array(F.substring(word[1], 1, 3), brand))
+        .when(kind < 14, F.array(word[0], F.upper(word[1]), brand))
+        .otherwise(F.array(F.concat_ws(" ", word[1], brand), F.lower(F.substring("p_type", 2, 4))))
+    )
+    imdb = F.concat(F.lit("tt"), F.lpad(F.col("p_partkey").cast("string"), 8, "0"))
+    return e.select(
+        n.alias("request_id"),
+        terms.alias("terms"),
+        F.when(kind.isin(5, 10, 15), F.array(F.lit("2000"), F.lit("5040"))).when(kind == 16, F.array(F.lit("3010"))).otherwise(none).alias("categories"),
+        F.when(kind < 5, F.array(source)).otherwise(none).alias("trackers"),
+        (kind == 11).alias("needs_category"),
+        F.when(kind.isin(12, 13), F.array(F.lower("p_type"))).otherwise(none).alias("unsearched_terms"),
+        F.when(kind.isin(1, 6), F.create_map(F.lit("imdbid"), imdb)).otherwise(F.create_map().cast("map<string,string>")).alias("ids"),
+        F.when(kind.isin(3, 7, 17, 18), F.get(F.array(F.lit("R"), F.lit("A"), F.lit("N")), (n % 3).cast("int"))).otherwise("").alias("query_key"),
+        F.when(n % 997 == 0, F.lit(10_000)).otherwise(F.lit(5)).alias("limit"),
+        F.when(kind.isin(2, 8), n % 300).otherwise(F.lit(0)).alias("offset"),
+    )
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scrape attempt per event: error events failed, value is the elapsed seconds."""
     events = table(spark, sf_dir, "events")

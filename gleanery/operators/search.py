@@ -8,6 +8,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from gleanery.session import shared_path
+
 FEED_DEFAULT, FEED_MAX, JSON_MAX = 50, 100, 10_000
 
 
@@ -138,39 +140,64 @@ def grams(c: Column, n: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substr(c, i, F.lit(n))))
 
 
-def _signatures(requests: DataFrame) -> DataFrame:
-    """Requests with the parts that decide their answer in a canonical form and a key over them."""
-    terms = F.array_sort(F.array_distinct(F.transform("terms", lambda t: F.lower(t))))
-    terms = F.filter(terms, lambda t: t != "")
-    categories = F.array_sort(F.array_distinct(F.coalesce("categories", F.array().cast("array<string>"))))
-    trackers = F.array_sort(F.array_distinct(F.coalesce("trackers", F.array().cast("array<string>"))))
-    ready = requests.select(
+#: External ids a search may name, as columns of the listings.
+ID_COLUMNS = ("doubanid", "imdbid", "rageid", "tmdbid", "traktid", "tvdbid", "tvmazeid")
+
+
+def _bare_id(c: Column, column: str) -> Column:
+    """An external id without leading zeros (and an imdb id without its letters)."""
+    text = F.coalesce(c, F.lit(""))
+    return F.ltrim(F.regexp_replace(text, "^tt", "") if column == "imdbid" else text, F.lit("0"))
+
+
+def _canonical(requests: DataFrame, id_columns: Sequence[str]) -> DataFrame:
+    """Requests with the parts that decide their answer in one form, so that equal searches are equal values."""
+    nothing = F.array().cast("array<string>")
+
+    def words(name: str) -> Column:
+        if name not in requests.columns:
+            return nothing
+        folded = F.transform(F.coalesce(F.col(name), nothing), lambda t: F.lower(t))
+        return F.filter(F.array_sort(F.array_distinct(folded)), lambda t: t != "")
+
+    def exact(name: str) -> Column:
+        return F.array_sort(F.array_distinct(F.coalesce(F.col(name), nothing)))
+
+    ids = F.struct(F.lit("").alias("none"), *[_bare_id(F.try_element_at("ids", F.lit(c)), c).alias(c) for c in id_columns])
+    key = F.coalesce(F.col("query_key"), F.lit("")) if "query_key" in requests.columns else F.lit("")
+    return requests.select(
         "request_id",
-        "limit",
-        "offset",
-        terms.alias("terms"),
-        categories.alias("categories"),
-        trackers.alias("trackers"),
-        F.col("needs_category"),
+        F.greatest(F.col("limit").cast("bigint"), F.lit(0)).alias("limit"),
+        F.greatest(F.col("offset").cast("bigint"), F.lit(0)).alias("offset"),
+        F.struct(
+            words("terms").alias("terms"),
+            words("unsearched_terms").alias("unsearched"),
+            exact("categories").alias("categories"),
+            exact("trackers").alias("trackers"),
+            F.coalesce("needs_category", F.lit(False)).alias("needs_category"),
+            ids.alias("ids"),
+            key.alias("query_key"),
+        ).alias("search"),
     )
-    return ready.withColumn("sig", F.xxhash64("terms", "categories", "trackers", "needs_category"))
 
 
 def _match_names(wanted: DataFrame, names: DataFrame) -> DataFrame:
-    """(sig, name) for searches with terms.
+    """(sig, folded) for searches with terms.
 
     Inverted index: each search is looked up by its rarest gram only, where rare is
     counted over the distinct names; the candidates are verified inside the join, so
-    neither all pairs nor unverified pairs are ever written out. Terms shorter than a
-    trigram use 1- and 2-grams, built only for the lengths some term needs.
+    neither all pairs nor unverified pairs are ever written out. A term shorter than a trigram
+    is its own gram; names are cut into grams of those lengths only if some search is sought by one.
     """
-    gram_of = F.flatten(
-        F.transform("terms", lambda t: F.when(F.length(t) >= GRAM, grams(t, GRAM)).otherwise(F.array(t)))
-    )
+    gram_of = F.flatten(F.transform("terms", lambda t: F.when(F.length(t) >= GRAM, grams(t, GRAM)).otherwise(F.array(t))))
     sought = wanted.select("sig", F.explode(F.array_distinct(gram_of)).alias("gram"))
+    # A search with any whole trigram is sought by its trigrams alone: shorter grams are never rarer than needed.
+    long = sought.groupBy("sig").agg(F.max(F.length("gram")).alias("longest"))
+    sought = sought.join(long, "sig").where(F.length("gram") == F.col("longest")).drop("longest")
     needed = sought.select("gram").distinct()
-    by_name = names.select("folded", F.explode(F.flatten(F.array(*[grams(F.col("folded"), n) for n in (1, 2, GRAM)]))).alias("gram"))
-    index = by_name.join(needed, "gram", "left_semi")
+    lengths = sorted(r.n for r in needed.select(F.length("gram").alias("n")).distinct().collect())  # at most 1, 2 and 3
+    pieces = F.flatten(F.array(*[grams(F.col("folded"), n) for n in lengths])) if lengths else F.array().cast("array<string>")
+    index = names.select("folded", F.explode(pieces).alias("gram")).join(needed, "gram", "left_semi")
     frequency = index.groupBy("gram").agg(F.count("*").alias("names"))
     # A gram no name has makes the search empty; min_by over counts picks it as 0.
     chosen = (
@@ -186,76 +213,121 @@ def _match_names(wanted: DataFrame, names: DataFrame) -> DataFrame:
     return candidate.select("c.sig", "i.folded")
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def search_many(
     requests: DataFrame,
     listings: DataFrame,
     order: Sequence[str] = ("published", "id"),
     keep: Sequence[str] = ("tracker", "identity", "name", "published"),
-    depth: int = FEED_MAX,
+    bridge: DataFrame | None = None,
 ) -> DataFrame:
-    """(request_id, rank, total, *keep): the page of every request, each listing matched by name.
+    """(request_id, rank, total, *keep): the page of every request, however deep it lies.
 
-    requests: request_id, terms array, categories array, trackers array (empty = all),
-    needs_category, limit, offset with limit + offset <= depth (rows beyond are not kept).
+    requests: request_id, terms array, categories array, trackers array (empty = all), needs_category,
+    limit, offset, and if present unsearched_terms array, ids map<string,string> and query_key.
+    bridge: (tracker, identity, search_key), the searches that produced each managed listing.
 
     The plan never meets requests with single listings:
-      1. equal searches are answered once;
-      2. listings are reduced to groups that no search can tell apart (name, tracker,
-         categories), each with its count and its `depth` newest rows;
-      3. searches find names through the gram index;
-      4. group counts add up to totals, and group tops merge into pages.
-    Both top-n steps are ranked windows, which Spark limits per task before shuffling,
-    so a name or search holding a third of all rows never lands whole in one task.
+      1. equal searches are one value, answered once, as deep as the deepest request for it asks;
+      2. listings are reduced to groups that no search can tell apart, each with its count and its
+         newest row, in one scan whose result is stored;
+      3. searches find names through the gram index and groups through the names; counts add up to totals;
+      4. of a search's groups only the `depth` with the newest rows can hold a row of its page, so only those
+         meet rows, and of each group only its `depth` newest.
     """
-    signed = _signatures(requests)
-    distinct = signed.groupBy("sig").agg(
-        *[F.any_value(c).alias(c) for c in ("terms", "categories", "trackers", "needs_category")]
-    )
-    newest = [F.col(c).desc_nulls_last() for c in order]
-    group = ["folded", "tracker", "cats"]
-    rows = listings.withColumn("folded", F.lower("name")).withColumn("cats", F.col("categories").cast("array<string>"))
-    counts = rows.groupBy(*group).agg(F.count("*").alias("n"))
-    carried = list(dict.fromkeys([*keep, *order]))
-    tops = (
-        rows.select(*group, F.struct(*carried).alias("row"), F.row_number().over(W.partitionBy(*group).orderBy(*newest)).alias("r"))
-        .filter(F.col("r") <= depth)
-    )
+    ids = [c for c in ID_COLUMNS if c in listings.columns] if "ids" in requests.columns else []
+    keyed = "query_key" in requests.columns and bridge is not None
+    canonical = _canonical(requests, ids)
+    searches = canonical.groupBy("search").agg(F.max(F.col("limit") + F.col("offset")).alias("depth"))
+    searches = _written(searches.select("search.*", "depth").withColumn("sig", F.monotonically_increasing_id()), "searches")
+    deepest = searches.agg(F.max("depth")).first()[0] or 0
+
+    managed = F.coalesce(F.col("search_managed"), F.lit(False)) if "search_managed" in listings.columns else F.lit(False)
+    rows = listings.withColumns({"folded": F.lower("name"), "cats": F.col("categories").cast("array<string>"), "managed": managed})
+    if keyed:
+        produced = bridge.groupBy("tracker", "identity").agg(F.array_sort(F.collect_set("search_key")).alias("keys"))
+        rows = rows.join(produced, ["tracker", "identity"], "left").withColumn("keys", F.when(F.col("managed"), F.coalesce("keys", F.array().cast("array<string>"))))
+    rows = rows.withColumns({f"bare_{c}": F.when(~F.col("managed"), _bare_id(F.col(c), c)) for c in ids})
+    shelf = ["tracker", "cats", "managed", *(["keys"] if keyed else []), *[f"bare_{c}" for c in ids]]
+    group = ["folded", *shelf]
+    newest = F.struct(*order)
+    groups = rows.groupBy(*group).agg(F.count("*").alias("n"), F.max(newest).alias("head"))
+    groups = _written(groups, "search-groups")
+
+    def holds() -> Column:
+        """Unmanaged rows must hold one of the ids a search without terms names, and contradict none."""
+        named = [(F.col(f"ids.{c}"), F.col(f"bare_{c}")) for c in ids]
+        if not named:
+            return F.lit(True)
+        some = reduce(lambda a, b: a | b, [(want != "") & (want == have) for want, have in named])
+        clean = reduce(lambda a, b: a & b, [(want == "") | (have == "") | (want == have) for want, have in named])
+        unnamed = reduce(lambda a, b: a & b, [want == "" for want, _ in named])
+        return unnamed | (F.size("terms") > 0) | F.col("managed") | (some & clean)
 
-    with_terms = distinct.filter(F.size("terms") > 0)
-    names = counts.select("folded").distinct()
-    matched = _match_names(with_terms, names).join(with_terms.drop("terms"), "sig")
     fits = F.expr(
         "(size(trackers) = 0 OR array_contains(trackers, tracker))"
         " AND (size(categories) = 0 OR size(cats) = 0 OR arrays_overlap(categories, cats))"
         " AND (NOT needs_category OR size(cats) > 0)"
-    )
-    hit_groups = matched.join(counts, "folded").filter(fits).select("sig", *group, "n")
-
-    # Browsing (no terms) matches whole (tracker, categories) groups, whatever the name.
-    browse = distinct.filter(F.size("terms") == 0).drop("terms")
-    shelf = ["tracker", "cats"]
+    ) & holds()
+    if keyed:
+        fits = fits & ((F.col("query_key") == "") | ~F.col("managed") | F.array_contains("keys", F.col("query_key")))
+    unsought = F.expr("managed OR forall(unsearched, t -> contains(folded, t))")
+
+    with_terms = searches.where(F.size("terms") > 0)
+    names = groups.select("folded").distinct()
+    matched = _match_names(with_terms, names).join(with_terms, "sig")
+    facts = ["sig", "depth", "n", "head"]
+    hits = matched.join(groups, "folded").where(fits & unsought).select(*facts, *group)
+
+    # Browsing (no terms) matches whole shelves, whatever the name; with terms that only unmanaged rows
+    # must match, names count after all.
     any_tag = F.lit("*")
-    shelves = counts.groupBy(*shelf).agg(F.sum("n").alias("n")).withColumn("tag", F.explode(F.array(any_tag, F.col("tracker"))))
-    asked = browse.withColumn("tag", F.explode(F.when(F.size("trackers") == 0, F.array(any_tag)).otherwise(F.col("trackers"))))
-    hit_shelves = asked.join(shelves, "tag").filter(fits).select("sig", *shelf, "n")
 
-    totals = hit_groups.select("sig", "n").unionByName(hit_shelves.select("sig", "n")).groupBy("sig").agg(F.sum("n").alias("total"))
+    def browsed(asked: DataFrame, kept: DataFrame, fit: Column, columns: list[str]) -> DataFrame:
+        asked = asked.withColumn("tag", F.explode(F.when(F.size("trackers") == 0, F.array(any_tag)).otherwise(F.col("trackers"))))
+        kept = kept.withColumn("tag", F.explode(F.array(any_tag, F.col("tracker"))))
+        return asked.join(kept, "tag").where(fit).select(*facts, *columns)
+
+    browse = searches.where(F.size("terms") == 0)
+    hits = hits.unionByName(browsed(browse.where(F.size("unsearched") > 0), groups, fits & unsought, group))
+    shelves = groups.groupBy(*shelf).agg(F.sum("n").alias("n"), F.max("head").alias("head"))
+    on_shelf = browsed(browse.where(F.size("unsearched") == 0), shelves, fits, shelf)
+
+    totals = hits.select("sig", "n").unionByName(on_shelf.select("sig", "n")).groupBy("sig").agg(F.sum("n").alias("total"))
+    first = [F.col(f"head.{c}").desc_nulls_last() for c in order]
     by_row = [F.col(f"row.{c}").desc_nulls_last() for c in order]
-    shelf_tops = (
-        tops.withColumn("r", F.row_number().over(W.partitionBy(*shelf).orderBy(*by_row))).filter(F.col("r") <= depth).drop("r")
-    )
-    found = (
-        hit_groups.join(tops.drop("r"), group).select("sig", "row")
-        .unionByName(hit_shelves.join(shelf_tops, shelf).select("sig", "row"))
-    )
+
+    def deep(found: DataFrame) -> DataFrame:
+        place = F.row_number().over(W.partitionBy("sig").orderBy(*first))
+        return found.withColumn("place", place).where((F.col("place") <= F.col("depth")) & (F.col("place") <= deepest)).drop("place", "n", "head")
+
+    carried = F.struct(*[F.col(c) for c in dict.fromkeys([*keep, *order])])
+    place = F.row_number().over(W.partitionBy(*group).orderBy(*[F.col(c).desc_nulls_last() for c in order]))
+    tops = _written(rows.select(*group, carried.alias("row"), place.alias("r")).where(F.col("r") <= deepest), "search-tops")
+    place = F.row_number().over(W.partitionBy(*shelf).orderBy(*by_row))
+    shelf_tops = tops.withColumn("r", place).where(F.col("r") <= deepest)
+
+    def met(found: DataFrame, kept: DataFrame, columns: list[str]) -> DataFrame:
+        a, b = found.alias("a"), kept.alias("b")
+        same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in columns])
+        return a.join(b, same & (F.col("b.r") <= F.col("a.depth"))).select("a.sig", "a.depth", "b.row")
+
+    found = met(deep(hits), tops, group).unionByName(met(deep(on_shelf), shelf_tops, shelf))
     ranked = (
         found.withColumn("rank", F.row_number().over(W.partitionBy("sig").orderBy(*by_row)))
-        .filter(F.col("rank") <= depth)
+        .where((F.col("rank") <= F.col("depth")) & (F.col("rank") <= deepest))
         .join(totals, "sig")
     )
+    parts = [c for c in searches.columns if c not in ("sig", "depth")]
+    asked = canonical.select("request_id", "limit", "offset", "search.*")
+    signed = asked.join(searches, parts).select("request_id", "sig", "limit", "offset")
     return (
-        signed.select("request_id", "sig", "limit", "offset")
-        .join(ranked, "sig")
-        .filter((F.col("rank") > F.col("offset")) & (F.col("rank") <= F.col("offset") + F.col("limit")))
-        .select("request_id", (F.col("rank") - F.col("offset")).alias("rank"), "total", *[F.col(f"row.{c}").alias(c) for c in keep])
+        signed.join(ranked, "sig")
+        .where((F.col("rank") > F.col("offset")) & (F.col("rank") <= F.col("offset") + F.col("limit")))
+        .select("request_id", (F.col("rank") - F.col("offset")).cast("int").alias("rank"), "total", *[F.col(f"row.{c}").alias(c) for c in keep])
     )

@@ -111,22 +111,25 @@ def search_provenance(spark, sf):
 
 @query(
     "batch_search",
-    f"""WITH {sql.LISTINGS}, {sql.requests()},
-      q AS (SELECT DISTINCT terms, categories, trackers, needs_category, "limit", "offset",
-              hash(terms, categories, trackers, needs_category, "limit", "offset") AS k FROM requests),
-      ranked AS (SELECT k, row_number() OVER w AS pos, count(*) OVER (PARTITION BY k) AS total, l.tracker, l.identity, l.name, l.published,
-            q."limit" AS lim, q."offset" AS off
-          FROM q JOIN listings l ON list_bool_and(list_transform(list_append(terms, ''), lambda t: contains(lower(l.name), lower(t))))
-            AND (len(q.categories) = 0 OR len(l.categories) = 0 OR list_has_any(q.categories, l.categories::VARCHAR[]))
+    f"""WITH {sql.LISTINGS}, {sql.SEARCHES}, {sql.SEARCH_REQUESTS},
+      known AS (SELECT tracker, identity, list(DISTINCT search_key) AS keys FROM searches GROUP BY ALL),
+      l AS MATERIALIZED (SELECT l.*, lower(name) AS folded, ltrim(imdbid, '0') AS bare, coalesce(keys, []) AS keys FROM listings l LEFT JOIN known USING (tracker, identity)),
+      n AS (SELECT DISTINCT folded FROM l),
+      m AS (SELECT q.*, folded FROM search_requests q JOIN n ON list_bool_and(list_transform(list_append(terms, ''), lambda t: contains(folded, lower(t))))),
+      ranked AS (SELECT request_id, row_number() OVER w AS pos, count(*) OVER (PARTITION BY request_id) AS total, l.tracker, l.identity, l.name, l.published,
+            m."limit" AS lim, m."offset" AS off
+          FROM m JOIN l ON m.folded = l.folded AND (len(m.categories) = 0 OR len(l.categories) = 0 OR list_has_any(m.categories, l.categories::VARCHAR[]))
             AND (len(trackers) = 0 OR list_contains(trackers, l.tracker)) AND (NOT needs_category OR len(l.categories) > 0)
-          WINDOW w AS (PARTITION BY k ORDER BY l.published DESC NULLS LAST, l.id DESC))
-      SELECT r.request_id, pos - off AS rank, total, tracker, identity, name, {sql.folded('published')} AS published
-      FROM requests r JOIN ranked ON hash(r.terms, r.categories, r.trackers, r.needs_category, r."limit", r."offset") = k
-      WHERE pos > off AND pos <= off + lim""",
+            AND (search_managed OR list_bool_and(list_transform(list_append(unsearched, ''), lambda t: contains(l.folded, t))))
+            AND (imdb = '' OR len(terms) > 0 OR search_managed OR bare = imdb)
+            AND (m.query_key = '' OR NOT search_managed OR list_contains(keys, m.query_key))
+          WINDOW w AS (PARTITION BY request_id ORDER BY l.published DESC NULLS LAST, l.id DESC))
+      SELECT request_id, pos - off AS rank, total, tracker, identity, name, {sql.folded('published')} AS published
+      FROM ranked WHERE pos > off AND pos <= off + lim""",
 )
 def batch_search(spark, sf):
     """Every request's page and total in one job."""
-    found = s.search_many(fx.requests(spark, sf), fx.listings(spark, sf), depth=s.FEED_MAX)
+    found = s.search_many(fx.search_requests(spark, sf), fx.listings(spark, sf), bridge=fx.searches(spark, sf))
     return found.withColumn("published", stamp("published"))
 
 

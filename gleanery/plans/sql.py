@@ -64,6 +64,17 @@ requests AS (
   FROM events)"""
 
 
+SEARCH_REQUESTS = """
+search_requests AS (
+  SELECT event_id AS request_id, CASE WHEN k < 2 THEN []::VARCHAR[] WHEN k < 5 THEN [substr(p_type, 1, 1)] WHEN k < 9 THEN [substr(w[2], 1, 3), lower(p_brand)]
+      WHEN k < 14 THEN [w[1], upper(w[2]), lower(p_brand)] ELSE [w[2] || ' ' || lower(p_brand), lower(substr(p_type, 2, 4))] END AS terms,
+    CASE WHEN k IN (5, 10, 15) THEN ['2000', '5040'] WHEN k = 16 THEN ['3010'] ELSE []::VARCHAR[] END AS categories,
+    CASE WHEN k < 5 THEN ['Supplier#' || lpad((user_id % 10)::VARCHAR, 9, '0')] ELSE []::VARCHAR[] END AS trackers, k = 11 AS needs_category,
+    CASE WHEN k IN (12, 13) THEN [lower(p_type)] ELSE []::VARCHAR[] END AS unsearched, CASE WHEN k IN (1, 6) THEN p_partkey::VARCHAR ELSE '' END AS imdb,
+    CASE WHEN k IN (3, 7, 17, 18) THEN ['R', 'A', 'N'][event_id % 3 + 1] ELSE '' END AS query_key,
+    CASE WHEN event_id % 997 = 0 THEN 10000 ELSE 5 END AS "limit", CASE WHEN k IN (2, 8) THEN event_id % 300 ELSE 0 END AS "offset"
+  FROM (SELECT *, event_id % 20 AS k, string_split(p_name, ' ') AS w FROM events JOIN part ON p_partkey = (event_id * 7) % (SELECT count(*) FROM part) + 1))"""
+
 ATTEMPTS = """
 attempts AS (
   SELECT user_id::VARCHAR AS source, event_type AS key, event_id AS attempt_id, ts AS started,

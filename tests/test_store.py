@@ -86,7 +86,7 @@ def test_batch_search_equals_single_searches(spark, store):
     asked = [(["hot"], [], [], False), (["PLATE", "o"], ["2040"], [], False), ([], ["2000"], ["t1"], True), ([], [], [], False), (["zz%", "c"], [], ["t0"], False), (["nothing"], [], [], False), (["b"], [], [], True)]
     requests = spark.createDataFrame([(i, *q, 4, i % 3) for i, q in enumerate(asked)],
                                      "request_id int, terms array<string>, categories array<string>, trackers array<string>, needs_category boolean, limit int, offset int")
-    got = s.search_many(requests, listings, depth=10).collect()
+    got = s.search_many(requests, listings).collect()
     for i, (terms, categories, trackers, needs) in enumerate(asked):
         page, total = s.search(listings, s.Query(terms=terms, categories=categories, trackers=trackers, needs_category=needs, limit=4, offset=i % 3))
         want = [(n, r.identity, total.first().total) for n, r in enumerate(page.collect(), start=1)]
