@@ -51,17 +51,16 @@ def store_merge(spark, sf):
 
 @query(
     "store_ids",
-    f"""WITH {sql.LISTINGS} SELECT count(*) AS rows, count(*) AS ids, (SELECT count(DISTINCT (tracker, identity)) FROM sightings WHERE last_seen - to_days(leechers) >= {CUT}) AS searched,
-      0 AS out_of_order FROM listings""",
+    f"""WITH {sql.LISTINGS}, late AS (SELECT DISTINCT tracker, identity FROM sightings WHERE last_seen - to_days(leechers) >= {CUT}),
+      early AS (SELECT DISTINCT tracker, identity FROM sightings WHERE last_seen - to_days(leechers) < {CUT}),
+      placed AS (SELECT l.tracker, l.identity, e.tracker IS NULL AS second, l.id FROM listings l LEFT JOIN early e USING (tracker, identity))
+      SELECT tracker, identity, row_number() OVER (ORDER BY second, id) AS place, (SELECT count(*) FROM late) AS searched FROM placed""",
 )
 def store_ids(spark, sf):
-    """Ids are unique, kept through the second merge, and later arrivals have higher ones."""
+    """Ids are dense and follow the order of arrival: the first batch's listings first, each batch in its own order."""
     store = _two_batches(spark, sf)
-    stored = store.listings()
-    produced = store.searches().agg(F.count("*")).scalar()
-    return stored.agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids"), F.count_if(F.col("id").isNull() | (F.col("id") < 1)).alias("out_of_order")).select(
-        "rows", "ids", produced.alias("searched"), "out_of_order"
-    )
+    searched = store.searches().agg(F.count("*")).scalar()
+    return store.listings().select("tracker", "identity", F.col("id").alias("place"), searched.alias("searched"))
 
 
 @query(
@@ -78,13 +77,22 @@ def store_sweep(spark, sf):
     return _stored(store.listings())
 
 
-@query("store_lookup")
+@query(
+    "store_lookup",
+    f"""WITH {sql.LISTINGS}, first AS (SELECT tracker, min(identity) AS identity FROM listings GROUP BY tracker ORDER BY tracker LIMIT 3)
+      SELECT tracker, identity, name FROM listings JOIN first USING (tracker, identity)""",
+)
 def store_lookup(spark, sf):
-    """One row by source and id, through the source's bucket."""
+    """One row by source and id, through the source's bucket, for three sources; another source's id finds nothing."""
     store = _two_batches(spark, sf)
-    tracker = "Supplier#000000001"
-    wanted = store.listings([tracker]).agg(F.max("id")).first()[0]
-    return s.find(store.listings([tracker]), tracker, wanted).select("tracker", "identity", "name")
+    first = store.listings().groupBy("tracker").agg(F.min_by("id", "identity").alias("id")).orderBy("tracker").limit(3).collect()
+    found = None
+    for at, row in enumerate(first):
+        mine = s.find(store.listings([row.tracker]), row.tracker, row.id)
+        other = s.find(store.listings([row.tracker]), row.tracker, first[at - 1].id)
+        both = mine if len(first) == 1 else mine.unionByName(other)
+        found = both if found is None else found.unionByName(both)
+    return found.select("tracker", "identity", "name")
 
 
 # --- rule files ----------------------------------------------------------------------------
