@@ -7,6 +7,8 @@ from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gleanery.session import cut_lineage
+
 KEY = ["tracker", "identity"]
 
 
@@ -66,13 +68,20 @@ def merge_rows(sightings: DataFrame, order: Sequence[str], id_col: str | None =
 
 
 def assign_ids(new: DataFrame, order: Sequence[str], start: int) -> DataFrame:
-    """Ids for rows never stored before: above `start`, increasing in `order`, not dense.
+    """Ids for rows never stored before: above `start`, dense, increasing in `order`.
 
-    Range partitioning keeps the order across partitions and the per-partition counter
-    within them, so no single task ever sees all rows.
+    Rows are dealt by range and numbered where they land; one count per partition reaches the
+    driver, so no single task ever sees all rows.
     """
     ranked = new.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-    return ranked.withColumn("id", F.lit(start + 1).cast("bigint") + F.monotonically_increasing_id())
+    dealt = cut_lineage(ranked.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
+    offsets, before = [], start + 1
+    for row in dealt.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("first")).orderBy("__part").collect():
+        offsets += [F.lit(row["__part"]), F.lit(before - row["first"]).cast("bigint")]
+        before += row.n
+    if not offsets:
+        return dealt.withColumn("id", F.lit(None).cast("bigint")).drop("__part", "__at")
+    return dealt.withColumn("id", F.element_at(F.create_map(*offsets), F.col("__part")) + F.col("__at")).drop("__part", "__at")
 
 
 def merge_searches(bridge: DataFrame, batch: DataFrame) -> DataFrame:

@@ -52,9 +52,11 @@ def store_merge(spark, sf):
 @query(
     "store_ids",
     f"""WITH {sql.LISTINGS}, late AS (SELECT DISTINCT tracker, identity FROM sightings WHERE last_seen - to_days(leechers) >= {CUT}),
-      early AS (SELECT DISTINCT tracker, identity FROM sightings WHERE last_seen - to_days(leechers) < {CUT}),
-      placed AS (SELECT l.tracker, l.identity, e.tracker IS NULL AS second, l.id FROM listings l LEFT JOIN early e USING (tracker, identity))
-      SELECT tracker, identity, row_number() OVER (ORDER BY second, id) AS place, (SELECT count(*) FROM late) AS searched FROM placed""",
+      early AS (SELECT tracker, identity, max(seq) AS place FROM sightings WHERE last_seen - to_days(leechers) < {CUT} GROUP BY ALL),
+      later AS (SELECT tracker, identity, max(seq) AS place FROM sightings WHERE last_seen - to_days(leechers) >= {CUT} GROUP BY ALL),
+      placed AS (SELECT l.tracker, l.identity, e.tracker IS NULL AS second, coalesce(e.place, n.place) AS "at"
+        FROM listings l LEFT JOIN early e USING (tracker, identity) LEFT JOIN later n ON n.tracker = l.tracker AND n.identity = l.identity)
+      SELECT tracker, identity, row_number() OVER (ORDER BY second, "at") AS place, (SELECT count(*) FROM late) AS searched FROM placed""",
 )
 def store_ids(spark, sf):
     """Ids are dense and follow the order of arrival: the first batch's listings first, each batch in its own order."""

@@ -19,17 +19,18 @@ class ListingStore:
     """Listings under <root>/listings, provenance under <root>/searches, both by bucket.
 
     A bucket is a hash of the source, so a search over named sources opens only their
-    buckets. Within a bucket rows are spread over tasks by identity: a source holding a
-    third of all rows is written by many tasks and merged by an aggregate keyed on
-    (tracker, identity), never by one.
+    buckets. Rows are merged by an aggregate keyed on (tracker, identity), and a bucket is
+    written by as many tasks as its rows fill files, spread by identity: a source holding a
+    third of all rows is never one task's work.
 
-    A write goes to a staging folder first, since it reads the table it replaces, and then
-    replaces the touched buckets. Staging and table share one root on the shared file system.
+    A write goes to a staging folder first, since it reads the table it replaces; the staged
+    buckets then take the place of the touched ones by renaming. Staging and table share one
+    root on the shared file system. One writer at a time: a merge and a sweep must not overlap.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, writers_per_bucket: int = 1):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, rows_per_file: int = ROWS_PER_FILE):
         self.spark, self.root = spark, root.rstrip("/")
-        self.buckets, self.writers = buckets, writers_per_bucket
+        self.buckets, self.rows_per_file = buckets, rows_per_file
 
     def _fs(self, path: str):
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -77,29 +78,37 @@ class ListingStore:
 
     # -- writing
 
-    def _write(self, content: DataFrame, path: str, order: list[str], dynamic: bool) -> None:
-        spread = F.pmod(F.xxhash64("tracker", "identity"), F.lit(self.writers))
-        writer = (
-            content.repartition("bucket", spread)
-            .sortWithinPartitions("bucket", *order)
-            .write.option("maxRecordsPerFile", ROWS_PER_FILE)
-            .partitionBy("bucket")
-        )
-        if dynamic:
-            writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.parquet(path)
-
     def _replace(self, name: str, content: DataFrame, touched: list[int], order: list[str]) -> None:
         """Swap the touched buckets of a table for `content`; buckets left without rows disappear."""
         target, stage = f"{self.root}/{name}", f"{self.root}/.stage-{name}-{uuid.uuid4().hex}"
-        self._write(content.withColumn("bucket", self._bucket()), stage, order, dynamic=False)
-        filled = self._filled(stage)
-        if filled:
-            self._write(self.spark.read.parquet(stage), target, order, dynamic=True)
-        for bucket in set(touched) - filled:
+        bucketed = content.withColumn("bucket", self._bucket())
+        # At most one row per touched bucket reaches the driver.
+        files = {r.bucket: -(-r["count"] // self.rows_per_file) for r in bucketed.groupBy("bucket").count().collect()}
+        if files:
+            writers = F.element_at(F.create_map(*[F.lit(int(x)) for pair in files.items() for x in pair]), F.col("bucket"))
+            spread = F.pmod(F.xxhash64("tracker", "identity"), writers)
+            dealt = bucketed.repartition(sum(files.values()), "bucket", spread).sortWithinPartitions("bucket", *order)
+            dealt.write.option("maxRecordsPerFile", self.rows_per_file).partitionBy("bucket").parquet(stage)
+        fs, root = self._fs(target)
+        fs.mkdirs(root)
+        for bucket in sorted({*touched, *files}):
             self._remove(f"{target}/bucket={bucket}")
+            if bucket in files:
+                fs.rename(self._fs(f"{stage}/bucket={bucket}")[1], self._fs(f"{target}/bucket={bucket}")[1])
         self._remove(stage)
 
+    def _highest(self) -> int:
+        """The highest id given so far, from a file of its own; the table is asked only where there is none."""
+        path = f"{self.root}/highest"
+        fs, p = self._fs(path)
+        if fs.exists(p):
+            return self.spark.read.schema("id bigint").parquet(path).agg(F.max("id")).first()[0] or 0
+        return self._read("listings").agg(F.max("id")).first()[0] or 0
+
+    def _record_highest(self, highest: int) -> None:
+        """One row is added per merge that gave ids, before its rows appear: a crash leaves a gap, never a repeat."""
+        self.spark.range(1).select(F.lit(highest).cast("bigint").alias("id")).coalesce(1).write.mode("append").parquet(f"{self.root}/highest")
+
     def merge(self, batch: DataFrame, seen_at: Column, search_key: str = "", order: tuple[str, ...] = ("page_id", "row_no")) -> int:
         """Upsert a batch of listings; later rows of a batch, by the long columns `order`, win.
 
@@ -130,15 +139,18 @@ class ListingStore:
             return 0
         both = self._part("listings", touched).withColumn("__order", stored_place).unionByName(fresh)
         merged = cut_lineage(ops.merge_rows(both, ["__order"], id_col="id"))
-        highest = self._read("listings").agg(F.max("id")).first()[0] or 0
+        highest = self._highest()
         new = cut_lineage(ops.assign_ids(merged.filter("id IS NULL"), ["__order"], highest))
+        added = new.count()
+        if added:
+            self._record_highest(highest + added)
         known = merged.filter("id IS NOT NULL")
         self._replace("listings", known.select(*COLUMNS).unionByName(new.select(*COLUMNS)), touched, ["tracker", "published"])
         if search_key:
             produced = fresh.select("tracker", F.lit(search_key).alias("search_key"), "identity", "last_seen")
             bridge = ops.merge_searches(self._part("searches", touched), produced)
             self._replace("searches", bridge, touched, ["tracker", "search_key"])
-        return new.count()
+        return added
 
     def _rewrite(self, listings: DataFrame, bridge: DataFrame, touched: list[int]) -> None:
         # Provenance first: a search row must not outlive its listing.

@@ -91,3 +91,13 @@ def test_batch_search_equals_single_searches(spark, store):
         page, total = s.search(listings, s.Query(terms=terms, categories=categories, trackers=trackers, needs_category=needs, limit=4, offset=i % 3))
         want = [(n, r.identity, total.first().total) for n, r in enumerate(page.collect(), start=1)]
         assert sorted((r.rank, r.identity, r.total) for r in got if r.request_id == i) == want
+
+
+def test_a_hot_source_is_written_by_many_tasks(spark, tmp_path):
+    store = ListingStore(spark, str(tmp_path / "hot"), buckets=4, rows_per_file=10)
+    store.merge(batch(spark, *[dict(name=f"n{i}", tracker="hot") for i in range(95)], dict(name="other", tracker="cold")), F.lit(T0))
+    files = sorted((tmp_path / "hot" / "listings").glob("bucket=*/*.parquet"))
+    assert len(files) >= 5 and store.listings().count() == 96
+    assert sorted(r.id for r in store.listings().collect()) == list(range(1, 97))
+    store.merge(batch(spark, dict(name="late", tracker="cold")), F.lit(T1))
+    assert {r.name: r.id for r in store.listings(["cold"]).collect()}["late"] == 97
