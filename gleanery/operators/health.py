@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gleanery.operators.scan import islands, running, scan_islands
+from gleanery.operators.scan import CELL, cells_before, chain, deal, in_cell, islands, running, scan_islands
+from gleanery.session import cut_lineage
 
 # Fixed value: what clients are told of a source that failed; its cause stays in the log.
 SEARCH_FAILED = "the tracker could not be searched"
@@ -24,13 +25,21 @@ def plus_seconds(ts: Column, seconds: Column) -> Column:
 def failure_streak(attempts: DataFrame, order: tuple[str, ...] = ("started", "attempt_id")) -> DataFrame:
     """streak: failures since the source's last success, after each attempt.
 
-    Attempts that only waited in a queue count as neither; the caller leaves them out.
+    Attempts that only waited in a queue count as neither; the caller leaves them out. Both parts, failures
+    so far and failures at the last success, are carried from cell to cell in one pass.
     """
-    failed = F.when(F.col("ok"), 0).otherwise(1)
-    counted = running(attempts, ["source"], order, {"__failed": ("sum", failed)}, order[0])
-    at_success = F.when(F.col("ok"), F.col("__failed"))
-    reset = running(counted, ["source"], order, {"__reset": ("max", at_success)}, order[0])
-    return reset.withColumn("streak", (F.col("__failed") - F.coalesce("__reset", F.lit(0))).cast("int")).drop("__failed", "__reset")
+    keys = ["source"]
+    here = in_cell(keys, order)
+    rows = deal(attempts, keys, order).withColumn("__failed", F.when(F.col("ok"), 0).otherwise(1))
+    rows = rows.withColumn("__fails", F.sum("__failed").over(here))
+    rows = cut_lineage(rows.withColumn("__reset", F.max(F.when(F.col("ok"), F.col("__fails"))).over(here)))
+    cells = rows.groupBy(CELL, *keys).agg(F.sum("__failed").alias("f"), F.max("__reset").alias("r"))
+    earlier = cells_before(keys)
+    cells = cells.withColumn("__base", F.coalesce(F.sum("f").over(earlier), F.lit(0)))
+    cells = cells.withColumn("__last", F.max(F.col("r") + F.col("__base")).over(earlier)).drop("f", "r")
+    reset = F.coalesce(F.greatest(F.col("__reset") + F.col("__base"), F.col("__last")), F.lit(0))
+    streak = (F.col("__fails") + F.col("__base") - reset).cast("int")
+    return rows.join(cells, [CELL, *keys]).select(*attempts.columns, streak.alias("streak"))
 
 
 def backoff_seconds(streak: Column) -> Column:
@@ -40,7 +49,7 @@ def backoff_seconds(streak: Column) -> Column:
 def backoff(streaks: DataFrame, order: tuple[str, ...] = ("started", "attempt_id")) -> DataFrame:
     """next_allowed: the deadline after each attempt, never earlier than one already set."""
     own = F.when(~F.col("ok"), plus_seconds(F.col("ended"), backoff_seconds(F.col("streak"))))
-    return running(streaks, ["source"], order, {"next_allowed": ("max", own)}, order[0])
+    return running(streaks, ["source"], order, {"next_allowed": ("max", own)})
 
 
 def source_health(attempts: DataFrame, order: tuple[str, ...] = ("started", "attempt_id")) -> DataFrame:
@@ -136,20 +145,16 @@ def gate_requests(
 ) -> DataFrame:
     """accepted: whether a request reaches the source, or repeats a search answered within the interval.
 
-    The window runs from the last accepted success, so a skipped repeat does not extend it.
-    A gap of a whole interval clears the state, which is where the log is cut into islands.
+    The window runs from the last accepted success, so a skipped repeat does not extend it: the
+    successes accepted are a chain, each the first one at or after the end of the window before. `tie` is unique.
     """
     reach = plus_seconds(F.col(ts), F.lit(interval))
-    split = islands(requests, keys, (ts, tie), ts, reach)
-    micros = interval * 1_000_000
-
-    def step(last, row):
-        now = getattr(row, ts).value // 1000
-        accepted = last is None or now - last >= micros
-        succeeded = accepted and (ok is None or bool(getattr(row, ok)))
-        return (now if succeeded else last), (accepted,)
-
-    return scan_islands(split, keys, (ts, tie), step, lambda: None, "accepted boolean").drop("island")
+    answered = requests if ok is None else requests.where(ok)
+    taken = chain(answered, keys, (ts, tie), reach, tie).withColumn("__taken", F.lit(True))
+    marked = requests.join(taken, tie, "left").withColumn("__until", F.when(F.col("__taken"), reach))
+    known = running(marked, keys, (ts, tie), {"__blocked": ("max", F.col("__until"))}, before=True)
+    accepted = F.col("__blocked").isNull() | (F.col(ts) >= F.col("__blocked"))
+    return known.withColumn("accepted", accepted).select(*requests.columns, "accepted")
 
 
 def space_requests(
@@ -157,7 +162,7 @@ def space_requests(
 ) -> DataFrame:
     """accepted and wait_ms: each source takes one request per `spacing`; a longer queue than max_wait is skipped."""
     reach = plus_seconds(F.col(ts), F.lit(max_wait + spacing))
-    split = islands(requests, ("source",), (ts, tie), ts, reach)
+    split = islands(requests, ("source",), (ts, tie), reach)
     gap, most = spacing * 1_000_000, max_wait * 1_000_000
 
     def step(next_allowed, row):
@@ -182,15 +187,11 @@ def coalesce_inflight(
     on its own plays no part.
     """
     start, ident = order[0], order[-1]
-    split = islands(attempts, keys, order, start, F.col("ended"))
-
-    def step(flight, row):
-        begun = getattr(row, start).value
-        if flight is None or begun >= flight[1]:
-            flight = (int(getattr(row, ident)), row.ended.value)
-        return flight, (flight[0],)
-
-    return scan_islands(split, keys, order, step, lambda: None, "leader_id bigint").drop("island")
+    leaders = chain(attempts, keys, order, F.col("ended"), ident).withColumn("__leads", F.lit(True))
+    marked = attempts.join(leaders, ident, "left")
+    lead = F.when(F.col("__leads"), F.struct(F.col(start).alias("at"), F.col(ident).cast("bigint").alias("id")))
+    flown = running(marked, keys, order, {"__flight": ("max", lead)})
+    return flown.select(*attempts.columns, F.col("__flight.id").alias("leader_id"))
 
 
 def request_gap(delay: Column) -> Column:
@@ -210,8 +211,8 @@ def delay_schedule(
     cost = gap_micros.cast("bigint") + duration_micros.cast("bigint")
     order = (ts, tie)
     prepared = requests.withColumn("__cost", cost).withColumn("__end0", arrive + duration_micros.cast("bigint"))
-    summed = running(prepared, ["source"], order, {"__sum": ("sum", F.col("__cost"))}, ts)
-    topped = running(summed, ["source"], order, {"__top": ("max", F.col("__end0") - F.col("__sum"))}, ts)
+    summed = running(prepared, ["source"], order, {"__sum": ("sum", F.col("__cost"))})
+    topped = running(summed, ["source"], order, {"__top": ("max", F.col("__end0") - F.col("__sum"))})
     queued = F.col("__top") + F.col("__sum")
     answered = F.when(gap_micros > 0, queued).otherwise(F.col("__end0"))
     return (

@@ -65,3 +65,21 @@ def test_coalescing_delay_and_streaks(frame, log):
         want[i] = answered[source] = begun + timedelta(seconds=seconds)
     out = h.delay_schedule(frame, F.lit(2_000_000), F.col("seconds") * 1_000_000)
     assert {r.request_id: r.answered for r in out.collect()} == want
+
+
+def test_a_key_that_is_never_idle(spark):
+    """One long chain over many cells, with flights of no length among it."""
+    rows = [(i, "hot", "k", START + timedelta(milliseconds=700 * i), True, [0.0, 3.0, 1.4][i % 3]) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "request_id bigint, source string, key string, ts timestamp, ok boolean, seconds double")
+    last, want = None, {}
+    for i, _, _, ts, *_ in rows:
+        want[i] = last is None or ts - last >= timedelta(seconds=5)
+        last = ts if want[i] else last
+    assert {r.request_id: r.accepted for r in h.gate_requests(frame).collect()} == want
+    attempts = frame.select(F.col("request_id").alias("attempt_id"), "source", "key", F.col("ts").alias("started"), h.plus_seconds(F.col("ts"), F.col("seconds")).alias("ended"), "ok")
+    flight, leaders = None, {}
+    for i, _, _, ts, _, seconds in rows:
+        if flight is None or ts >= flight[1]:
+            flight = (i, ts + timedelta(seconds=seconds))
+        leaders[i] = flight[0]
+    assert {r.attempt_id: r.leader_id for r in h.coalesce_inflight(attempts).collect()} == leaders
