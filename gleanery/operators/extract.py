@@ -330,6 +330,22 @@ def extract_all(pages: DataFrame, definitions: Sequence[Mapping], now=None, conf
     return reduce(DataFrame.unionByName, parts)
 
 
+def extract_each(
+    pages: DataFrame, definitions: Sequence[Mapping], now=None, configs: Mapping[str, Mapping] | None = None, **options
+) -> tuple[DataFrame | None, list[tuple[str, str]]]:
+    """extract_all with every source compiled on its own: (rows, [(source, why its rules do not compile)]).
+
+    Pages stored by source let each branch open its own files only.
+    """
+    parts, failed = [], []
+    for definition in definitions:
+        try:
+            parts.append(extract_all(pages, [definition], now, configs, **options))
+        except Exception as problem:  # noqa: BLE001 a rule may be wrong in any way, and must cost no other source
+            failed.append((definition["id"], str(problem).splitlines()[0] if str(problem) else type(problem).__name__))
+    return (reduce(DataFrame.unionByName, parts) if parts else None), failed
+
+
 def kept_rows(extracted: DataFrame) -> DataFrame:
     return extracted.filter("row_no IS NOT NULL AND reason IS NULL AND error IS NULL").drop("reason", "error")
 

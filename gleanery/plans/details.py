@@ -19,6 +19,7 @@ from gleanery.plans.capture import NOW, rules, site_pages
 from gleanery.plans.registry import joined, query, stamp
 from gleanery.session import shared_path
 from gleanery.sources import feeds, pages as page_source
+from gleanery.sources.store import ListingStore
 from gleanery.streaming import ingest
 
 #: The white space class as the SQL engine's expressions spell it.
@@ -216,3 +217,92 @@ def captured_pages(spark, sf):
     return ready.select("page_id", "format", body(F.col("body")), F.lit(0).alias("rejected")).union(
         rejects.select("page_id", "format", body(F.lit("")), F.lit(1).alias("rejected"))
     )
+
+
+INGEST_RULES = {
+    "s0": """id: s0
+name: First
+links: [https://s0.invalid/]
+search:
+  path: page
+  rows: {selector: nav ul li}
+  fields:
+    title: {selector: a}
+    size: {text: "{{ .Config.weight }} MB"}
+settings: [{name: weight, type: text, default: "7"}]
+""",
+    "s1": "id: [unclosed",
+    "s2": """id: s2
+name: Third
+links: [https://s2.invalid/]
+search:
+  path: page
+  rows: {selector: nav ul li}
+  fields:
+    name: {selector: a}
+    title: {text: '{{ re_replace .Result.name "(" "x" }}'}
+""",
+    "s3": """id: s3
+name: Fourth
+links: [https://s3.invalid/]
+search:
+  path: page
+  error: [{selector: "nav:not(:has(li:nth-child(6)))", message: {selector: b}}]
+  rows: {selector: nav ul li, after: 1}
+  fields:
+    title: {selector: a}
+""",
+}
+#: The first source's rules as they are when the second half of the pages arrives.
+CHANGED = INGEST_RULES["s0"].replace("title: {selector: a}", 'title: {selector: a, filters: [{name: append, args: " (new)"}]}')
+
+
+def _put(spark, path: str, text: str) -> None:
+    """A small text file in any store the session knows."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+@query(
+    "ingest_pages",
+    r"""WITH p AS (SELECT page_id, 's' || page_id % 4 AS source, page_id % 8 >= 4 AS second, html, regexp_extract(html, '<nav>(.*?)</nav>', 1) AS nav FROM pages),
+      kept AS (SELECT *, len(regexp_extract_all(nav, '<li>')) AS items FROM p WHERE strlen(html) <= 4000),
+      l AS (SELECT source, second, items, unnest(regexp_extract_all(nav, '<li><a href="[^"]*">([^<]*)</a></li>', 1)) AS title,
+        unnest(range(len(regexp_extract_all(nav, '<li>')))) AS i FROM kept WHERE source IN ('s0', 's3')),
+      t AS (SELECT source, replace(title, '&amp;', '&') || CASE WHEN source = 's0' AND second THEN ' (new)' ELSE '' END AS name FROM l
+        WHERE title != '' AND (source = 's0' OR (i >= 1 AND items >= 6)))
+      SELECT DISTINCT 'listing' AS kind, source AS key, name AS text, CASE WHEN source = 's0' THEN 9 * 1048576 ELSE 0 END AS size FROM t
+      UNION ALL SELECT 'error', page_id::VARCHAR, 'response of ' || strlen(html) || ' bytes exceeds 4000', 0 FROM p WHERE strlen(html) > 4000
+      UNION ALL SELECT 'error', page_id::VARCHAR, CASE source WHEN 's1' THEN 'no usable rules' WHEN 's2' THEN 're_replace: bad pattern ' || chr(39) || '(' || chr(39)
+          ELSE 'tracker reported an error' END, 0 FROM kept WHERE source IN ('s1', 's2') OR (source = 's3' AND items < 6)""",
+)
+def ingest_pages(spark, sf):
+    """Pages arriving in two batches with a rule change between, from four sources: one with settings of its own, one
+    with a broken rule file, one whose rules do not compile, one with error pages; some pages over the size cap."""
+    from gleanery.schema import PAGES
+
+    root = shared_path(spark, "ingest-pages")
+    raw = fx.table(spark, sf, "pages").select(
+        "page_id", F.concat(F.lit("s"), (F.col("page_id") % 4).cast("string")).alias("source"), "url", F.lit(None).cast("timestamp").alias("fetched_at"),
+        F.lit("html").alias("format"), F.col("html").alias("body"),
+    )
+    for source, text in INGEST_RULES.items():
+        _put(spark, f"{root}/rules/{source}.yml", text)
+    _put(spark, f"{root}/settings/s0.yml", 'weight: "9"')
+    store = ListingStore(spark, f"{root}/store", buckets=4)
+    for half in (raw.where("page_id % 8 < 4"), raw.where("page_id % 8 >= 4")):
+        half.select(*PAGES.names).write.mode("append").parquet(f"{root}/pages")
+        arriving = page_source.read_pages(spark, f"{root}/pages", streaming=True)
+        ingest.ingest_pages(
+            arriving, store, f"{root}/rules", f"{root}/checkpoint", lambda: NOW, lambda errors, epoch: errors.write.mode("append").parquet(f"{root}/errors"),
+            overrides_dir=f"{root}/settings", max_bytes=4000,
+        ).awaitTermination()
+        _put(spark, f"{root}/rules/s0.yml", CHANGED)
+    errors = spark.read.parquet(f"{root}/errors")
+    return (
+        store.listings()
+        .select(F.lit("listing").alias("kind"), F.col("tracker").alias("key"), F.col("name").alias("text"), F.col("size").cast("bigint").alias("size"))
+        .union(errors.select(F.lit("error"), F.col("page_id").cast("string"), "error", F.lit(0).cast("bigint")))
+    )

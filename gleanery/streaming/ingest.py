@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from gleanery.operators import extract, taxonomy
-from gleanery.sources import rules as rule_files
+from gleanery.schema import PAGES
+from gleanery.session import shared_path
+from gleanery.sources import pages as page_source, rules as rule_files
 from gleanery.sources.store import ListingStore
 
 DEFAULT_RETENTION_DAYS = 30
@@ -51,32 +53,64 @@ def ingest_pages(
     now: Callable[[], datetime] = _utc_now,
     on_errors: Callable[[DataFrame, int], None] | None = None,
     once: bool = True,
+    overrides_dir: str | None = None,
+    max_bytes: int = page_source.MAX_BODY,
 ) -> StreamingQuery:
-    """Extract, type and merge captured pages; rules are read again for each micro-batch.
+    """Guard, decode, extract, type and merge captured pages; rules and settings are read again for each micro-batch.
 
-    A broken rule file takes only its own source out of the batch. Extraction is finished
-    before the store is touched, so a store failure replays the batch from its pages.
+    A batch is staged by source, so that a source's rules open its own pages only however many sources there are.
+    What fails costs itself alone: a page over the size cap or in an unknown charset, a source whose
+    rule file is broken, missing, or does not compile. All of it is reported to `on_errors` as (page_id, source, url,
+    error), once the store has the batch; a batch replayed after a failure starts again from its pages.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
+        moment = now()
+        ready = page_source.with_format(batch)
+        if "raw" in batch.columns:
+            ready = page_source.decode_body(ready)
+        else:
+            ready = ready.withColumn("error", F.lit(None).cast("string"))
+        about = ["page_id", "source", "url", "error"]
+        kept, rejects = page_source.split_oversize(ready, max_bytes)
+        broken = ready.filter("error IS NOT NULL").select(*about)
+        stage = shared_path(spark, "pages")
+        fields = [f for f in PAGES.fields if f.name != "source"]
+        kept.filter("error IS NULL").select(*[f.name for f in fields], "source").write.partitionBy("source").parquet(stage)
+        staged = spark.read.schema(T.StructType([*fields, PAGES["source"]])).parquet(stage)
         usable, _ = rule_files.reject_duplicate_ids(rule_files.read_rules(spark, rules_dir))
         definitions = rule_files.definitions(usable)
-        if not definitions:
-            return
-        moment = now()
-        extracted = extract.extract_all(batch, definitions, moment).persist()
-        if on_errors is not None:
-            on_errors(extract.page_errors(extracted), epoch)
-        listed = extract.to_listings(
-            extract.kept_rows(extracted),
-            rule_files.sources_table(usable),
-            rule_files.mappings_table(usable),
-            taxonomy.taxonomy(spark),
-            moment,
-        )
-        store.merge(listed, F.lit(moment))
-        extracted.unpersist()
+        configs: dict[str, dict[str, str]] = {}
+        for row in rule_files.read_overrides(spark, overrides_dir).collect() if overrides_dir else []:  # configuration
+            configs.setdefault(row.source, {})[row.name] = row.value
+        extracted, failed = extract.extract_each(staged, definitions, moment, configs)
+        known = {d["id"] for d in definitions}
+        failed += [(r.source, "no usable rules") for r in staged.select("source").distinct().collect() if r.source not in known]
+        try:
+            errors = broken.union(rejects.select(*about))
+            if failed:
+                why = F.create_map(*[F.lit(x) for pair in failed for x in pair])
+                hit = F.try_element_at(why, F.col("source"))
+                errors = errors.union(staged.withColumn("error", hit).filter("error IS NOT NULL").select(*about))
+            if extracted is not None:
+                extracted = extracted.persist()
+                errors = errors.union(extract.page_errors(extracted).select(*about))
+                listed = extract.to_listings(
+                    extract.kept_rows(extracted),
+                    rule_files.sources_table(usable),
+                    rule_files.mappings_table(usable),
+                    taxonomy.taxonomy(spark),
+                    moment,
+                )
+                store.merge(listed, F.lit(moment))
+            if on_errors is not None:
+                on_errors(errors, epoch)
+        finally:
+            if extracted is not None:
+                extracted.unpersist()
+            path = spark._jvm.org.apache.hadoop.fs.Path(stage)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     writer = pages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
