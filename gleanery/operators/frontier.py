@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanery.functions.urls import request_url
 
@@ -29,43 +31,47 @@ def choose_path(mapped: Column, declared: Column) -> tuple[Column, Column]:
     return runs, F.when(open_path, F.coalesce(mapped, nothing)).when(runs, shared).otherwise(nothing)
 
 
-def plan_paths(requests: DataFrame, paths: DataFrame) -> DataFrame:
-    """Requests (with source and site_categories) on the paths of their source that serve them.
+def plan_frontier(
+    requests: DataFrame,
+    sources: DataFrame,
+    paths: DataFrame,
+    rendered: Callable[[Column], Column] | None = None,
+    form: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """Every address to fetch: requests on the mirrors and search paths of their source that serve them.
+
+    requests: request_id, source, site_categories and whatever `rendered` (a path struct to the path asked, default
+    its own text) and `form` (a path struct to the encoded form) read; paths: source, path_ordinal, path, method, categories.
 
-    paths: source, path_ordinal, path, method, categories, inherit_inputs.
+    A source's paths are one array beside each of its mirrors, so a request chooses among them, and leaves out a
+    GET that an earlier path of it already makes, before anything is multiplied out; POSTs all run.
     """
-    runs, categories = choose_path(F.col("site_categories"), F.col("path_categories"))
-    planned = requests.join(paths.withColumnRenamed("categories", "path_categories"), "source")
-    return (
-        planned.withColumn("__runs", runs)
-        .withColumn("request_categories", categories)
-        .filter("__runs")
-        .drop("__runs", "path_categories")
-    )
+    listed = paths.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("path_ordinal", *[c for c in paths.columns if c not in ("source", "path_ordinal")]))).alias("__paths"))
+    mirrors = candidate_mirrors(sources).select("source", F.col("ordinal").alias("mirror_ordinal"), "mirror").join(listed, "source")
+    if rendered is None:
+        # The address does not depend on the request: resolve it once per source, path and mirror.
+        mirrors = mirrors.withColumn("__paths", F.transform("__paths", lambda p: p.withField("url", request_url(F.col("mirror"), p["path"]))))
+    planned = requests.join(mirrors, "source")
 
+    def asked(p: Column) -> Column:
+        _, categories = choose_path(F.col("site_categories"), p["categories"])
+        url = p["url"] if rendered is None else request_url(F.col("mirror"), rendered(p))
+        return p.withField("url", url).withField("form", form(p) if form else F.lit("")).withField("request_categories", categories)
 
-def dedup_gets(plan: DataFrame) -> DataFrame:
-    """Two paths of one request that build the same GET run once, the first one; POSTs all run."""
-    first = W.partitionBy("request_id", "source", "mirror", "url", "form").orderBy("path_ordinal")
-    is_get = F.coalesce(F.lower("method") != "post", F.lit(True))
-    return plan.withColumn("__n", F.row_number().over(first)).filter(~is_get | (F.col("__n") == 1)).drop("__n")
+    runs = F.filter("__paths", lambda p: choose_path(F.col("site_categories"), p["categories"])[0])
+    planned = planned.withColumn("__asked", F.transform(runs, asked))
 
+    def is_get(p: Column) -> Column:
+        return F.coalesce(F.lower(p["method"]) != "post", F.lit(True))
 
-def plan_frontier(requests: DataFrame, sources: DataFrame, paths: DataFrame, rendered: Column | None = None, form: Column | None = None) -> DataFrame:
-    """Every address to fetch, deduplicated.
+    def first(p: Column, i: Column) -> Column:
+        # A repeat is an equal GET further up the same array; a source has few paths.
+        above = F.slice("__asked", F.lit(1), i)
+        return ~is_get(p) | ~F.exists(above, lambda q: is_get(q) & (q["url"] == p["url"]) & (q["form"] == p["form"]))
 
-    requests: request_id, source, site_categories and whatever `rendered` (the path as a
-    Column, default the path text itself) and `form` (the encoded form) read.
-    """
-    mirrors = candidate_mirrors(sources).select("source", F.col("ordinal").alias("mirror_ordinal"), "mirror")
-    if rendered is None:
-        # The address does not depend on the request: resolve it once per source, path and mirror.
-        addresses = paths.join(mirrors, "source").withColumn("url", request_url(F.col("mirror"), F.col("path")))
-        addressed = plan_paths(requests, addresses)
-    else:
-        addressed = plan_paths(requests, paths).join(mirrors, "source").withColumn("url", request_url(F.col("mirror"), rendered))
-    addressed = addressed.withColumn("form", form if form is not None else F.lit(""))
-    return dedup_gets(addressed)
+    out = planned.withColumn("__p", F.explode(F.filter("__asked", first)))
+    kept = [c for c in paths.columns if c not in ("source", "categories")]
+    return out.select(*requests.columns, "mirror_ordinal", "mirror", *[F.col(f"__p.{c}").alias(c) for c in (*kept, "url", "form", "request_categories")])
 
 
 def with_site_link(config: Column, mirror: Column) -> Column:

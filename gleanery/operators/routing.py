@@ -82,29 +82,20 @@ def needed_capabilities() -> Column:
     return F.when(F.col("imdbid") != "", by_id).otherwise(general)
 
 
-def route_requests(requests: DataFrame, sources: DataFrame) -> DataFrame:
-    """Each request with `sources`, the sorted ids of the sources that can answer it.
+def route_requests(requests: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests with `needs`, routes (needs, source)): what each request asks for, and who answers each such set.
 
-    Requests fall into a handful of need sets, so the sources of each set are worked out
-    once by an equi-join on capability; requests never meet sources pair by pair.
+    Requests fall into a handful of need sets, so the sources of a set are worked out and kept once, by an
+    equi-join on capability. Requests never meet sources: join the two on `needs` for the pairs wanted.
     """
-    needing = requests.withColumn("__needs", needed_capabilities())
-    sets = needing.select("__needs").distinct().withColumn("capability", F.explode("__needs"))
-    answered = (
-        sets.join(capabilities(sources), "capability")
-        .groupBy("__needs")
-        .agg(F.array_sort(F.collect_set("source")).alias("sources"))
-    )
-    return (
-        needing.join(answered, "__needs", "left")
-        .withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
-        .drop("__needs")
-    )
+    needing = requests.withColumn("needs", F.array_join(F.array_sort(needed_capabilities()), " "))
+    sets = needing.select("needs").distinct().withColumn("capability", F.explode(F.split("needs", " ")))
+    return needing, sets.join(capabilities(sources), "capability").select("needs", "source").distinct()
 
 
-def unsupported(routed: DataFrame) -> DataFrame:
+def unsupported(needing: DataFrame, routes: DataFrame) -> DataFrame:
     """Requests no source can answer."""
-    return routed.filter(F.size("sources") == 0).drop("sources")
+    return needing.join(routes.select("needs").distinct(), "needs", "left_anti").drop("needs")
 
 
 def restrict_sources(sources: DataFrame, wanted: DataFrame) -> DataFrame:

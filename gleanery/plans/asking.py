@@ -225,10 +225,12 @@ routed AS (SELECT DISTINCT request_id, k FROM needs JOIN caps USING (c))"""
       FROM typed t LEFT JOIN routed USING (request_id) GROUP BY t.request_id""",
 )
 def route_requests(spark, sf):
-    routed = routing.route_requests(typed_requests(spark, sf), source_table(spark, sf))
-    return routed.select(
-        "request_id", F.size("sources").alias("n_sources"), F.coalesce(F.array_min("sources"), F.lit("")).alias("first_source"),
-        F.coalesce(F.array_max("sources"), F.lit("")).alias("last_source"),
+    """Each request's need set, met with what is known of the set's sources."""
+    needing, routes = routing.route_requests(typed_requests(spark, sf), source_table(spark, sf))
+    about = routes.groupBy("needs").agg(F.count("*").alias("n_sources"), F.min("source").alias("first_source"), F.max("source").alias("last_source"))
+    return needing.join(about, "needs", "left").select(
+        "request_id", F.coalesce("n_sources", F.lit(0)).alias("n_sources"), F.coalesce("first_source", F.lit("")).alias("first_source"),
+        F.coalesce("last_source", F.lit("")).alias("last_source"),
     )
 
 
@@ -237,8 +239,7 @@ def route_requests(spark, sf):
     f"WITH {TYPED}, {CAPABILITIES} SELECT request_id, type FROM typed ANTI JOIN routed USING (request_id)",
 )
 def unsupported_requests(spark, sf):
-    routed = routing.route_requests(typed_requests(spark, sf), source_table(spark, sf))
-    return routing.unsupported(routed).select("request_id", "type")
+    return routing.unsupported(*routing.route_requests(typed_requests(spark, sf), source_table(spark, sf))).select("request_id", "type")
 
 
 @query(

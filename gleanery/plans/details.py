@@ -150,7 +150,7 @@ def rendered_paths(spark, sf):
 def rendered_frontier(spark, sf):
     """The frontier with every path rendered from the request: equal GETs run once, POSTs all."""
     asked = fx.requests(spark, sf).select("request_id", "source", F.col("categories").alias("site_categories"), F.array_join("terms", " ").alias("kw"))
-    plan = frontier.plan_frontier(asked, source_table(spark, sf), path_table(spark, sf), rendered=F.concat(F.lit("find/"), urls.path_value(F.col("kw"))))
+    plan = frontier.plan_frontier(asked, source_table(spark, sf), path_table(spark, sf), rendered=lambda p: F.concat(F.lit("find/"), urls.path_value(F.col("kw"))))
     return plan.groupBy("request_id", "source", "mirror", "url").agg(F.count("*").alias("paths"))
 
 
