@@ -7,25 +7,9 @@ from pyspark.sql import Column, functions as F
 # Unicode white space, as a regex class body.
 SPACE = r"\t\n\x0B\f\r \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
-# Size unit -> power of 1024.
-SIZE_UNITS = {
-    "b": 0,
-    "б": 0,
-    "kb": 1,
-    "kib": 1,
-    "кб": 1,
-    "mb": 2,
-    "mib": 2,
-    "мб": 2,
-    "gb": 3,
-    "gib": 3,
-    "гб": 3,
-    "tb": 4,
-    "tib": 4,
-    "тб": 4,
-    "pb": 5,
-    "pib": 5,
-}
+# The prefixes of size units in both scripts, by power of 1024, and the letter of a byte.
+SIZE_PREFIXES = {"k": 1, "m": 2, "g": 3, "t": 4, "p": 5, "к": 1, "м": 2, "г": 3, "т": 4}
+BYTE_LETTERS = {"b": "kmgtp", "б": "кмгт"}
 
 # Counts from here on are placeholders, not swarms.
 PEER_LIMIT = 5_000_000
@@ -51,8 +35,11 @@ def keep_numeric(c: Column) -> Column:
 
 
 def _decimal(kept: Column) -> Column:
-    point = F.regexp_replace(F.translate(kept, ",", "."), r"\.(?=.*\.)", "")
-    value = point.try_cast("double")
+    """The number in digits, points and commas: the last of these is the decimal point."""
+    point = F.translate(kept, ",", ".")
+    part = F.substring_index(point, ".", -1)
+    whole = F.translate(F.substr(point, F.lit(1), F.length(point) - F.length(part)), ".", "")
+    value = F.when(F.contains(point, F.lit(".")), F.concat(whole, F.lit("."), part)).otherwise(point).try_cast("double")
     return F.nullif(value, F.lit(float("inf")))
 
 
@@ -79,17 +66,15 @@ def peer_count(c: Column) -> Column:
 def parse_size_or_null(c: Column) -> Column:
     """Bytes, or NULL when there is no number or no known unit.
 
-    Letters that are a unit are looked up. Otherwise the alternatives of one pattern are tried
-    in order, so the longest known unit contained anywhere wins; no letters at all mean bytes.
+    Units are looked for among the letters alone, the i of binary ones left out: those with a prefix first, in
+    the order of their spelling, then bare bytes. No letters at all mean bytes.
     """
-    number = _decimal(keep_numeric(c))
     letters = F.regexp_replace(F.lower(c), r"[^\p{L}]|i", "")
-    by_length = sorted(SIZE_UNITS, key=lambda unit: (-len(unit), unit))
-    pattern = "|".join(f"^.*({unit}).*$" for unit in by_length)
-    unit = F.regexp_replace(letters, pattern, "".join(f"${n + 1}" for n in range(len(by_length))))
-    scales = [part for name, power in {**SIZE_UNITS, "": 0}.items() for part in (F.lit(name), F.lit(1024.0**power))]
-    known = F.create_map(*scales)
-    return (number * F.coalesce(F.try_element_at(known, letters), F.try_element_at(known, unit))).try_cast("bigint")
+    units = sorted((prefix + letter, SIZE_PREFIXES[prefix]) for letter, prefixes in BYTE_LETTERS.items() for prefix in prefixes)
+    scale = F.when(letters == "", F.lit(1.0))
+    for unit, power in [*units, *((letter, 0) for letter in BYTE_LETTERS)]:
+        scale = scale.when(F.contains(letters, F.lit(unit)), F.lit(1024.0**power))
+    return (_decimal(keep_numeric(c)) * scale).try_cast("bigint")
 
 
 def parse_size(c: Column) -> Column:
