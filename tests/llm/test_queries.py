@@ -166,7 +166,7 @@ def linked(rows, n):
     return [find(i) for i in range(len(rows))], sets
 
 
-@pytest.mark.parametrize("limit", [128, 6])
+@pytest.mark.parametrize("limit", [512, 6])
 def test_near_duplicates(spark, nasty, monkeypatch, limit):
     """Also with tiny nodes, so that pivots, branching and blocks all take part."""
     from gleanery.llm import near_dedup
