@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gleanery.llm.common import mix64, random_words, slices, stored, table, text_or_empty
 from gleanery.llm.near_dedup import _groups
 
-SPAN, GRAM, HOT = 400, 96, 4096
+SPAN, GRAM, HOT = 400, 96, 8192
 #: Windows handled at once; places within are 23 bits.
 PIECE = 1 << 22
 _BITS = np.uint64(23)
@@ -257,43 +257,64 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
     names = ["g", "kind", "row", "p", "lo", "hi", "known", "context"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-    for batch in slices(batches, "packed", 2 << 20):
-        met: dict[tuple, list] = {}
-        spans: dict[int, list[tuple[int, int]]] = {}
+    met: dict[tuple, list] = {}  # (hash, lead, context): [row, place, first window, last, known, hot]
+    spans: dict[int, list[tuple[int, int]]] = {}
+    held = 0
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for (h, _, context), (row, p, lo, hi, known, hot) in met.items():
+            if not hot:
+                out.append((h, 0, row, p, lo, hi, known, context))
+                continue
+            for s in range(lo, hi + 1):
+                digest = xxhash.xxh3_128_digest(context[s - lo : s - lo + SPAN])
+                out.append((int.from_bytes(digest[:8], "little", signed=True), 1, row, s, s, s, known, digest))
+            if len(out) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=names)
+                out = []
+        out += [(row, 2, row, 0, a, b, True, None) for row, found in spans.items() for a, b in _merged(found)]
+        for start in range(0, len(out), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out[start : start + 20_000]), kinds)], names=names)
+        met.clear()
+        spans.clear()
+
+    for batch in slices(batches, "packed", 1 << 20):
         for row, packed, found in zip(*(batch.column(x).to_pylist() for x in ("row", "packed", "found"))):
             text = unpack.decompress(packed)
             for x in found:
-                h, p, lo, hi = x["h"], x["p"], x["lo"], x["hi"]
-                if x["hot"]:
-                    for s in range(lo, hi + 1):
-                        digest = xxhash.xxh3_128_digest(text[s : s + SPAN])
-                        key = (int.from_bytes(digest[:8], "little", signed=True), 1, digest)
-                        if key in met:
-                            spans.setdefault(row, []).append((s, s + SPAN))
-                            if not met[key][-1]:
-                                spans.setdefault(met[key][0], []).append((met[key][1], met[key][1] + SPAN))
-                                met[key][-1] = True
-                        else:
-                            met[key] = [row, s, s, s, False]
+                p, lo, hi = x["p"], x["lo"], x["hi"]
+                key = (x["h"], p - lo, text[lo : hi + SPAN])
+                if key in met:
+                    spans.setdefault(row, []).append((lo, hi + SPAN))
+                    first = met[key]
+                    if not first[4]:
+                        spans.setdefault(first[0], []).append((first[2], first[3] + SPAN))
+                        first[4] = True
                 else:
-                    context = text[lo : hi + SPAN]
-                    key = (h, 0, (p - lo, context))
-                    if key in met:
-                        spans.setdefault(row, []).append((lo, hi + SPAN))
-                        if not met[key][-1]:
-                            spans.setdefault(met[key][0], []).append((met[key][2], met[key][3] + SPAN))
-                            met[key][-1] = True
-                    else:
-                        met[key] = [row, p, lo, hi, False]
-        out = [(g, kind, row, p, lo, hi, known, what if kind else what[1]) for (g, kind, what), (row, p, lo, hi, known) in met.items()]
-        out += [(row, 2, row, 0, a, b, True, None) for row, found in spans.items() for a, b in _merged(found)]
-        for start in range(0, len(out), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out[start : start + 20_000]), kinds)], names=names)
+                    met[key] = [row, p, lo, hi, False, x["hot"]]
+                    held += hi + SPAN - lo
+            if held > 8 << 20:
+                yield from sent()
+                held = 0
+    yield from sent()
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], most: int = 4_000) -> Iterator[pa.Table]:
+    """Tables of whole groups of `g`, of `most` rows or else one group."""
+    for rows in _groups(batches, "g", most):
+        g = rows.column("g").to_numpy()
+        heads = np.append(np.flatnonzero(np.r_[True, g[1:] != g[:-1]]), len(g))
+        start = 0
+        while start < len(heads) - 1:
+            stop = max(start + 1, int(np.searchsorted(heads, heads[start] + most, "right")) - 1)
+            yield rows.slice(heads[start], heads[stop] - heads[start])
+            start = stop
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans (row, a, b) from rows sorted by (kind, g, context)."""
-    for rows in _groups(batches, "g", 20_000):
+    for rows in _whole_groups(batches):
         kind = rows.column("kind").to_numpy()
         g, row, p, lo, hi = (rows.column(x).to_numpy() for x in ("g", "row", "p", "lo", "hi"))
         known = rows.column("known").to_numpy()
