@@ -8,6 +8,7 @@ from __future__ import annotations
 import codecs
 import html
 import unicodedata
+from functools import lru_cache
 import urllib.parse
 
 import pandas as pd
@@ -36,18 +37,25 @@ def html_decode(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("&")), _unescape(c)).otherwise(c)
 
 
-def _strip_marks(text: str) -> str:
-    bare = "".join(ch for ch in unicodedata.normalize("NFD", text) if unicodedata.category(ch) != "Mn")
-    return unicodedata.normalize("NFC", bare)
-
-
-@F.pandas_udf(T.StringType())
-def _without_marks(values: pd.Series) -> pd.Series:
-    return values.map(_strip_marks, na_action="ignore")
+@lru_cache(maxsize=1)
+def _bare_letters() -> tuple[str, str]:
+    """Composed characters and what is left of each without its marks, by the rule of canonical decomposition."""
+    composed, bare = [], []
+    for code in range(0xA0, 0x10000):
+        char = chr(code)
+        parts = unicodedata.normalize("NFD", char)
+        if parts == char or unicodedata.category(char) == "Mn":
+            continue
+        left = unicodedata.normalize("NFC", "".join(p for p in parts if unicodedata.category(p) != "Mn"))
+        if left != char and len(left) == 1:
+            composed.append(char)
+            bare.append(left)
+    return "".join(composed), "".join(bare)
 
 
 def remove_diacritics(c: Column) -> Column:
-    return F.when(c.rlike(r"[^\x00-\x7F]"), _without_marks(c)).otherwise(c)
+    """Letters without their marks: loose marks are dropped, composed letters become bare ones."""
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(F.regexp_replace(c, r"\p{Mn}+", ""), *_bare_letters())).otherwise(c)
 
 
 @F.pandas_udf(T.StructType([T.StructField("body", T.StringType()), T.StructField("error", T.StringType())]))

@@ -26,30 +26,50 @@ def to_java_pattern(pattern: str) -> str:
     return f"(?u){pattern}" if "(?i" in pattern else pattern
 
 
+def _reference(text: str, at: int) -> tuple[str, int]:
+    """The reference that starts behind a dollar sign, and the place behind it; '' when there is none."""
+    if text[at : at + 1] in ("$", "&"):
+        return text[at], at + 1
+    if text[at : at + 1] == "{":
+        end = text.find("}", at)
+        name = text[at + 1 : end] if end > 0 else ""
+        return (name, end + 1) if name and _is_word(name) else ("", at)
+    end = at
+    if text[at : at + 1].isdecimal() and text[at].isascii():
+        while end < len(text) and text[end].isascii() and text[end].isdecimal():
+            end += 1
+    else:
+        while end < len(text) and _is_word(text[end]):
+            end += 1
+    return text[at:end], end
+
+
+def _is_word(text: str) -> bool:
+    return text.isascii() and all(ch.isalnum() or ch == "_" for ch in text)
+
+
 def to_java_replacement(replacement: str, pattern: str) -> str:
     """$1x is group 1 then x, $& the whole match, $$ a dollar; a group that does not exist is empty."""
     groups = group_count(pattern) or 0
-    names = set(re.findall(r"\(\?<([A-Za-z][A-Za-z0-9]*)>", pattern))
+    names = {part.partition(">")[0] for part in pattern.split("(?<")[1:] if ">" in part}
     out, i = "", 0
-    token = re.compile(r"\$(\$|&|\{[A-Za-z0-9_]+\}|\d+|[A-Za-z_][A-Za-z0-9_]*)")
     while i < len(replacement):
-        found = token.match(replacement, i)
-        if not found:
+        name, end = _reference(replacement, i + 1) if replacement[i] == "$" else ("", i)
+        if not name:
             out += "\\" + replacement[i] if replacement[i] in "\\$" else replacement[i]
             i += 1
             continue
-        body = found.group(1).strip("{}")
-        i = found.end()
-        if body == "$":
+        i = end
+        if name == "$":
             out += "\\$"
-        elif body == "&":
+        elif name == "&":
             out += "$0"
-        elif body.isdigit():
-            if int(body) <= groups:
-                out += f"${int(body)}"
+        elif name.isdecimal():
+            if int(name) <= groups:
+                out += f"${int(name)}"
             if i < len(replacement) and replacement[i].isdigit():
                 out += "\\" + replacement[i]
                 i += 1
-        elif body in names:
-            out += "${" + body + "}"
+        elif name in names:
+            out += "${" + name + "}"
     return out

@@ -8,9 +8,13 @@ from gleanery.functions.bind import let
 from gleanery.functions.coerce import trim_space
 
 
+# Fixed value: the characters a file name may keep.
+FILE_NAME_CHARACTERS = r"\p{L}\p{N} .,_+()\[\]-"
+
+
 def torrent_filename(name: Column) -> Column:
     """A conservative file name: unsafe characters become _, at most 150 bytes before the suffix."""
-    cleaned = F.btrim(trim_space(F.regexp_replace(name, r"[^\p{L}\p{N} .,_+()\[\]-]", "_")), F.lit("."))
+    cleaned = F.btrim(trim_space(F.regexp_replace(name, f"[^{FILE_NAME_CHARACTERS}]", "_")), F.lit("."))
     cleaned = F.when(cleaned == "", F.lit("torrent")).otherwise(cleaned)
     return F.concat(let(cleaned, _at_most_150_bytes), F.lit(".torrent"))
 

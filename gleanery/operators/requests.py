@@ -140,10 +140,15 @@ def search_terms() -> Column:
     return F.filter(words, lambda w: w != "")
 
 
+# The quotes read as an apostrophe, and the signs a search keeps beside letters, digits and spaces.
+QUOTES = "`´‘’"
+KEPT_SIGNS = r"\-._()@/'\[\]+%"
+
+
 def sanitize(c: Column) -> Column:
-    c = F.regexp_replace(c, r"\p{Pd}+", "-")
-    c = F.regexp_replace(c, "[`´‘’]", "'")
-    return F.regexp_replace(c, rf"[^\p{{L}}\p{{Nd}}{SPACE}\-._()@/'\[\]+%]", "")
+    """Request text with dashes and quotes unified and all signs dropped that no search looks for."""
+    c = F.translate(F.regexp_replace(c, r"\p{Pd}+", "-"), QUOTES, "'" * len(QUOTES))
+    return F.regexp_replace(c, rf"[^\p{{L}}\p{{Nd}}{SPACE}{KEPT_SIGNS}]", "")
 
 
 def imdb_query(c: Column) -> Column:
