@@ -179,7 +179,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One search per event, its words, ids and sources taken from a part of its own; pages lie up to 300 rows deep and hold up to 10,000."""
     events, part = table(spark, sf_dir, "events"), table(spark, sf_dir, "part")
-    many = part.count()
+    many = part.agg(F.count("*")).scalar()
     e = events.withColumn("p_partkey", (F.col("event_id") * 7) % many + 1).join(part, "p_partkey")
     n, kind = F.col("event_id"), F.col("event_id") % 20
     word = F.split("p_name", " ")

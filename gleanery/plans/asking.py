@@ -443,7 +443,7 @@ def source_directory_json(spark, sf):
 def and_match_stand_down(spark, sf):
     """The advertised-id gate of every request against one source each."""
     sources = source_table(spark, sf).withColumn("n", F.regexp_extract("id", "([0-9]+)$", 1).cast("bigint"))
-    many = F.lit(fx.table(spark, sf, "supplier").count())
+    many = fx.table(spark, sf, "supplier").agg(F.count("*")).scalar()
     asked = typed_requests(spark, sf).drop("type").withColumn("n", F.col("request_id") % many)
     pairs = asked.join(sources.select("n", "modes", "allow_tv_imdb"), "n")
     return pairs.select("request_id", flag(routing.id_search_supported()).alias("stands_down"))

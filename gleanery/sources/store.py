@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from gleanery.operators import listings as ops
 from gleanery.schema import LISTING, SEARCHES, check_schema, default_for
-from gleanery.session import cut_lineage
+from gleanery.session import cut_lineage, literal_table
 
 BUCKETS = 64
 ROWS_PER_FILE = 5_000_000
@@ -70,8 +70,8 @@ class ListingStore:
         return self._read("searches").drop("bucket")
 
     def _buckets_of(self, trackers: list[str]) -> list[int]:
-        named = self.spark.createDataFrame([(t,) for t in trackers], "tracker string")
-        return [r.b for r in named.select(self._bucket().alias("b")).distinct().collect()]
+        named = literal_table(self.spark, [(t,) for t in trackers], "tracker string")
+        return sorted({r.b for r in named.select(self._bucket().alias("b")).collect()})
 
     def _part(self, name: str, touched: list[int]) -> DataFrame:
         return self._read(name).filter(F.col("bucket").isin(touched)).drop("bucket")
