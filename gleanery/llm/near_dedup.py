@@ -9,10 +9,10 @@ independent trees miss a link of similarity 0.8 with a probability of about (1 -
 
 Large nodes do not wait until branching has split them, which groups of near copies never let it do: their
 classes are dealt into chunks that each hold the node's smallest class as pivot, and chunks are
-compared like small nodes. Classes confirmed to be connected share a label; nodes whose classes share one label are done,
-and pairs with one label are not compared again. What is still large and mixed after `DEPTH` levels is
-compared in pairs of blocks, so nothing is lost to a cap. The first tree runs alone; its components are
-the labels that the other trees start with.
+compared like small nodes. After every level classes that are confirmed to be connected share a label; nodes whose classes
+share one label are done, and pairs with one label are not compared again. What is still large and mixed after
+`DEPTH` levels is compared in pairs of blocks, so nothing is lost to a cap. The first tree runs alone, so
+the other trees begin with most groups of copies known.
 
 Links within a comparison leave it as a star of its smallest class, and components are found from the stars, so
 a group of n copies gives at most n rows per tree and never n squared.
@@ -32,10 +32,14 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanery.llm.common import mix64, random_words, slices, stored, table, text_or_empty
+from gleanery.llm.common import mix64, partitions, random_words, slices, stored, table, text_or_empty
 from gleanery.llm.components import components
 
-HASHES, TREES, BRANCH, DEPTH, LIMIT = 64, 10, 3, 6, 128
+HASHES, TREES, BRANCH, DEPTH, LIMIT = 64, 10, 3, 3, 512
+#: Most classes that suspects of several nodes and trees may come to when they are confirmed together.
+MERGED = 4096
+#: Standard deviations that a signature may fall short (a link of similarity 0.8 does with odds of 1 to 300,000).
+SLACK = 4.5
 _A = (random_words(21, HASHES) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (random_words(22, HASHES) >> np.uint64(32)).astype(np.uint32)
 
@@ -93,10 +97,15 @@ def _sets_table(docs: DataFrame, id_column: str, text_column: str, words: int, k
     return stored(made.withColumn("row", F.monotonically_increasing_id()), "near-sets")
 
 
+def _least(percent: int) -> float:
+    """Equal hashes that two signatures must have to be suspects."""
+    share = percent / 100
+    return HASHES * share - SLACK * np.sqrt(HASHES * share * (1 - share))
+
+
 def _pairs(group: np.ndarray, label: np.ndarray, size: np.ndarray, brief: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Places i < j of rows in one group (rows sorted by it) that may reach the similarity."""
-    share = percent / 100
-    least = HASHES * share - 6 * np.sqrt(HASHES * share * (1 - share))
+    least = _least(percent)
     heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.append(heads, len(group)))
     left = np.repeat(heads + sizes, sizes) - np.arange(len(group)) - 1  # rows of the group behind each row
@@ -142,20 +151,38 @@ class Join:
 
     def __init__(self, sets: DataFrame, words: int, percent: int) -> None:
         self.sets, self.words, self.percent = sets, words, percent
-        brief = F.transform("sig", lambda h: F.substring(F.hex(F.shiftrightunsigned(h, 24).cast("long") + 256), 2, 2))
+        # The low bits of a least hash are as good as random; its high ones are zero.
+        brief = F.transform("sig", lambda h: F.substring(F.hex(h.bitwiseAND(F.lit(255)).cast("long") + 256), 2, 2))
         whole = sets.where("n > 0").groupBy("f1", "f2").agg(F.min("row").alias("c"), F.min("id").alias("cid"), F.min_by(F.struct("n", "sig"), "row").alias("s"))
         whole = whole.select("f1", "f2", "c", "cid", "s.n", "s.sig").withColumn("brief", F.unhex(F.array_join(brief, "")))
         self.classes = stored(whole, "near-classes")
+        self.links: list[DataFrame] = []
+
+    def components(self) -> DataFrame:
+        """(v, u): components of all links confirmed so far."""
+        links = self.classes.select(F.col("c").alias("root"), "c").limit(0)
+        for made in self.links:
+            links = links.union(made.select("root", "c"))
+        return components(links, "root", "c", "near-components")
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """rows with `label`, the smallest class known to be connected with c."""
+        known = self.components().select(F.col("v").alias("c"), F.col("u").alias("known"))
+        return rows.join(known, "c", "left").withColumn("label", F.coalesce("known", "c")).drop("known")
 
     def similar(self, groups: DataFrame) -> DataFrame | None:
-        """Stored (root, c): stars of the classes confirmed to be connected within groups (g, c, label)."""
+        """Stored (root, c): stars of the classes confirmed to be connected within groups (g, c, label, salt).
+
+        Suspects are confirmed in clusters, and clusters of several nodes and trees that share classes are
+        confirmed as one as long as they stay small, so that a text is taken apart once or twice and not for every tree.
+        """
         about = groups.distinct().join(self.classes.select("c", F.col("n").alias("size"), "brief"), "c")
         percent, words = self.percent, self.words
         fields = ["key", "c", "label", "size", "brief"]
 
         def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in _groups(batches, "g", 20_000):
-                group, c, label, size = (rows.column(x).to_numpy() for x in ("g", "c", "label", "size"))
+                group, c, label, size, salt = (rows.column(x).to_numpy() for x in ("g", "c", "label", "size", "salt"))
                 brief = np.frombuffer(b"".join(rows.column("brief").to_pylist()), np.uint8).reshape(-1, HASHES)
                 i, j = _pairs(group, label, size, brief, percent)
                 if not len(i):
@@ -170,22 +197,29 @@ class Join:
                     if (new == root).all():
                         break
                     root = new
-                # The same classes met in several trees are one cluster: its key comes from its members.
-                key = np.zeros(len(c), np.uint64)
-                np.add.at(key, root, mix64(c.astype(np.uint64) + np.uint64(1)))
+                key = mix64(c[root].astype(np.uint64) ^ mix64(salt[root].astype(np.uint64)))  # chunks of a large node apart
                 many = np.bincount(root, minlength=len(c))[root] > 1
-                out = [key[root][many].astype(np.int64), c[many], label[many], size[many]]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array([x.tobytes() for x in brief[many]], pa.binary())], names=fields)
+                out = [key[many].astype(np.int64), c[many], label[many], size[many], c[root][many]]
+                made = list(map(pa.array, out))
+                yield pa.RecordBatch.from_arrays([*made[:4], pa.array([x.tobytes() for x in brief[many]], pa.binary()), made[4]], names=[*fields, "root"])
 
-        dealt = about.select("g", "c", "label", "size", "brief").repartition("g").sortWithinPartitions("g", "c")
-        guessed = stored(dealt.mapInArrow(guess, "key long, c long, label long, size long, brief binary").dropDuplicates(["key", "c"]), "near-guesses")
+        parts = partitions(groups.sparkSession)
+        dealt = about.select("g", "c", "label", "size", "brief", "salt").repartition(parts, "g").sortWithinPartitions("g", "c")
+        guessed = stored(dealt.mapInArrow(guess, "key long, c long, label long, size long, brief binary, root long").dropDuplicates(["key", "c"]), "near-guesses")
         if guessed.isEmpty():
             return None
+        # The smallest class that a cluster reaches over its members' other clusters stands for all of them.
+        reach = guessed.groupBy("c").agg(F.min("root").alias("reach"))
+        whole = guessed.select("key", "c").join(reach, "c").groupBy("key").agg(F.min("reach").alias("whole"))
+        merged = stored(guessed.drop("root").join(whole, "key"), "near-merged")
+        few = merged.groupBy("whole").agg(F.count_distinct("c").alias("members")).where(F.col("members") <= MERGED).select("whole", F.lit(True).alias("few"))
+        key = F.when(F.col("few"), F.xxhash64("whole")).otherwise(F.col("key"))
+        guessed = stored(merged.join(few, "whole", "left").withColumn("key", key).select(*fields).dropDuplicates(["key", "c"]), "near-clusters")
         texts = self.sets.select(F.col("row").alias("c"), "packed").join(guessed.select("c").distinct(), "c")
-        full = guessed.join(texts, "c").select(*fields, "packed").repartition("key").sortWithinPartitions("key", "c")
+        full = guessed.join(texts, "c").select(*fields, "packed").repartition(parts, "key").sortWithinPartitions("key", "c")
 
         def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            unpack = zstandard.ZstdDecompressor()
+            unpack, least = zstandard.ZstdDecompressor(), _least(percent)
             for rows in _groups(batches, "key", 1):
                 keys, c, label, size = (rows.column(x).to_numpy() for x in ("key", "c", "label", "size"))
                 brief = np.frombuffer(b"".join(rows.column("brief").to_pylist()), np.uint8).reshape(-1, HASHES)
@@ -193,102 +227,82 @@ class Join:
                 heads = np.append(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys))
                 roots, members = [], []
                 for a, b in zip(heads[:-1], heads[1:]):
-                    i, j = _pairs(keys[a:b], label[a:b], size[a:b], brief[a:b], percent)
-                    order = np.lexsort((i, j))
+                    mine, sizes, kind = brief[a:b], size[a:b], label[a:b]
                     sets: dict[int, np.ndarray] = {}
-                    root = list(range(b - a))
-                    first: dict[int, int] = {}
-                    for at, known in enumerate(label[a:b].tolist()):
-                        root[at] = first.setdefault(known, at)
-
-                    def find(x: int, root: list[int] = root) -> int:
-                        while root[x] != x:
-                            root[x] = root[root[x]]
-                            x = root[x]
-                        return x
+                    # Component of every member, as the smallest place in it; equal labels are one from the start.
+                    _, first, back = np.unique(kind, return_index=True, return_inverse=True)
+                    part = first[back]
 
                     def full_set(x: int, a: int = a, sets: dict = sets) -> np.ndarray:
                         if x not in sets:
                             sets[x] = shingle_set(unpack.decompress(packed[int(a) + x].as_py()), words)
                         return sets[x]
 
-                    for x, y in zip(i[order].tolist(), j[order].tolist()):
-                        p, q = find(x), find(y)
-                        if p == q:
-                            continue
-                        one, two = full_set(x), full_set(y)
-                        place = np.searchsorted(one, two)
-                        common = int((one[np.minimum(place, len(one) - 1)] == two).sum())
-                        if 100 * common >= percent * (len(one) + len(two) - common):
-                            root[max(p, q)] = min(p, q)
-                    for x in range(b - a):
-                        if find(x) != x:
-                            roots.append(int(c[a + find(x)]))
-                            members.append(int(c[a + x]))
+                    for y in range(1, b - a):
+                        fit = (part[:y] != part[y]) & (100 * np.minimum(sizes[:y], sizes[y]) >= percent * np.maximum(sizes[:y], sizes[y]))
+                        close = np.flatnonzero(fit)
+                        close = close[(mine[close] == mine[y]).sum(1) >= least]
+                        for x in close.tolist():
+                            if part[x] == part[y]:
+                                continue
+                            one, two = full_set(x), full_set(y)
+                            place = np.searchsorted(one, two)
+                            common = int((one[np.minimum(place, len(one) - 1)] == two).sum())
+                            if 100 * common >= percent * (len(one) + len(two) - common):
+                                low, high = sorted((part[x], part[y]))
+                                part[part == high] = low
+                    moved = np.flatnonzero(part != np.arange(b - a))
+                    roots += c[a + part[moved]].tolist()
+                    members += c[a + moved].tolist()
                 if roots:
                     yield pa.RecordBatch.from_arrays([pa.array(roots, pa.int64()), pa.array(members, pa.int64())], names=["root", "c"])
 
         return stored(full.mapInArrow(confirm, "root long, c long").distinct(), "near-links")
 
-    def trees(self, rows: DataFrame) -> list[DataFrame]:
-        """Link tables from the nodes (node, c, label) of some trees' roots, followed down."""
-        links, tokens = [], self.classes.select("c", "sig")
+    def trees(self, first: int, last: int) -> None:
+        """Add the links found by trees number `first` to `last` - 1, followed from their roots down."""
+        tokens = self.classes.select("c", "sig")
+        node = F.array(*[F.xxhash64(F.lit(t), F.element_at("sig", t + 1)) for t in range(first, last)])
+        rows = self.classes.select("c", F.explode(node).alias("node"))
+        rows = self.labelled(rows) if self.links else rows.withColumn("label", F.col("c"))
+        rows = rows.select("node", "c", "label")
         for level in range(DEPTH + 1):
             rows = stored(rows, "near-nodes")
             about = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("c", "label")).alias("pivot"))
             about = stored(about.where("n > 1 AND low < high").select("node", "n", "pivot"), "near-sizes")
             live = rows.join(about, "node")
-            small = live.where(F.col("n") <= LIMIT).select(F.col("node").alias("g"), "c", "label")
+            small = live.where(F.col("n") <= LIMIT).select(F.col("node").alias("g"), "c", "label", F.lit(0).cast("long").alias("salt"))
             large, heads = live.where(F.col("n") > LIMIT), about.where(F.col("n") > LIMIT)
             if level < DEPTH:
                 chunks = F.ceil(F.col("n") / (LIMIT - 1))
-                dealt = large.select(F.xxhash64("node", F.pmod(F.xxhash64("c", F.lit(level)), chunks)).alias("g"), "c", "label")
+                dealt = large.select(F.xxhash64("node", F.pmod(F.xxhash64("c", F.lit(level)), chunks)).alias("g"), "c", "label", "node")
                 pivots = heads.select("node", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("k"))
-                pivots = pivots.select(F.xxhash64("node", "k").alias("g"), "pivot.c", "pivot.label")
+                pivots = pivots.select(F.xxhash64("node", "k").alias("g"), "pivot.c", "pivot.label", "node")
             else:  # every pair of blocks, the exact way for what branching did not split
                 blocks = F.ceil(F.col("n") / (LIMIT // 2))
                 mine = F.pmod(F.xxhash64("c", F.lit(level)), blocks)
                 dealt = large.select("node", "c", "label", mine.alias("k"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("o"))
-                dealt = dealt.select(F.xxhash64("node", F.least("k", "o"), F.greatest("k", "o")).alias("g"), "c", "label")
+                dealt = dealt.select(F.xxhash64("node", F.least("k", "o"), F.greatest("k", "o")).alias("g"), "c", "label", "node")
                 pivots = dealt.limit(0)
-            made = self.similar(small.union(dealt).union(pivots))
+            apart = dealt.union(pivots).select("g", "c", "label", F.col("g").alias("salt"))
+            made = self.similar(small.union(apart))
             if made is not None:
-                links.append(made)
+                self.links.append(made)
             if level == DEPTH or heads.isEmpty():
-                return links
-            rest = large.select("node", "c", "label", F.col("pivot.c").alias("root"), F.col("pivot.label").alias("to"))
-            if made is not None:
-                rest = rest.join(made.withColumn("linked", F.lit(True)), ["root", "c"], "left")
-                rest = rest.withColumn("label", F.when(F.col("linked"), F.col("to")).otherwise(F.col("label")))
+                return
             coordinate = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(HASHES)).cast("int")
             child = F.array(*[F.xxhash64("node", F.lit(k), F.element_at("sig", coordinate(k) + 1)) for k in range(BRANCH)])
-            rows = rest.join(tokens, "c").select(F.explode(child).alias("node"), "c", "label")
-        return links
+            rows = large.select("node", "c").join(tokens, "c").select(F.explode(child).alias("node"), "c")
+            rows = (self.labelled(rows) if self.links else rows.withColumn("label", F.col("c"))).select("node", "c", "label")
 
 
 def _found(sets: DataFrame, words: int, percent: int) -> DataFrame:
     """(id, row, n_shingles, component_id, component) of every row of a sets table; `component` is unique, whatever the ids."""
     join = Join(sets, words, percent)
 
-    def roots(first: int, last: int, labels: DataFrame | None) -> DataFrame:
-        node = F.array(*[F.xxhash64(F.lit(t), F.element_at("sig", t + 1)) for t in range(first, last)])
-        rows = join.classes.select("c", F.explode(node).alias("node"))
-        if labels is not None:
-            rows = rows.join(labels.select(F.col("v").alias("c"), F.col("u").alias("known")), "c", "left")
-            return rows.select("node", "c", F.coalesce("known", "c").alias("label"))
-        return rows.select("node", "c", F.col("c").alias("label"))
-
-    empty = join.classes.select(F.col("c").alias("root"), "c").limit(0)
-
-    def united(links: list[DataFrame]) -> DataFrame:
-        out = empty
-        for x in links:
-            out = out.union(x.select("root", "c"))
-        return components(out, "root", "c", "near-components")
-
-    links = join.trees(roots(0, 1, None))
-    links += join.trees(roots(1, TREES, united(links)))
-    labels = united(links)
+    join.trees(0, 1)
+    join.trees(1, TREES)
+    labels = join.components()
     found = join.classes.select("f1", "f2", "c", "cid").join(labels.withColumnRenamed("v", "c"), "c", "left").withColumn("label", F.coalesce("u", "c"))
     least = found.groupBy("label").agg(F.min("cid").alias("component_id"))
     found = stored(found.join(least, "label").select("f1", "f2", "component_id", "label"), "near-found")

@@ -346,7 +346,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """Stored (row, spans): what each text of an `_anchored` table shares with another place, as merged ranges of bytes."""
     each = texts.select("row", F.explode("found").alias("x")).select("row", "x.*")
-    twice = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Stored, so that the join below is between two plain exchanges and Spark can split a hash that very many places share.
+    twice = stored(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "suffix-twice")
     mine = each.join(twice, "h").select("row", F.struct("h", "p", "lo", "hi", (F.col("n") > HOT).alias("hot")).alias("x"))
     found = mine.groupBy("row").agg(F.sort_array(F.collect_list("x")).alias("found"))
     met = texts.select("row", "packed").join(found, "row")
