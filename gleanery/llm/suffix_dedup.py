@@ -226,7 +226,7 @@ def _anchored(docs: DataFrame, id_column: str, text_column: str, keep: tuple[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             texts = batch.column("text").to_pylist()
             sizes = np.array([len(t) for t in texts], np.int64)
             ends = np.cumsum(sizes)
@@ -294,13 +294,13 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     met[key] = [row, p, lo, hi, False, x["hot"]]
                     held += hi + SPAN - lo
-            if held > 8 << 20:
+            if held > 4 << 20:
                 yield from sent()
                 held = 0
     yield from sent()
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], most: int = 4_000) -> Iterator[pa.Table]:
+def _whole_groups(batches: Iterator[pa.RecordBatch], most: int = 2_000) -> Iterator[pa.Table]:
     """Tables of whole groups of `g`, of `most` rows or else one group."""
     for rows in _groups(batches, "g", most):
         g = rows.column("g").to_numpy()

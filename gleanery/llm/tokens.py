@@ -21,7 +21,7 @@ PIECES = {
 #: Letters beyond U+017E, the dotted capital I, and signs with numeric values stay with the library.
 PLAIN = re.compile("[\t\n\r -~¡«»¿À-ÖØ-öø-įı-ž]*")
 #: Distinct pieces remembered by a worker before it starts anew, and the longest piece worth remembering.
-PIECES_KEPT, LONGEST = 800_000, 64
+PIECES_KEPT, LONGEST = 400_000, 64
 
 
 def vocabulary(name: str) -> str:
