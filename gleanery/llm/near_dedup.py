@@ -38,8 +38,9 @@ from gleanery.llm.components import components
 HASHES, TREES, BRANCH, DEPTH, LIMIT = 64, 10, 3, 3, 512
 #: Most classes that suspects of several nodes and trees may come to when they are confirmed together.
 MERGED = 4096
-#: Standard deviations that a signature may fall short (a link of similarity 0.8 does with odds of 1 to 300,000).
-SLACK = 4.5
+#: Standard deviations that a signature may fall short. At 0.8 at least 32 of 64 hashes must agree, which a link of that
+#: similarity misses with odds of 1 in 51 millions (exact binomial tail); more trees do not make up for that, so it is small.
+SLACK = 6
 _A = (random_words(21, HASHES) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (random_words(22, HASHES) >> np.uint64(32)).astype(np.uint32)
 

@@ -1,6 +1,7 @@
 """Operators through their own interfaces, beyond what the queries ask of them."""
 
 import io
+import math
 import random
 import struct
 
@@ -168,6 +169,26 @@ def test_signatures_estimate_the_similarity():
     assert len(a) == 1000 and abs((both[0] == both[1]).mean() - 0.8) < 0.2 and not both[2].any()
 
 
+def test_signatures_lose_a_link_in_ten_millions_at_most():
+    """The exact binomial tail: a pair at the threshold agrees in too few of its hashes."""
+    n, least = near_dedup.HASHES, int(np.ceil(near_dedup._least(80)))
+    missed = sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(least))
+    assert least == 32 and missed < 1e-7
+
+
+def test_links_with_unlucky_signatures_are_found(spark):
+    """Pairs of similarity 0.8 found by a search, whose signatures agree in 35 or 36 of 64 places."""
+    texts = {}
+    for n, k in enumerate((5496, 68180, 143247, 247198)):
+        pair = [" ".join(f"{k}x{i}" for i in range(first, first + 9)) for first in (0, 1)]
+        both = near_dedup._signatures([near_dedup.shingle_set(t.encode(), 1) for t in pair])
+        assert (both[0] == both[1]).sum() in (35, 36)
+        texts |= {10 * n: pair[0], 10 * n + 1: pair[1]}
+    df = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, words=1).collect()}
+    assert got == {i: i // 10 * 10 for i in texts}
+
+
 def test_fingerprints_are_searched_by_bands(spark):
     rng = random.Random(7)
     texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(300)) for _ in range(60)]
