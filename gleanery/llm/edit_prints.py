@@ -9,7 +9,9 @@ eight characters, so an edit disturbs its own lane only. Every emitted character
 The share of differing bits is the angle between two texts, and its cosine their likeness.
 
 `search_prints` finds likely neighbours: bits sampled into bands, an equi-join on (band, bits), and
-the whole fingerprints of the candidates compared. Equal fingerprints are one class there.
+the whole fingerprints of the candidates compared. Equal fingerprints are one class there. The bands follow from the
+likeness sought, so that 95 of 100 pairs just at it are found. `search_texts` confirms such pairs by the edit
+distance of their texts. Neither is part of `op7_edit_fingerprints`.
 
 Defined cases: a null text is an empty one; an empty text has the fingerprint of 64 zeros, is like other
 empty texts (1) and unlike the rest. Sums that are 0 take the bit of the next sum that is not, so short texts
@@ -19,6 +21,7 @@ are compared by what they have. Equal texts have equal fingerprints. Extra colum
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +33,8 @@ from gleanery.llm.common import mix64, partitions, random_words, slices, stored,
 BITS = 256
 #: Characters that make a mark, mean and greatest length of a lane, and lanes walked together.
 GRAM, MEAN_LANE, MAX_LANE, TOGETHER = 8, 128, 1024, 1 << 14
+#: Most bits sampled into a band of a search, and most bands of one.
+SAMPLED, BANDS = 16, 128
 _STEPS = 512
 _WALK = random_words(1, _STEPS * 256).reshape(_STEPS, 256)
 _GRAM = random_words(2, 256 * GRAM).reshape(GRAM, 256)
@@ -137,32 +142,80 @@ def fingerprint_texts(docs: DataFrame, id_column: str = "doc_id", text_column: s
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fingerprint string").withColumnRenamed("id", id_column)
 
 
-def search_prints(prints: DataFrame, queries: DataFrame, least: float = 0.8, bands: int = 24, sampled: int = 16) -> DataFrame:
+def banding(least: float, recall: float = 0.95) -> tuple[int, int]:
+    """Bands and bits sampled in each that find a pair of likeness `least` with a probability of `recall` or more.
+
+    The most bits, `SAMPLED` at most, for which `BANDS` bands suffice; a likeness that every pair has takes none, so that all meet.
+    """
+    apart = max(d for d in range(BITS + 1) if d == 0 or max(0.0, math.cos(math.pi * d / BITS)) >= least)
+    for sampled in range(SAMPLED, 0, -1):
+        hit = math.comb(BITS - apart, sampled) / math.comb(BITS, sampled)  # no sampled bit differs
+        bands = 1 if hit == 1 else math.ceil(math.log(1 - recall) / math.log1p(-hit)) if hit else BANDS + 1
+        if bands <= BANDS:
+            return bands, sampled
+    return 1, 0
+
+
+def search_prints(prints: DataFrame, queries: DataFrame, least: float = 0.8, bands: int | None = None, sampled: int | None = None, recall: float = 0.95) -> DataFrame:
     """(query, fingerprint, likeness): fingerprints at least `least` like those of queries, one row for each pair of classes.
 
     Both tables have a column `fingerprint` in hexadecimal. Members of a class are found by an equi-join
-    on the fingerprint; copies are never expanded here.
+    on the fingerprint; copies are never expanded here. Bands and sampled bits follow from `least` and `recall`, the share of
+    pairs just at `least` that are found (of more similar ones more are); both may be given instead.
     """
+    if (bands is None) != (sampled is None):
+        raise ValueError("bands and sampled are given together or not at all")
+    if bands is None:
+        bands, sampled = banding(least, recall)
     rng = np.random.default_rng(5)
-    chosen = [sorted(rng.choice(BITS, sampled, replace=False).tolist()) for _ in range(bands)]
+    chosen = [np.sort(rng.choice(BITS, sampled, replace=False)) for _ in range(bands)]
+    places = 1 << np.arange(sampled, dtype=np.int64)
 
     def banded(df: DataFrame, name: str) -> DataFrame:
-        bits = F.array(*[F.conv(F.substring("fingerprint", 1 + 15 * k, 15 if k < 4 else 4), 16, 10).cast("long") for k in range(5)])
-
-        def bit(n: int):  # noqa: ANN202
-            word, place = divmod(n, 60)
-            return F.shiftright(bits[word], (59 if word < 4 else 15) - place).bitwiseAND(F.lit(1).cast("long"))
-
-        keys = F.array(*[sum((F.shiftleft(bit(n), i) for i, n in enumerate(b)), F.lit(0).cast("long")) for b in chosen])
-        return df.select("fingerprint").where("fingerprint IS NOT NULL").distinct().select(F.col("fingerprint").alias(name), F.posexplode(keys).alias("band", "key"))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 1000):
+                    part = batch.column(0).slice(start, 1000)
+                    bits = np.unpackbits(np.frombuffer(bytes.fromhex("".join(part.to_pylist())), np.uint8).reshape(len(part), -1), axis=1)
+                    keys = [bits[:, at].astype(np.int64) @ places for at in chosen]
+                    at = np.tile(np.arange(len(part)), bands)
+                    band = np.repeat(np.arange(bands, dtype=np.int32), len(part))
+                    yield pa.RecordBatch.from_arrays([part.take(pa.array(at)), pa.array(band), pa.array(np.concatenate(keys))], names=[name, "band", "key"])
+
+        return df.select("fingerprint").where("fingerprint IS NOT NULL").distinct().mapInArrow(run, f"{name} string, band int, key long")
 
     pairs = banded(queries, "query").join(banded(prints, "fingerprint"), ["band", "key"]).select("query", "fingerprint").distinct()
     words = lambda c, k: F.conv(F.substring(c, 1 + 15 * k, 15 if k < 4 else 4), 16, 10).cast("long")
     apart = sum((F.bit_count(words("query", k).bitwiseXOR(words("fingerprint", k))) for k in range(5)), F.lit(0))
-    alike = F.greatest(F.lit(0.0), F.cos(F.pi() * apart / BITS))
+    none = F.lit("0" * (BITS // 4))
+    same_kind = (F.col("query") == none) == (F.col("fingerprint") == none)
+    alike = F.when(same_kind, F.greatest(F.lit(0.0), F.cos(F.pi() * apart / BITS))).otherwise(0.0)
     return pairs.withColumn("likeness", alike).where(F.col("likeness") >= least)
 
 
+def search_texts(docs: DataFrame, queries: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = 0.8, most_edits: float = 0.2, recall: float = 0.95) -> DataFrame:
+    """(query_id, id, likeness, edits): pairs of texts found by their fingerprints and confirmed by their edit distance.
+
+    `edits` is the number of characters to insert, delete or replace, at most `most_edits` of the longer text. Equal
+    texts are one class on either side, named by its smallest id; a null text is an empty one.
+    """
+
+    def classes(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(F.col(f"`{id_column}`").alias("id"), text_or_empty(text_column).alias("text"))
+        one = rows.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("same")).agg(F.min("id").alias("id"), F.first("text").alias("text"))
+        made = fingerprint_texts(one.select(F.struct("id", "text").alias("of"), "text"), "of", "text")
+        return stored(made.select(F.col("of.id").alias("id"), F.col("of.text").alias("text"), "fingerprint"), f"edit-{name}")
+
+    mine, asked = classes(docs, "texts"), classes(queries, "queries")
+    pairs = search_prints(mine, asked, least, recall=recall)
+    asked = asked.select(F.col("id").alias("query_id"), F.col("text").alias("query_text"), F.col("fingerprint").alias("query"))
+    both = pairs.join(asked, "query").join(mine, "fingerprint")
+    longer, shorter = F.greatest(F.length("text"), F.length("query_text")), F.least(F.length("text"), F.length("query_text"))
+    both = both.withColumn("most", F.floor(F.lit(most_edits) * longer).cast("int")).where(longer - shorter <= F.col("most"))
+    both = both.withColumn("edits", F.expr("levenshtein(query_text, text, most)")).where("edits >= 0")
+    return both.select("query_id", "id", "likeness", "edits")
+
+
 def _edited(text: str, following: str) -> str:
     share = len(text) // 3
     return text[: len(text) - share] + following[:share]

@@ -202,6 +202,36 @@ def test_fingerprints_are_searched_by_bands(spark):
     assert pairs <= {(of[i], of[j]) for i in range(30) for j in (i, 60 + i)}
 
 
+def test_search_finds_pairs_at_its_threshold(spark):
+    """Recall against brute force for fingerprints of likeness 0.8 to 0.85; an empty text is like none of them."""
+    rng = np.random.default_rng(10)
+    base = rng.integers(0, 2, (500, 256)).astype(np.uint8)
+    near = base.copy()
+    for row in near:
+        row[rng.choice(256, rng.integers(45, 53), replace=False)] ^= 1
+    one, two = np.packbits(base, 1), np.packbits(near, 1)
+    names = lambda prints: [(x.tobytes().hex(),) for x in prints]
+    true = {(a[0], b[0]) for x, a in zip(one, names(one)) for b, y in zip(names(two), edit_prints.likeness(np.repeat(x[None], 500, 0), two)) if y >= 0.8}
+    assert len(true) == 500
+    found = edit_prints.search_prints(spark.createDataFrame([*names(two), ("0" * 64,)], "fingerprint string"), spark.createDataFrame(names(one), "fingerprint string"), least=0.8).collect()
+    pairs = {(r["query"], r.fingerprint) for r in found}
+    assert pairs <= true and len(pairs) >= 0.9 * len(true)
+    every = edit_prints.search_prints(spark.createDataFrame(names(two[:9]), "fingerprint string"), spark.createDataFrame(names(one[:9]), "fingerprint string"), least=0.0)
+    assert every.count() == 81
+
+
+def test_found_texts_are_confirmed_by_edits(spark):
+    rng = random.Random(11)
+    texts = [" ".join(f"wört{rng.randrange(900)}" for _ in range(150)) for _ in range(20)]
+    edited = [t[:300] + "ÿ!" + t[301:] for t in texts]
+    docs = spark.createDataFrame([*enumerate(edited), (50, edited[3]), (60, None), (61, "")], "doc_id int, text string")
+    asked = spark.createDataFrame([*enumerate(texts), (70, "")], "doc_id int, text string")
+    got = {(r.query_id, r.id): r.edits for r in edit_prints.search_texts(docs, asked).collect()}
+    assert got.pop((70, 60)) == 0
+    assert set(got) <= {(i, i) for i in range(20)} and len(got) >= 19 and set(got.values()) == {2}
+    assert {r.edits for r in edit_prints.search_texts(docs, asked, most_edits=0.001).collect()} == {0}
+
+
 def test_an_edit_changes_few_bits():
     rng = random.Random(8)
     text = " ".join(f"word{rng.randrange(900)}" for _ in range(800))
