@@ -1,8 +1,9 @@
 """Media columns: ISO media files kept as binary values, described without decoding a payload.
 
 `describe_media` walks the nested boxes of each file, decodes its sample tables (sizes, sample-to-chunk
-runs, chunk offsets, sync samples, durations) and returns codec, duration and the byte range of every
-keyframe. `wrap_frames` writes raw RGB frames of 8 by 8 pixels (192 bytes of 8-bit samples) as such a
+runs, chunk offsets, sync samples, durations) and the runs of its fragments, and returns codec, duration and the
+byte range of every keyframe of every track; the first video track, or else the first track, also stands for the file.
+`wrap_frames` writes raw RGB frames of 8 by 8 pixels (192 bytes of 8-bit samples) as such a
 file, and `read_payload` reads the samples back through the tables.
 
 Defined cases: a null file has null properties and `error` 'null'; an empty one or one without a movie
@@ -33,6 +34,8 @@ TIMESCALE, FRAME_TICKS = 1000, 40
 
 #: Boxes that hold boxes (fixed values of the format).
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
+#: Flag of a fragment's sample that is no sync sample.
+NOT_SYNC = 0x10000
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -121,18 +124,34 @@ def _u32(data: memoryview, at: int, end: int) -> int:
     return int(_ints(data, at, end, 1, ">u4")[0])
 
 
+def _fields(data: memoryview, at: int, end: int, flags: int, known: tuple[tuple[int, str], ...]) -> tuple[list[int | None], int]:
+    """Values of optional fields, null without their flag, and the place behind them."""
+    out: list[int | None] = []
+    for flag, kind in known:
+        out.append(int(_ints(data, at, end, 1, kind)[0]) if flags & flag else None)
+        at += np.dtype(kind).itemsize if flags & flag else 0
+    return out, at
+
+
 class Track:
     """Sample tables of one track, decoded into places, sizes and sync samples."""
 
     def __init__(self) -> None:
         self.handler = self.codec = ""
-        self.timescale = self.ticks = 0
+        self.number = self.timescale = self.ticks = 0
+        #: Duration, size and flags of a fragment's sample that does not say them.
+        self.defaults = (0, 0, 0)
+        self.error: str | None = None
+        #: Places, sizes, durations and sync marks of the samples of each fragment's run.
+        self._pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         self.offsets = self.sizes = np.zeros(0, np.int64)
         self.sync: np.ndarray | None = None
         self._runs = self._chunks = self._sizes = np.zeros(0, np.int64)
 
     def take(self, data: memoryview, kind: bytes, at: int, end: int) -> None:
-        if kind == b"hdlr":
+        if kind == b"tkhd":
+            self.number = _u32(data, at + (20 if data[at] == 1 else 12), end)
+        elif kind == b"hdlr" and data[at + 4 : at + 8] != b"dhlr":  # that one names where the data lie
             self.handler = bytes(data[at + 8 : at + 12]).decode("latin-1")
         elif kind == b"mdhd":
             long = data[at] == 1
@@ -163,20 +182,31 @@ class Track:
     def settle(self) -> None:
         """Place of every sample: chunks by their runs, samples by running sizes within a chunk."""
         n, chunks = len(self._sizes), len(self._chunks)
-        if not n or not chunks or not len(self._runs):
-            return
+        if n and not (chunks and len(self._runs)):
+            raise ValueError("samples without chunks")
+        if n:
+            self._place(n, chunks)
+        if self._pieces:
+            # Samples of the movie box come first; its sync table speaks of them only.
+            marks = np.ones(n, bool) if self.sync is None else np.isin(np.arange(n), self.sync)
+            offsets, sizes, ticks, sync = (np.concatenate(x) for x in zip(*self._pieces))
+            self.offsets, self.sizes = np.concatenate([self.offsets, offsets]), np.concatenate([self.sizes, sizes])
+            self.sync = np.flatnonzero(np.concatenate([marks, sync]))
+            self.ticks = (self.ticks if n else 0) + int(ticks.sum())
+
+    def _place(self, n: int, chunks: int) -> None:
         first = self._runs[:, 0] - 1
         if first[0] != 0 or (np.diff(first) <= 0).any() or first[-1] >= chunks:
             raise ValueError("chunk runs out of order")
         per = np.repeat(self._runs[:, 1], np.diff(np.append(first, chunks)))
         if per.sum() != n:
             raise ValueError("chunks and samples differ")
+        if self.sync is not None and len(self.sync) and (self.sync.min() < 0 or self.sync.max() >= n):
+            raise ValueError("sync sample outside the track")
         before = np.concatenate([[0], np.cumsum(self._sizes)])
         lead = np.concatenate([[0], np.cumsum(per)])[:-1]
         self.offsets = np.repeat(self._chunks - before[np.minimum(lead, n)], per) + before[:-1]
         self.sizes = self._sizes
-        if self.sync is not None and len(self.sync) and (self.sync.min() < 0 or self.sync.max() >= n):
-            raise ValueError("sync sample outside the track")
 
     def keyframes(self) -> np.ndarray:
         """(offset, length) of each sync sample; without a sync table every sample is one."""
@@ -186,9 +216,46 @@ class Track:
         return np.stack([self.offsets[at], self.sizes[at]], 1)
 
 
+class Fragment:
+    """Samples of one movie fragment, from the defaults of its tracks and its runs, handed to the tracks."""
+
+    def __init__(self, start: int) -> None:
+        self.start = self.after = start
+        self.track: Track | None = None
+
+    def take(self, data: memoryview, kind: bytes, at: int, end: int, found: list[Track]) -> None:
+        if kind == b"tfhd":
+            flags, number = _u32(data, at, end) & 0xFFFFFF, _u32(data, at + 4, end)
+            (base, _, *own), _ = _fields(data, at + 8, end, flags, ((0x1, ">u8"), (0x2, ">u4"), (0x8, ">u4"), (0x10, ">u4"), (0x20, ">u4")))
+            self.track = next((t for t in found if t.number == number), None)
+            if self.track is None:
+                raise ValueError("fragment of an unknown track")
+            self.defaults = [b if a is None else a for a, b in zip(own, self.track.defaults)]
+            # Without a base of its own a track goes on behind the data of the one before it.
+            self.base = base if base is not None else self.start if flags & 0x20000 else self.after
+            self.after = self.base
+        elif kind == b"trun":
+            if self.track is None:
+                raise ValueError("run without a track")
+            flags, count = _u32(data, at, end) & 0xFFFFFF, _u32(data, at + 4, end)
+            (shift, first), at = _fields(data, at + 8, end, flags, ((0x1, ">i4"), (0x4, ">u4")))
+            stated = [f for f in (0x100, 0x200, 0x400, 0x800) if flags & f]
+            if not stated and count > len(data):
+                raise ValueError("more samples than bytes")
+            rows = _ints(data, at, end, count * len(stated), ">u4").reshape(count, len(stated))
+            ticks, sizes, marks = (rows[:, stated.index(f)] if f in stated else np.full(count, d, np.int64) for f, d in zip((0x100, 0x200, 0x400), self.defaults))
+            if count and first is not None:
+                marks = np.append(first, marks[1:])
+            offsets = (self.after if shift is None else self.base + shift) + np.cumsum(sizes) - sizes
+            if count:
+                self.after = int(offsets[-1] + sizes[-1])
+                self.track._pieces.append((offsets, sizes, ticks, marks & NOT_SYNC == 0))
+
+
 def tracks(blob: bytes) -> tuple[list[Track], float, str | None]:
     """Tracks, movie duration in seconds and the first error."""
     data, found, seconds, error = memoryview(blob), [], 0.0, None
+    fragment, defaults = None, {}
     try:
         todo = list(boxes(data, 0, len(data)))[::-1]
         while todo:
@@ -200,15 +267,32 @@ def tracks(blob: bytes) -> tuple[list[Track], float, str | None]:
             elif kind in CONTAINERS:
                 if kind == b"trak":
                     found.append(Track())
+                elif kind == b"moov":
+                    fragment = None
+                elif kind == b"moof":
+                    fragment = Fragment(at - (8 if data[at - 4 : at] == kind else 16))
+                    for track in found:
+                        track.defaults = defaults.get(track.number, track.defaults)
+                elif kind == b"traf" and fragment:
+                    fragment.track = None
                 todo.extend(list(boxes(data, at, end))[::-1])
-            elif found:
+            elif kind == b"trex":
+                number, _, *rest = _ints(data, at + 4, end, 5, ">u4").tolist()
+                defaults[number] = tuple(rest)
+            elif kind in (b"tfhd", b"trun") and fragment:
+                fragment.take(data, kind, at, end, found)
+            elif found and not fragment:
                 found[-1].take(data, kind, at, end)
-        for track in found:
-            track.settle()
-            if len(track.offsets) and int((track.offsets + track.sizes).max()) > len(data):
-                raise ValueError("sample outside the file")
     except (ValueError, IndexError) as problem:
         error = str(problem)
+    for track in found:  # an inconsistent track leaves the others readable
+        try:
+            track.settle()
+            if len(track.offsets) and (int(track.offsets.min()) < 0 or int((track.offsets + track.sizes).max()) > len(data)):
+                raise ValueError("sample outside the file")
+        except (ValueError, IndexError) as problem:
+            track.error = str(problem)
+            error = error or track.error
     return found, seconds, error or (None if found else "no movie")
 
 
@@ -225,21 +309,28 @@ def read_payload(blob: bytes) -> bytes:
     return b"".join(parts)
 
 
-MEDIA_FIELDS = "codec string, handler string, seconds double, samples long, keyframes array<struct<offset:long,length:long>>, error string"
+TRACK_FIELDS = "codec string, handler string, seconds double, samples long, keyframes array<struct<offset:long,length:long>>, error string"
+MEDIA_FIELDS = f"{TRACK_FIELDS}, tracks array<struct<{TRACK_FIELDS.replace(' string', ':string').replace(' double', ':double').replace(' long', ':long').replace(' array', ':array')}>>"
+
+
+def _about(track: Track, seconds: float) -> dict:
+    seconds = track.ticks / track.timescale if track.timescale else seconds
+    keys = [{"offset": int(a), "length": int(b)} for a, b in track.keyframes()]
+    return {"codec": track.codec or None, "handler": track.handler or None, "seconds": seconds, "samples": len(track.offsets), "keyframes": keys, "error": track.error}
 
 
 def _described(blob: bytes | None) -> dict:
     if blob is None:
-        return {"codec": None, "handler": None, "seconds": None, "samples": None, "keyframes": None, "error": "null"}
+        return {"codec": None, "handler": None, "seconds": None, "samples": None, "keyframes": None, "error": "null", "tracks": None}
     found, seconds, error = tracks(blob)
-    track = found[0] if found else Track()
-    seconds = track.ticks / track.timescale if track.timescale else seconds
-    keys = [{"offset": int(a), "length": int(b)} for a, b in track.keyframes()]
-    return {"codec": track.codec or None, "handler": track.handler or None, "seconds": seconds, "samples": len(track.offsets), "keyframes": keys, "error": error}
+    each = [_about(track, seconds) for track in found]
+    main = next((x for x in each if x["handler"] == "vide"), each[0] if each else _about(Track(), seconds))
+    return main | {"error": error, "tracks": each}
 
 
 def describe_media(files: DataFrame, id_column: str, media_column: str) -> DataFrame:
-    """One row per file: its id, then codec, handler, seconds, samples, keyframe ranges and error."""
+    """One row per file: its id, then codec, handler, seconds, samples and keyframe ranges of its first video track (or else
+    its first track), the file's error, and `tracks` with the same of every track."""
     rows = files.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{media_column}`").cast("binary").alias("media"))
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -252,16 +343,15 @@ def describe_media(files: DataFrame, id_column: str, media_column: str) -> DataF
     return rows.mapInArrow(run, f"id {kind}, {MEDIA_FIELDS}").withColumnRenamed("id", id_column)
 
 
-_ARROW = pa.schema(
-    [
-        ("codec", pa.string()),
-        ("handler", pa.string()),
-        ("seconds", pa.float64()),
-        ("samples", pa.int64()),
-        ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))),
-        ("error", pa.string()),
-    ]
-)
+_TRACK = [
+    ("codec", pa.string()),
+    ("handler", pa.string()),
+    ("seconds", pa.float64()),
+    ("samples", pa.int64()),
+    ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))),
+    ("error", pa.string()),
+]
+_ARROW = pa.schema([*_TRACK, ("tracks", pa.list_(pa.struct(_TRACK)))])
 
 
 def text_payload(text: str) -> tuple[bytes, int]:

@@ -36,6 +36,61 @@ def test_media_boxes_of_other_shapes(spark):
         media.wrap_frames(b"")
 
 
+def media_track(number, handler, codec, scale, ticks, sizes, places, sync=None):
+    full, box = media._full, media._box
+    ints = lambda *x: struct.pack(f">{len(x)}I", *x)
+    tables = [full(b"stsd", ints(1), box(codec, bytes(8))), full(b"stts", ints(0)), full(b"stsz", ints(0, len(sizes)), ints(*sizes))]
+    tables += [full(b"stsc", ints(1, 1, 1, 1) if sizes else ints(0)), full(b"stco", ints(len(places)), ints(*places))]
+    tables += [full(b"stss", ints(len(sync), *sync))] if sync else []
+    minf = box(b"minf", full(b"hdlr", b"dhlrurl ", bytes(12)), box(b"stbl", *tables))
+    mdia = box(b"mdia", full(b"mdhd", ints(0, 0, scale, ticks, 0)), full(b"hdlr", bytes(4), handler, bytes(12)), minf)
+    return box(b"trak", full(b"tkhd", ints(0, 0, number, 0, ticks), bytes(60)), mdia)
+
+
+def test_every_track_is_described(spark):
+    """The sound comes first; the video's keyframes are the file's, and a spoiled track leaves the other one."""
+    sound = lambda places: media_track(1, b"soun", b"mp4a", 48_000, 96_000, [10, 10, 10], places)
+    video = media_track(2, b"vide", b"avc1", 1000, 4000, [50, 20, 60], [230, 280, 300], [1, 3])
+    data = media._box(b"mdat", bytes(400))
+    files = [data + media._box(b"moov", sound(places), video) for places in ([200, 210, 220], [200, 210, 90_000])]
+    files.append(data + media._box(b"moov", sound([200, 210, 220])))
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(files)], "n int, file binary")
+    whole, spoiled, heard = media.describe_media(df, "n", "file").orderBy("n").collect()
+    for got in (whole, spoiled):
+        assert (got.codec, got.handler, got.seconds, got.samples) == ("avc1", "vide", 4.0, 3)
+        assert [tuple(k) for k in got.keyframes] == [(230, 50), (300, 60)] and len(got.tracks) == 2
+    assert whole.error is None and [(t.codec, t.seconds, len(t.keyframes), t.error) for t in whole.tracks] == [("mp4a", 2.0, 3, None), ("avc1", 4.0, 2, None)]
+    assert spoiled.error == "sample outside the file" and [t.error for t in spoiled.tracks] == [spoiled.error, None]
+    assert (heard.codec, len(heard.keyframes), heard.error) == ("mp4a", 3, None)
+
+
+def test_fragments_are_described():
+    """Defaults of the movie, of a fragment and of single samples; runs with and without a place of their own."""
+    full, box = media._full, media._box
+    ints = lambda *x: struct.pack(f">{len(x)}I", *x)
+    extends = box(b"mvex", full(b"trex", ints(1, 1, 40, 7, media.NOT_SYNC)), full(b"trex", ints(2, 1, 1024, 5, 0)))
+    head = box(b"moov", media_track(1, b"vide", b"avc1", 1000, 0, [], []), media_track(2, b"soun", b"mp4a", 1024, 0, [], []), extends)
+
+    def moof(shift):
+        one = box(b"traf", full(b"tfhd", ints(1), flags=0x20000), full(b"trun", ints(3, shift, 0), ints(30, 20, 10), flags=0x205), full(b"trun", ints(2)))
+        two = box(b"traf", full(b"tfhd", ints(2), ints(512), flags=0x8), full(b"trun", ints(4)))
+        return box(b"moof", full(b"mfhd", ints(1)), one, two)
+
+    size = len(moof(0))
+    part = moof(size + 8) + box(b"mdat", bytes(94))
+    found, _, error = media.tracks(head + part + part)
+    first = len(head) + size + 8
+    video, sound = found
+    assert error is None
+    assert video.offsets.tolist() == [p + x for p in (first, first + len(part)) for x in (0, 30, 50, 60, 67)] and video.sizes.tolist() == [30, 20, 10, 7, 7] * 2
+    assert video.keyframes().tolist() == [[first, 30], [first + len(part), 30]] and video.ticks == 400
+    assert sound.offsets[:4].tolist() == [first + x for x in (74, 79, 84, 89)] and len(sound.keyframes()) == 8 and sound.ticks == 4096
+    about = media._described(head + part + part)
+    assert (about["codec"], about["seconds"], about["samples"]) == ("avc1", 0.4, 10)
+    assert media._described(head + part + part[:-94] + bytes(20))["error"]
+    assert media._described(part)["error"] == "fragment of an unknown track"
+
+
 def test_sample_tables():
     track = media.Track()
     track._sizes = np.array([5, 6, 7, 8, 9])
