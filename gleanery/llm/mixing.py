@@ -6,8 +6,9 @@ A document's expected copies are target / words of its source. The whole part is
 the source for certain; the fraction is its inclusion probability p for one more copy. Documents are ranked
 by random odds u / (1 - u) over inclusion odds p / (1 - p), the inclusion odds multiplied by an optional
 weight of the document, and taken in that order up to the words still missing: a sample of fixed size
-with unequal probabilities. A document that is longer than what is missing has no odds; a few more rounds
-down the ranking fill the gap that the last long document left.
+with unequal probabilities. A document that is longer than what is missing has no odds; more rounds
+down the ranking fill the gap that the last long document left, until no document left out fits its source's gap.
+Each round takes at least one document of every source that has a fitting one, mostly many.
 
 Sums run over cells of the ranking: one sum for each (source, cell), and rows are only ordered inside the one cell in
 which a source's target falls. So a source with a third of all documents is many cells, and nothing
@@ -20,12 +21,14 @@ table. An empty table, or one without words, has no targets above 0. Weights are
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gleanery.llm.common import numbered, stored, table, text_or_empty
 
-#: Rows in a cell of the ranking, about; rounds of filling; times that a document or source is repeated at most.
-CELL_ROWS, ROUNDS, MOST = 20_000, 4, 3
+#: Rows in a cell of the ranking, about; times that a document or source is repeated at most.
+CELL_ROWS, MOST = 20_000, 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -95,9 +98,12 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
         out = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("rank", rank / (1 + rank))
         return out.withColumn("cell", F.least(F.floor(F.col("rank") * F.col("cells")), F.col("cells") - 1).cast("long"))
 
-    for turn in range(ROUNDS):
+    for turn in count():
         fits = ranked(plan).where((F.col("size") > 0) & (F.col("size") <= F.col("gap")) & ~taken)
         sums = fits.groupBy("s", "cell").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))
+        sums = stored(sums, f"mix-sums-{turn}")
+        if sums.isEmpty():
+            break
         until = F.sum("words").over(Window.partitionBy("s").orderBy("cell"))
         sums = sums.withColumn("until", until)
         # A source's target falls into its first cell whose running sum exceeds the gap.

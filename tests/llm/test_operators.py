@@ -309,6 +309,19 @@ def test_odds_tilt_the_mix(spark):
     assert odd > 1.3 * even
 
 
+def test_no_document_left_out_fits_its_gap(spark):
+    """Sources of few documents with widely spread sizes, which need more than four cuts."""
+    rng = random.Random(12)
+    rows = [(1000 * s + i, "w " * int(3 ** rng.uniform(0, 7)), f"s{s:03}") for s in range(150) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    got = mixing.mix(df, keep=("doc_id", "source")).collect()
+    gap = {r.source: r.target for r in got}
+    for r in got:
+        gap[r.source] -= r["size"] * r.copies
+    assert len(gap) == 150 and min(gap.values()) > -1e-6
+    assert not [r for r in got if r.copies == r.target // r.source_size and 0 < r["size"] <= gap[r.source]]
+
+
 def test_small_cells_choose_the_same(spark, monkeypatch):
     rows = [(i, "w " * (1 + i % 7), f"s{i % 3}") for i in range(900)]
     df = spark.createDataFrame(rows, "doc_id int, text string, source string")
