@@ -16,6 +16,7 @@ from gleanery.llm.near_dedup import op6_near_duplicates
 from gleanery.llm.packing import op3_pack_sequences
 from gleanery.llm.suffix_dedup import op1_suffix_dedup
 from gleanery.llm.token_frames import op8_token_frames
+from gleanery.llm.toxicity import op11_toxicity
 from gleanery.llm.url_filters import OP9_SQL, op9_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_frames": op8_token_frames,
     "op9_url_filters": op9_url_filters,
     "op10_mix_sources": op10_mix_sources,
+    "op11_toxicity": op11_toxicity,
     "pipeline": corpus_pipeline.run,
 }
 
