@@ -14,6 +14,7 @@ from gleanery.llm.media import op2_media_columns
 from gleanery.llm.mixing import op10_mix_sources
 from gleanery.llm.near_dedup import op6_near_duplicates
 from gleanery.llm.packing import op3_pack_sequences
+from gleanery.llm.prefix_trie import OP12_SQL, op12_prefix_trie
 from gleanery.llm.suffix_dedup import op1_suffix_dedup
 from gleanery.llm.token_frames import op8_token_frames
 from gleanery.llm.toxicity import op11_toxicity
@@ -31,7 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filters": op9_url_filters,
     "op10_mix_sources": op10_mix_sources,
     "op11_toxicity": op11_toxicity,
+    "op12_prefix_trie": op12_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op4_license_scan": OP4_SQL, "op9_url_filters": OP9_SQL}
+ORACLES: dict[str, str] = {"op4_license_scan": OP4_SQL, "op9_url_filters": OP9_SQL, "op12_prefix_trie": OP12_SQL}
