@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from gleanery.llm.alignment import op13_token_alignment
 from gleanery.llm.edit_prints import op7_edit_fingerprints
 from gleanery.llm.language import op5_language_id
 from gleanery.llm.licenses import OP4_SQL, op4_license_scan
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mix_sources": op10_mix_sources,
     "op11_toxicity": op11_toxicity,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_token_alignment": op13_token_alignment,
     "pipeline": corpus_pipeline.run,
 }
 
