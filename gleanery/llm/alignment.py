@@ -64,11 +64,15 @@ class Vocabularies:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
-        self.spelled = [f"{i}{mark}" for mark in ",|;" for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        # Every id in digits with each mark after it, as rows of bytes padded by zeros.
+        self.entries = max(len(self.a_bytes), len(self.b_bytes))
+        digits = np.array([f"{i}{mark}".encode() for mark in ",|;" for i in range(self.entries)])
+        self.spelled = digits.view(np.uint8).reshape(len(digits), -1)
+        self.lossless = self.library.normalizer is None  # then A's bytes are the text's by construction
 
     def encode_a(self, texts: list[str]) -> list[list[int]]:
         """By ranks for plain texts (the same entries, a few times faster), by the library for all others."""
-        plain = [PLAIN.fullmatch(t) is not None and not _GAP.search(t) for t in texts]
+        plain = [PLAIN.fullmatch(t) is not None and not _long_gap(t) for t in texts]
         rest = iter(self.library.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
         return [self.ranks.encode_ordinary(t) if p else next(rest).ids for t, p in zip(texts, plain)]
 
@@ -80,7 +84,7 @@ class Vocabularies:
         spaced = [" " + texts[i] for i in known]
         for i, text, a, b in zip(known, spaced, self.encode_a(spaced), self.b.encode([texts[i] for i in known], num_threads=1)):
             raw = text.encode()
-            if b"".join(map(self.b_bytes.__getitem__, b)) == raw and b"".join(map(self.a_bytes.__getitem__, a)) == raw:
+            if b"".join(map(self.b_bytes.__getitem__, b)) == raw and (self.lossless or b"".join(map(self.a_bytes.__getitem__, a)) == raw):
                 left[i], right[i] = np.array(a, np.int64), np.array(b, np.int64)
         return left, right
 
@@ -96,7 +100,14 @@ class Vocabularies:
         return np.array(sorted(found), np.int64)
 
 
-_GAP = re.compile(r"\s{1000}")
+_GAP, _NEAR = re.compile(r"\s{1000}"), re.compile(r"\s\s")
+
+
+def _long_gap(text: str) -> bool:
+    """Whether 1000 blanks stand in line, on which a pattern that looks ahead is slow; every 500th character shows most texts free of them."""
+    return _NEAR.search(text[::500]) is not None and _GAP.search(text) is not None
+
+
 _LOADED: dict[tuple[str, ...], Vocabularies] = {}
 
 
@@ -128,7 +139,8 @@ def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         covered = pd.merge_asof(mine, theirs, on="at", by="doc")
         covering = pd.merge_asof(theirs, mine, on="at", by="doc").dropna()
         n = len(b)
-        both = np.union1d(covered["a"].to_numpy() * n + covered["b"].to_numpy(), covering["a"].to_numpy(np.int64) * n + covering["b"].to_numpy())
+        both = np.sort(np.concatenate([covered["a"].to_numpy() * n + covered["b"].to_numpy(), covering["a"].to_numpy(np.int64) * n + covering["b"].to_numpy()]), kind="stable")
+        both = both[np.diff(both, prepend=-1) > 0]  # tokens that start together were found both ways
         left.append(both // n)
         right.append(both % n)
     none = np.zeros(0, np.int64)
@@ -149,21 +161,21 @@ class Aligned:
         self.link_from = np.searchsorted(self.a["doc"].to_numpy()[self.link_a], docs)
         self.pair_from = np.searchsorted(self.a["doc"].to_numpy()[self.pair_a], docs)
 
-    def spelled(self, vocabs: Vocabularies) -> list[str]:
+    def spelled(self, vocabs: Vocabularies) -> list[bytes]:
         """Groups of each text as `a1,a2|b1;a3|b2,b3`."""
-        n_groups, n_a, n_b = len(self.link_a), len(self.a), len(self.b)
-        width = len(vocabs.spelled) // 3
-        a_end, b_end = np.zeros(n_a, np.int64), np.zeros(n_b, np.int64)
-        a_end[self.link_a], b_end[self.link_b] = 1, 2
+        n_a, n_b, width = len(self.a), len(self.b), vocabs.entries
+        a_mark, b_mark = np.zeros(n_a, np.int64), np.zeros(n_b, np.int64)
+        a_mark[self.link_a], b_mark[self.link_b] = 1, 2
         # Every group is its A tokens and then its B tokens; an earlier group moves all after it by its tokens of the other side.
         sizes_a, sizes_b = np.diff(self.link_a, prepend=-1), np.diff(self.link_b, prepend=-1)
         place = np.empty(n_a + n_b, np.int64)
-        at_a = np.arange(n_a) + np.repeat(np.cumsum(sizes_b) - sizes_b, sizes_a)
-        at_b = np.arange(n_b) + np.repeat(np.cumsum(sizes_a), sizes_b)
-        place[at_a], place[at_b] = self.a["id"].to_numpy() + width * a_end, self.b["id"].to_numpy() + width * b_end
-        bounds = (self.a_from + self.b_from).tolist()
-        words, spell = place.tolist(), vocabs.spelled.__getitem__
-        return ["".join(map(spell, words[i:j]))[:-1] for i, j in zip(bounds, bounds[1:])] if n_groups else [""] * (len(bounds) - 1)
+        place[np.arange(n_a) + np.repeat(np.cumsum(sizes_b) - sizes_b, sizes_a)] = self.a["id"].to_numpy() + width * a_mark
+        place[np.arange(n_b) + np.repeat(np.cumsum(sizes_a), sizes_b)] = self.b["id"].to_numpy() + width * b_mark
+        letters = vocabs.spelled[place]
+        held = letters != 0
+        ends = np.concatenate([[0], np.cumsum(held.sum(1))])[self.a_from + self.b_from].tolist()
+        text = letters[held].tobytes()
+        return [text[i : j - 1] if j > i else b"" for i, j in zip(ends, ends[1:])]
 
 
 def paths_of_vocabularies() -> tuple[str, str, str]:
@@ -214,7 +226,7 @@ def _digests(docs: DataFrame, id_column: str, text_column: str, names: tuple[str
             codes = made.a["id"].to_numpy()[made.link_a] * entries + made.b["id"].to_numpy()[made.link_b]
             raw = np.searchsorted(pairs.value, codes).astype("<u4").tobytes()
             bounds = (4 * made.link_from).tolist()
-            hashes = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in made.spelled(vocabs)]
+            hashes = [hashlib.sha256(s).hexdigest() if s else "" for s in made.spelled(vocabs)]
             n_links = np.diff(made.link_from)
             columns = [np.diff(made.a_from), np.diff(made.b_from), n_links]
             yield pa.RecordBatch.from_arrays(
