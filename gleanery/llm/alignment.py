@@ -211,7 +211,8 @@ def align(docs: DataFrame, text_column: str = "text", keep: tuple[str, ...] = ()
 
     before = F.transform("links", lambda x, i: F.when(i > 0, F.struct((F.get("links", i - 1)["a"] + 1).alias("a"), (F.get("links", i - 1)["b"] + 1).alias("b"))).otherwise(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))))
     groups = F.zip_with(before, "links", lambda s, e: F.struct(s["a"].alias("a_first"), e["a"].alias("a_last"), s["b"].alias("b_first"), e["b"].alias("b_last")))
-    return rows.mapInArrow(run, schema).select(*[F.col("keep")[c].alias(c) for c in keep], "a_ids", "b_ids", "overlaps", groups.alias("groups"))
+    made = rows.mapInArrow(run, schema).select("keep", "a_ids", "b_ids", "overlaps", groups.alias("groups"))  # kept columns may be named alike
+    return made.select(*[F.col("keep")[c].alias(c) for c in keep], "a_ids", "b_ids", "overlaps", "groups")
 
 
 def _digests(docs: DataFrame, id_column: str, text_column: str, names: tuple[str, str, str], pairs) -> DataFrame:  # noqa: ANN001

@@ -52,6 +52,30 @@ def nasty_rows():
     return rows
 
 
+def conversation_rows():
+    """(conv_id, turn, role, text): null and equal turns, repeated rows, no head to take, heads longer than the rest, copies, one long one."""
+    rng = random.Random(5)
+    rows = []
+    for c in [*range(100, 130), *range(300, 420), 777, 901, 1001, 5]:
+        for t in range(rng.randint(1, 7)):
+            rows.append((c, t, rng.choice(["user", "assistant"]), rng.choice(["a", "b", "c d", "été", ""])))
+    rows += [(100, None, "user", "first"), (100, 0, None, None), (300, 3, "user", None), (301, None, None, "x"), (None, 0, "user", "nobody's"), (None, None, None, None)]
+    for c in range(430, 470):  # copies
+        rows += [(c, t, "user", f"copied {t}") for t in range(9)]
+    rows += [(640, t % 40, "user", "long") for t in range(150)] + [(641, t % 40, "user", "long") for t in range(150)] + [(642, t % 40, "user", "long") for t in range(140)]
+    return rows + [rows[3], rows[3], rows[50]]
+
+
+def write_others(folder, labels, conversations):
+    ints, texts = pa.int64(), pa.string()
+    made = pa.table({"doc_id": pa.array([x[0] for x in labels], ints), "quality": pa.array([1] * len(labels), pa.int32()), "toxic": pa.array([x[1] for x in labels], pa.int32()), "text": pa.array(["other"] * len(labels), texts)})
+    pq.write_table(made, f"{folder}/labels.parquet")
+    columns = dict(zip(("conv_id", "turn", "role", "text"), zip(*conversations))) if conversations else {n: [] for n in ("conv_id", "turn", "role", "text")}
+    made = {n: pa.array(v, ints if n in ("conv_id", "turn") else texts) for n, v in columns.items()}
+    pq.write_table(pa.table(made | {n: pa.array(["?"] * len(conversations), texts) for n in ("n", "pos", "block", "a", "least", "depth", "family", "row", "id")}), f"{folder}/conversations.parquet")
+    return folder
+
+
 def write_documents(folder, rows, clashing=True):
     columns = {"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string()), "lang": pa.array([r[2] for r in rows], pa.string()), "source": pa.array([r[3] for r in rows], pa.string())}
     columns["n_chars"] = pa.array([len(r[1] or "") for r in rows], pa.int64())
@@ -66,13 +90,14 @@ def write_documents(folder, rows, clashing=True):
 def nasty(tmp_path_factory):
     """(rows, sf_dir) of the nasty corpus."""
     rows = nasty_rows()
-    return rows, write_documents(tmp_path_factory.mktemp("nasty") / "sf", rows)
+    labels = [(r[0], int(i % 3 == 0)) for i, r in enumerate(rows[:150])] + [(None, 1), (99_999, 1), (5, None), (5, 0), (0, 0)]
+    return rows, write_others(write_documents(tmp_path_factory.mktemp("nasty") / "sf", rows), labels, conversation_rows())
 
 
 @pytest.fixture(scope="session")
 def empty(tmp_path_factory):
     """sf_dir of a corpus without rows."""
-    return write_documents(tmp_path_factory.mktemp("empty") / "sf", [])
+    return write_others(write_documents(tmp_path_factory.mktemp("empty") / "sf", []), [], [])
 
 
 def key(value):
