@@ -10,12 +10,12 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def _names():
     import __spark_entry__ as entry
 
-    return sorted(entry.queries())
+    return sorted(set(entry.queries()) - set(entry.LLM_QUERIES))
 
 
 def _normal(df: pd.DataFrame) -> list[tuple]:
     def text(value):
-        if value is None or value is pd.NaT or value != value:
+        if pd.api.types.is_scalar(value) and pd.isna(value):
             return ""
         if isinstance(value, bool) or type(value).__name__ == "bool_":
             return str(int(value))
