@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -181,36 +181,58 @@ def _canonical(requests: DataFrame, id_columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _match_names(wanted: DataFrame, names: DataFrame) -> DataFrame:
-    """(sig, folded) for searches with terms.
+def _cell(place: Column) -> Column:
+    """Places in cells that widen with depth: sixteen to each doubling, so a cell is at most a sixteenth of what lies before it."""
+    q = place + 1
+    power = F.length(F.bin(q)) - 1
+    return (power * 16 + F.call_function("shiftright", q * 16, power) - 16).cast("int")
 
-    Inverted index: each search is looked up by its rarest gram only, where rare is
+
+def _placed(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """rows, stored, with every row's place from 0 in the one order of all searches, and the cell of that place.
+
+    Rows are dealt by range and sorted where they land; only one count per partition reaches the driver.
+    """
+    by = [F.col(c).desc_nulls_last() for c in order]
+    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    kept = _written(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), name)
+    starts, before = [], 0
+    for part in kept.groupBy("_part").count().orderBy("_part").collect():
+        starts += [F.lit(part._part), F.lit(before)]
+        before += part["count"]
+    at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    place = (F.element_at(F.create_map(*starts), F.col("_part")) + at).cast("bigint") if starts else at
+    return kept.withColumn("place", place).withColumn("cell", _cell(F.col("place"))).drop("_part", "_at")
+
+
+def _match_names(wanted: DataFrame, names: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(tid, names): how many names each set of terms in wanted (tid, terms) has; and what gives (tid, folded), the names of some sets.
+
+    Inverted index: each set is looked up by its rarest gram only, where rare is
     counted over the distinct names; the candidates are verified inside the join, so
     neither all pairs nor unverified pairs are ever written out. A term shorter than a trigram
-    is its own gram; names are cut into grams of those lengths only if some search is sought by one.
+    is its own gram; names are cut into grams of those lengths only if some set is sought by one.
     """
     gram_of = F.flatten(F.transform("terms", lambda t: F.when(F.length(t) >= GRAM, grams(t, GRAM)).otherwise(F.array(t))))
-    sought = wanted.select("sig", F.explode(F.array_distinct(gram_of)).alias("gram"))
-    # A search with any whole trigram is sought by its trigrams alone: shorter grams are never rarer than needed.
-    long = sought.groupBy("sig").agg(F.max(F.length("gram")).alias("longest"))
-    sought = sought.join(long, "sig").where(F.length("gram") == F.col("longest")).drop("longest")
+    sought = wanted.select("tid", F.explode(F.array_distinct(gram_of)).alias("gram"))
+    # A set with any whole trigram is sought by its trigrams alone: shorter grams are never rarer than needed.
+    long = sought.groupBy("tid").agg(F.max(F.length("gram")).alias("longest"))
+    sought = sought.join(long, "tid").where(F.length("gram") == F.col("longest")).drop("longest")
     needed = sought.select("gram").distinct()
     lengths = sorted(r.n for r in needed.select(F.length("gram").alias("n")).distinct().collect())  # at most 1, 2 and 3
     pieces = F.flatten(F.array(*[grams(F.col("folded"), n) for n in lengths])) if lengths else F.array().cast("array<string>")
     index = names.select("folded", F.explode(pieces).alias("gram")).join(needed, "gram", "left_semi")
     frequency = index.groupBy("gram").agg(F.count("*").alias("names"))
     # A gram no name has makes the search empty; min_by over counts picks it as 0.
-    chosen = (
-        sought.join(frequency, "gram", "left")
-        .groupBy("sig")
-        .agg(F.min_by("gram", F.struct(F.coalesce("names", F.lit(0)), F.col("gram"))).alias("gram"))
-        .join(wanted, "sig")
-    )
-    candidate = index.alias("i").join(
-        chosen.alias("c"),
-        (F.col("i.gram") == F.col("c.gram")) & F.expr("forall(c.terms, t -> contains(i.folded, t))"),
-    )
-    return candidate.select("c.sig", "i.folded")
+    held = F.struct(F.coalesce("names", F.lit(0).cast("bigint")), F.col("gram"))
+    rarest = _written(sought.join(frequency, "gram", "left").groupBy("tid").agg(F.min_by("gram", held).alias("gram")).join(wanted, "tid"), "search-grams")
+
+    def verified(chosen: DataFrame) -> DataFrame:
+        same = (F.col("i.gram") == F.col("c.gram")) & F.expr("forall(c.terms, t -> contains(i.folded, t))")
+        return index.alias("i").join(chosen.alias("c"), same).select("c.tid", "i.folded")
+
+    counts = verified(rarest).groupBy("tid").agg(F.count("*").alias("names"))
+    return counts, lambda chosen: verified(rarest.join(chosen, "tid", "left_semi"))
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -219,6 +241,10 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Pairs looked at inside a join cost about this share of a pair that is written out.
+LOOK = 0.1
+
+
 def search_many(
     requests: DataFrame,
     listings: DataFrame,
@@ -232,20 +258,22 @@ def search_many(
     limit, offset, and if present unsearched_terms array, ids map<string,string> and query_key.
     bridge: (tracker, identity, search_key), the searches that produced each managed listing.
 
-    The plan never meets requests with single listings:
-      1. equal searches are one value, answered once, as deep as the deepest request for it asks;
-      2. listings are reduced to groups that no search can tell apart, each with its count and its
-         newest row, in one scan whose result is stored;
-      3. searches find names through the gram index and groups through the names; counts add up to totals;
-      4. of a search's groups only the `depth` with the newest rows can hold a row of its page, so only those
-         meet rows, and of each group only its `depth` newest.
+      1. Equal searches are one value, answered once, as deep as the deepest request for it asks; equal sets of
+         terms are matched to names once.
+      2. All rows get their place in the one order of all pages by a range sort, and the cell of that place.
+      3. A first pass counts each search's rows per cell, combined where they are found: totals, and the cell in which the
+         search's depth is reached. No pair of a search and a row is written.
+      4. A second pass brings only rows of cells up to that one, a sixteenth more than the page is deep, and ranks them.
+
+    Each search takes the cheaper way to its rows: through the names that hold its terms, or, for terms
+    that many names hold, through its sources (all cells, without any) with the terms tested inside the join. Searches
+    without terms are counted on shelves, rows no search can tell apart but by place.
     """
     ids = [c for c in ID_COLUMNS if c in listings.columns] if "ids" in requests.columns else []
     keyed = "query_key" in requests.columns and bridge is not None
     canonical = _canonical(requests, ids)
     searches = canonical.groupBy("search").agg(F.max(F.col("limit") + F.col("offset")).alias("depth"))
     searches = _written(searches.select("search.*", "depth").withColumn("sig", F.monotonically_increasing_id()), "searches")
-    deepest = searches.agg(F.max("depth")).first()[0] or 0
 
     managed = F.coalesce(F.col("search_managed"), F.lit(False)) if "search_managed" in listings.columns else F.lit(False)
     rows = listings.withColumns({"folded": F.lower("name"), "cats": F.col("categories").cast("array<string>"), "managed": managed})
@@ -254,10 +282,9 @@ def search_many(
         rows = rows.join(produced, ["tracker", "identity"], "left").withColumn("keys", F.when(F.col("managed"), F.coalesce("keys", F.array().cast("array<string>"))))
     rows = rows.withColumns({f"bare_{c}": F.when(~F.col("managed"), _bare_id(F.col(c), c)) for c in ids})
     shelf = ["tracker", "cats", "managed", *(["keys"] if keyed else []), *[f"bare_{c}" for c in ids]]
-    group = ["folded", *shelf]
-    newest = F.struct(*order)
-    groups = rows.groupBy(*group).agg(F.count("*").alias("n"), F.max(newest).alias("head"))
-    groups = _written(groups, "search-groups")
+    carried = F.struct(*[F.col(c) for c in dict.fromkeys([*keep, *order])]).alias("row")
+    placed = _placed(rows.select("folded", *shelf, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], carried), [f"_o{i}" for i in range(len(order))], "search-rows")
+    shelves = _written(placed.groupBy(*shelf, "cell").agg(F.count("*").alias("n")), "search-shelves")
 
     def holds() -> Column:
         """Unmanaged rows must hold one of the ids a search without terms names, and contradict none."""
@@ -277,52 +304,58 @@ def search_many(
     if keyed:
         fits = fits & ((F.col("query_key") == "") | ~F.col("managed") | F.array_contains("keys", F.col("query_key")))
     unsought = F.expr("managed OR forall(unsearched, t -> contains(folded, t))")
-
-    with_terms = searches.where(F.size("terms") > 0)
-    names = groups.select("folded").distinct()
-    matched = _match_names(with_terms, names).join(with_terms, "sig")
-    facts = ["sig", "depth", "n", "head"]
-    hits = matched.join(groups, "folded").where(fits & unsought).select(*facts, *group)
-
-    # Browsing (no terms) matches whole shelves, whatever the name; with terms that only unmanaged rows
-    # must match, names count after all.
-    any_tag = F.lit("*")
-
-    def browsed(asked: DataFrame, kept: DataFrame, fit: Column, columns: list[str]) -> DataFrame:
-        asked = asked.withColumn("tag", F.explode(F.when(F.size("trackers") == 0, F.array(any_tag)).otherwise(F.col("trackers"))))
-        kept = kept.withColumn("tag", F.explode(F.array(any_tag, F.col("tracker"))))
-        return asked.join(kept, "tag").where(fit).select(*facts, *columns)
-
-    browse = searches.where(F.size("terms") == 0)
-    hits = hits.unionByName(browsed(browse.where(F.size("unsearched") > 0), groups, fits & unsought, group))
-    shelves = groups.groupBy(*shelf).agg(F.sum("n").alias("n"), F.max("head").alias("head"))
-    on_shelf = browsed(browse.where(F.size("unsearched") == 0), shelves, fits, shelf)
-
-    totals = hits.select("sig", "n").unionByName(on_shelf.select("sig", "n")).groupBy("sig").agg(F.sum("n").alias("total"))
-    first = [F.col(f"head.{c}").desc_nulls_last() for c in order]
-    by_row = [F.col(f"row.{c}").desc_nulls_last() for c in order]
-
-    def deep(found: DataFrame) -> DataFrame:
-        place = F.row_number().over(W.partitionBy("sig").orderBy(*first))
-        return found.withColumn("place", place).where((F.col("place") <= F.col("depth")) & (F.col("place") <= deepest)).drop("place", "n", "head")
-
-    carried = F.struct(*[F.col(c) for c in dict.fromkeys([*keep, *order])])
-    place = F.row_number().over(W.partitionBy(*group).orderBy(*[F.col(c).desc_nulls_last() for c in order]))
-    tops = _written(rows.select(*group, carried.alias("row"), place.alias("r")).where(F.col("r") <= deepest), "search-tops")
-    place = F.row_number().over(W.partitionBy(*shelf).orderBy(*by_row))
-    shelf_tops = tops.withColumn("r", place).where(F.col("r") <= deepest)
-
-    def met(found: DataFrame, kept: DataFrame, columns: list[str]) -> DataFrame:
-        a, b = found.alias("a"), kept.alias("b")
-        same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in columns])
-        return a.join(b, same & (F.col("b.r") <= F.col("a.depth"))).select("a.sig", "a.depth", "b.row")
-
-    found = met(deep(hits), tops, group).unionByName(met(deep(on_shelf), shelf_tops, shelf))
-    ranked = (
-        found.withColumn("rank", F.row_number().over(W.partitionBy("sig").orderBy(*by_row)))
-        .where((F.col("rank") <= F.col("depth")) & (F.col("rank") <= deepest))
-        .join(totals, "sig")
-    )
+    holding = F.expr("forall(terms, t -> contains(folded, t))")
+
+    # The way of each search: names, rows of its sources, or shelves.
+    sets = _written(searches.where(F.size("terms") > 0).select("terms").distinct().withColumn("tid", F.monotonically_increasing_id()), "search-terms")
+    names = placed.select("folded").distinct()
+    many, verified = _match_names(sets, names)
+    stocked = shelves.groupBy("tracker").agg(F.sum("n").alias("stock"))
+    all_rows = stocked.agg(F.coalesce(F.sum("stock"), F.lit(0).cast("bigint")).alias("all_rows"))
+    asked_of = searches.where((F.size("terms") > 0) & (F.size("trackers") > 0)).select("sig", F.explode("trackers").alias("tracker"))
+    stock = asked_of.join(stocked, "tracker").groupBy("sig").agg(F.sum("stock").alias("stock"))
+    sizes = names.agg(F.count("*").alias("all_names")).first()[0], all_rows.first()[0]  # two numbers
+    through = F.coalesce("names", F.lit(0)) * (sizes[1] / max(sizes[0], 1))
+    source_rows = F.when(F.size("trackers") == 0, F.lit(sizes[1])).otherwise(F.coalesce("stock", F.lit(0).cast("bigint")))
+    way = F.when((F.size("terms") == 0) & (F.size("unsearched") == 0), "shelf").when((F.size("terms") == 0) | (LOOK * source_rows <= through), "source").otherwise("name")
+    planned = _written(searches.join(sets, "terms", "left").join(many, "tid", "left").join(stock, "sig", "left").withColumn("way", way).drop("names", "stock"), "search-ways")
+    by_name, by_source, by_shelf = (planned.where(F.col("way") == w) for w in ("name", "source", "shelf"))
+    matched = _written(verified(by_name.select("tid").distinct()), "search-names")
+
+    def of_sources(asked: DataFrame, kept: DataFrame, fit: Column, cells: DataFrame | None) -> DataFrame:
+        """asked met with kept rows: those of named sources by source (and cell), those of all sources by cell."""
+        if cells is None:  # the first pass: all cells there are
+            everywhere = asked.where(F.size("trackers") == 0).withColumn("cell", F.explode(F.array(*[F.lit(c) for c in open_cells]).cast("array<int>")))
+            named, keys = asked.where(F.size("trackers") > 0), ["source"]
+        else:
+            met = asked.join(cells, "sig")
+            everywhere, named, keys = met.where(F.size("trackers") == 0), met.where(F.size("trackers") > 0), ["source", "cell"]
+        named = named.withColumn("source", F.explode("trackers"))
+        a = everywhere.join(kept, "cell").where(fit)
+        b = named.join(kept.withColumn("source", F.col("tracker")), keys).where(fit).drop("source")
+        return a.unionByName(b, allowMissingColumns=True)
+
+    open_cells = sorted(r.cell for r in shelves.select("cell").distinct().collect())  # some hundred numbers
+    one = F.lit(1).cast("bigint")
+    counted = [
+        matched.join(by_name, "tid").join(placed, "folded").where(fits & unsought).select("sig", "cell", one.alias("n")),
+        of_sources(by_source, placed, fits & unsought & holding, None).select("sig", "cell", one.alias("n")),
+        of_sources(by_shelf, shelves, fits, None).select("sig", "cell", "n"),
+    ]
+    counts = reduce(lambda x, y: x.unionByName(y), [c.groupBy("sig", "cell").agg(F.sum("n").alias("n")) for c in counted])
+    # At most some hundred cells a search: their running sum tells where its depth is reached.
+    cells = W.partitionBy("sig").orderBy("cell")
+    before = F.coalesce(F.sum("n").over(cells.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
+    counts = _written(counts.withColumns({"before": before, "total": F.sum("n").over(W.partitionBy("sig"))}), "search-counts")
+    needed = counts.join(searches.select("sig", "depth"), "sig").where(F.col("before") < F.col("depth")).select("sig", "cell")
+    deepest = needed.groupBy("sig").agg(F.max("cell").alias("last"))
+    found = [
+        matched.join(by_name, "tid").join(deepest, "sig").join(placed, "folded").where((F.col("cell") <= F.col("last")) & fits & unsought),
+        of_sources(by_source, placed, fits & unsought & holding, needed),
+        of_sources(by_shelf, placed, fits, needed),
+    ]
+    hits = reduce(lambda x, y: x.unionByName(y), [f.select("sig", "place", "row") for f in found])
+    ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("sig").orderBy("place"))).join(counts.groupBy("sig").agg(F.first("total").alias("total")), "sig")
     parts = [c for c in searches.columns if c not in ("sig", "depth")]
     asked = canonical.select("request_id", "limit", "offset", "search.*")
     signed = asked.join(searches, parts).select("request_id", "sig", "limit", "offset")
