@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from gleanery.session import shared_path
 
@@ -85,25 +85,118 @@ def restrict_to_search(listings: DataFrame, bridge: DataFrame, key: str) -> Data
     return listings.filter("NOT search_managed").unionByName(managed)
 
 
+#: Ordering of a page: column and whether the largest come first. Nulls come last either way.
+Order = Sequence[tuple[str, bool]]
+NEWEST: Order = (("published", True), ("id", True))
+#: Pages that end within so many rows are taken from each task's own top rows; deeper ones are sought by counts.
+SHALLOW = 10_000
+#: Two to this power cells are counted in one pass.
+CELL_BITS = 10
+
+
 def newest_first(*tie: str) -> list[Column]:
     """Newest release first, unknown dates last, later ids first on ties."""
     return [F.col("published").desc_nulls_last(), *[F.col(c).desc() for c in (tie or ("id",))]]
 
 
-def page(df: DataFrame, limit: int, offset: int, order: Sequence[Column]) -> DataFrame:
-    """One page of an ordering; a limit of zero or less is an empty page."""
-    return df.orderBy(*order).offset(max(offset, 0)).limit(max(limit, 0))
+def by_order(order: Order) -> list[Column]:
+    return [F.col(c).desc_nulls_last() if largest else F.col(c).asc_nulls_last() for c, largest in order]
+
+
+def page(df: DataFrame, limit: int, offset: int, order: Order | Sequence[Column] = NEWEST) -> DataFrame:
+    """One page of an ordering; a limit of zero or less is an empty page.
+
+    A page near the start is taken from every task's first rows. A deep one would make one task or the driver hold all
+    rows before it, so its place is sought first: rows are counted in about a thousand cells of the order's first field,
+    cells wholly before or behind the page drop out, and so on within the cells that hold its ends, and by the next
+    field where all rows agree on one. A pass reads the rows and brings back its counts; no row is moved until
+    few enough are left to sort. The order should be total and names columns; sort expressions are sorted as they are.
+    """
+    limit, offset = max(limit, 0), max(offset, 0)
+    if order and not isinstance(order[0], tuple):
+        return df.orderBy(*order).offset(offset).limit(limit)
+    if limit and offset + limit > SHALLOW:
+        rows = df.count()
+        if offset >= rows:
+            return df.limit(0)
+        parts, before = _near(df, offset, min(offset + limit, rows), rows, _fields(df, order))
+        df, offset = reduce(DataFrame.unionByName, parts), offset - before
+    return df.orderBy(*by_order(order)).offset(offset).limit(limit)
+
+
+#: A field of an order: a number, or bytes of a text from some place on; whether the largest come first.
+Field = tuple[Column, int | None, bool]
+
+
+def _fields(df: DataFrame, order: Order) -> list[Field]:
+    """The order as fields without nulls; structs by their fields in turn, each after whether it is null."""
+
+    def parts(c: Column, kind: T.DataType, largest: bool) -> list[Field]:
+        if isinstance(kind, T.StructType):
+            return [x for f in kind.fields for x in parts(c[f.name], f.dataType, largest)]
+        null: Field = (c.isNull().cast("long"), None, False)
+        if isinstance(kind, T.StringType):
+            return [null, (c.cast("binary"), 0, largest)]
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            ends = F.when(F.isnan(c), 2).when(c == float("inf"), 1).when(c == float("-inf"), -1).otherwise(0)
+            return [null, (ends.cast("long"), None, largest), (F.when(ends == 0, c.cast("double")).otherwise(0.0), None, largest)]
+        if isinstance(kind, T.TimestampType):
+            return [null, (F.unix_micros(c), None, largest)]
+        if isinstance(kind, T.DateType):
+            return [null, (F.unix_date(c).cast("long"), None, largest)]
+        if isinstance(kind, (T.IntegralType, T.BooleanType)):
+            return [null, (c.cast("long"), None, largest)]
+        raise TypeError(f"no deep page is ordered by {kind.simpleString()}")
+
+    # Nulls of structs' fields sort first in ascending and last in descending order, as those of columns do here.
+    return [x for name, largest in order for x in parts(F.col(name), df.schema[name].dataType, largest)]
+
+
+def _near(df: DataFrame, start: int, stop: int, rows: int, fields: list[Field]) -> tuple[list[DataFrame], int]:
+    """Parts of df (of so many rows) that hold places start to stop and little else, and how many rows lie before them."""
+    if rows <= stop - start + SHALLOW or not fields:
+        return [df], 0
+    (c, place, largest), rest = fields[0], fields[1:]
+    if place is not None:  # seven bytes of a text at a time, then its length
+        digits = F.rpad(F.hex(F.substring(c, 7 * place + 1, 7)), 14, "0")
+        longer = df.agg(F.max(F.octet_length(c))).first()[0] or 0
+        rest = [(c, place + 1, largest) if longer > 7 * (place + 1) else (F.octet_length(c).cast("long"), None, largest), *rest]
+        c = F.conv(digits, 16, 10).cast("long")
+    low, high = df.agg(F.min(c), F.max(c)).first()
+    if low is None or low == high:
+        return _near(df, start, stop, rows, rest)
+    if isinstance(low, float):
+        cell, again = F.floor((c - low) / (high - low) * (1 << CELL_BITS)), fields
+    else:
+        shift = max(0, (high - low).bit_length() - CELL_BITS)
+        cell, again = F.call_function("shiftright", c, F.lit(shift)), rest if not shift else [(c, None, largest), *rest]
+    counts = {r.c: r["count"] for r in df.groupBy(cell.alias("c")).count().collect()}
+    whole, parts, before, at = [], [], None, 0
+    for k in sorted(counts, reverse=largest):
+        first, last = max(start - at, 0), min(stop - at, counts[k])
+        if first < last:
+            if last - first == counts[k]:
+                whole.append(k)
+                skipped = 0
+            else:
+                held, skipped = _near(df.where(cell == k), first, last, counts[k], again)
+                parts += held
+            before = at + skipped if before is None else before
+        at += counts[k]
+    if whole:
+        parts.append(df.where(cell.isin(whole)))
+    return parts, before or 0
 
 
 def search(
-    listings: DataFrame, query: Query, bridge: DataFrame | None = None, order: Sequence[Column] | None = None
+    listings: DataFrame, query: Query, bridge: DataFrame | None = None, order: Order | Sequence[Column] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(the page in order, one row with the total over every page)."""
     matched = listings.filter(where(query))
     if query.query_key and bridge is not None:
         matched = restrict_to_search(matched, bridge, query.query_key)
     total = matched.agg(F.count("*").alias("total"))
-    return page(matched, query.limit, query.offset, order or newest_first()), total
+    return page(matched, query.limit, query.offset, order or NEWEST), total
 
 
 def find(listings: DataFrame, tracker: str, listing_id: int) -> DataFrame:

@@ -62,6 +62,19 @@ def search_page(spark, sf):
     return _out(page).withColumn("total", total.scalar())
 
 
+@query(
+    "search_deep_page",
+    f"""WITH {sql.LISTINGS}, places AS (SELECT *, row_number() OVER (ORDER BY published DESC NULLS LAST, id DESC) AS place, count(*) OVER () AS total FROM listings)
+      SELECT {LISTING_OUT}, total FROM places WHERE place > total * 5 // 6 AND place <= total * 5 // 6 + 100""",
+)
+def search_deep_page(spark, sf):
+    """A page of everything that lies behind five in six rows."""
+    listings = fx.listings(spark, sf)
+    total = listings.count()
+    found, count = s.search(listings, s.Query(limit=100, offset=total * 5 // 6))
+    return _out(found).withColumn("total", count.scalar())
+
+
 @query(
     "search_sources",
     f"""WITH {sql.LISTINGS} SELECT {LISTING_OUT} FROM listings

@@ -101,3 +101,29 @@ def test_a_hot_source_is_written_by_many_tasks(spark, tmp_path):
     assert sorted(r.id for r in store.listings().collect()) == list(range(1, 97))
     store.merge(batch(spark, dict(name="late", tracker="cold")), F.lit(T1))
     assert {r.name: r.id for r in store.listings(["cold"]).collect()}["late"] == 97
+
+
+def test_deep_pages_equal_a_whole_sort(spark, monkeypatch):
+    """Ties, nulls, texts alike in their first bytes, structs and odd numbers; cells of sixteen values a pass."""
+    import math
+    import random
+
+    monkeypatch.setattr(s, "SHALLOW", 5)
+    monkeypatch.setattr(s, "CELL_BITS", 4)
+    rng = random.Random(4)
+    texts = [None, "", "a", "a\0", "same beginning 1", "same beginning 2", "same beginning 22", "é", "z" * 30]
+    floats = [None, 0.5, -1e300, 1e300, math.inf, -math.inf, math.nan, 3.0]
+    rows = [(i, rng.choice(texts), rng.choice([None, T0, T1]), rng.choice(floats), rng.choice([-(2**63), 2**63 - 1, 0, 5]), (rng.choice([None, 1, 2]), str(i % 3))) for i in range(400)]
+    df = spark.createDataFrame(rows, "i long, t string, d timestamp, f double, n long, st struct<a:int,b:string>").coalesce(1).cache()
+    for order in ([("d", True), ("i", True)], [("t", True), ("n", False), ("i", False)], [("f", False), ("st", True), ("i", False)]):
+        whole = [r.i for r in df.orderBy(*s.by_order(order)).collect()]
+        for offset, limit in ((57, 40), (199, 6), (399, 1), (400, 5)):
+            assert [r.i for r in s.page(df, limit, offset, order).collect()] == whole[offset : offset + limit], (order, offset)
+    df.unpersist()
+
+
+def test_deep_pages_sort_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(s, "SHALLOW", 50)
+    df = spark.range(20_000).select((F.col("id") % 7).alias("g"), F.expr("if(id % 3 = 0, NULL, timestamp_seconds(id * 37 % 9001))").alias("published"), "id")
+    parts, before = s._near(df, 15_000, 15_020, 20_000, s._fields(df, s.NEWEST))
+    assert sum(p.count() for p in parts) <= 20 + 2 * 50 and 14_900 <= before <= 15_000
