@@ -1,20 +1,22 @@
 """Near-duplicate documents by a chosen-path set similarity join over minwise tokens.
 
 A text becomes the set of its distinct shingles and a signature of 64 minwise hashes. Equal sets are one class.
-Classes are then branched into trees: a tree's root deals the classes by one minwise token; a node of more
-than `LIMIT` classes is dealt again by `BRANCH` further tokens chosen by a hash of the path, and so on down.
-Small nodes are compared exhaustively by signatures; whatever could reach the similarity (six
-standard deviations below it, and sizes that allow it) is confirmed on the full sets of shingles. `TREES`
-independent trees miss a link of similarity 0.8 with a probability of about (1 - 0.8)^`TREES`, 2 in ten millions.
+Classes are then branched into trees: a tree's root deals the classes by a few minwise tokens (the more, the more
+classes there are, so that texts alike by chance do not meet); a node of more than `LIMIT` classes is dealt again by `STEP` further
+tokens chosen by a hash of the path, into `BRANCH` children (one over the similarity for each token), and so on
+down. Small nodes are compared exhaustively by signatures; whatever could reach the similarity (six standard deviations
+below it, and sizes that allow it) is confirmed on the full sets of shingles. With two tokens a root keeps
+a link of similarity 0.8 with odds of 0.64 and twelve independent trees miss it with 5 in a million; behind one step it
+is 3 in ten thousand, and behind `DEPTH` steps everything is compared.
 
 Large nodes do not wait until branching has split them, which groups of near copies never let it do: their
 classes are dealt into chunks that each hold the node's smallest class as pivot, and chunks are
-compared like small nodes. After every level classes that are confirmed to be connected share a label; nodes whose classes
-share one label are done, and pairs with one label are not compared again. What is still large and mixed after
-`DEPTH` levels is compared in pairs of blocks, so nothing is lost to a cap. The first tree runs alone, so
-the other trees begin with most groups of copies known.
+compared like small nodes, so that a member meets hundreds of others in every tree and step. After every step classes confirmed
+to be connected share a label; nodes whose classes share one label are done, and pairs with one label are not
+compared again. What is still large and mixed after `DEPTH` steps is compared in pairs of blocks, but for those
+within its most frequent label, so nothing is lost to a cap. The first tree runs alone, so the other trees begin with most groups of copies known.
 
-Links within a comparison leave it as a star of its smallest class, and components are found from the stars, so
+Links within a cluster leave it as a star of labels, and only labels that new links touch are solved anew, so
 a group of n copies gives at most n rows per tree and never n squared.
 
 Defined cases: a text without words, null or empty, has an empty set and is linked with nothing. A text of fewer words than a
@@ -24,6 +26,8 @@ id that is not null. Extra columns are not read. Empty tables give empty results
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +39,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gleanery.llm.common import mix64, partitions, random_words, slices, stored, table, text_or_empty
 from gleanery.llm.components import components
 
-HASHES, TREES, BRANCH, DEPTH, LIMIT = 64, 10, 3, 3, 512
-#: Most classes that suspects of several nodes and trees may come to when they are confirmed together.
-MERGED = 4096
+HASHES, LIMIT = 64, 512
+#: A root takes so many tokens that texts which share this part of their shingles by chance make small nodes; there are so many trees that
+#: all roots part a pair just similar enough with odds of MISS.
+CHANCE, MISS = 1 / 30, 5e-6
+#: Tokens of the path that a step of a large node takes at once, and its branches: about (1 / 0.8) ** STEP, the least that keeps links of
+#: similarity 0.8 together on average. Steps before what is left is compared exhaustively.
+STEP, BRANCH, DEPTH = 3, 2, 2
+#: Shingles of a cluster that are held at once when it is confirmed.
+TOKENS = 4_000_000
 #: Standard deviations that a signature may fall short. At 0.8 at least 32 of 64 hashes must agree, which a link of that
 #: similarity misses with odds of 1 in 51 millions (exact binomial tail); more trees do not make up for that, so it is small.
 SLACK = 6
@@ -80,7 +90,8 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def _sets_table(docs: DataFrame, id_column: str, text_column: str, words: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, keep, row, n, f1, f2, sig, packed): size, fingerprint and signature of every text's set, and the text."""
-    other = F.struct(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text_column}`").isNull().alias("__null"))
+    columns = F.struct(*[F.col(f"`{k}`") for k in keep]) if keep else F.lit(0)  # apart from what stands beside them
+    other = F.struct(columns.alias("columns"), F.col(f"`{text_column}`").isNull().alias("no_text"))
     rows = docs.select(F.col(f"`{id_column}`").alias("id"), other.alias("keep"), text_or_empty(text_column).cast("binary").alias("text"))
     kind, kept = (rows.schema[x].dataType.simpleString() for x in ("id", "keep"))
 
@@ -147,8 +158,55 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str, least_rows: int) -> Ite
         yield pa.Table.from_batches(held)
 
 
+def _open_pairs(mine: int, part: np.ndarray, size: np.ndarray, brief: np.ndarray, percent: int, least: float) -> np.ndarray:
+    """Places before `mine` that are not yet connected with it and may reach the similarity."""
+    small, large = np.minimum(size[:mine], size[mine]), np.maximum(size[:mine], size[mine])
+    close = np.flatnonzero((part[:mine] != part[mine]) & (100 * small >= percent * large))
+    return close[(brief[close] == brief[mine]).sum(1) >= least]
+
+
+def _connected(texts: pa.ChunkedArray, label: np.ndarray, size: np.ndarray, brief: np.ndarray, words: int, percent: int) -> np.ndarray:
+    """Of every member of a cluster the smallest place it is connected with, by comparing full sets.
+
+    A member is held against all before it at once: its shingles are marked and the marks counted in each of their sets.
+    """
+    unpack, least = zstandard.ZstdDecompressor(), _least(percent)
+    _, first, back = np.unique(label, return_index=True, return_inverse=True)
+    part = first[back]  # members of one label are connected from the start
+    whole = int(size.sum()) <= TOKENS
+    held: dict[int, np.ndarray] = {}
+
+    def full_set(x: int) -> np.ndarray:
+        if x not in held:
+            if not whole and sum(map(len, held.values())) > TOKENS:
+                held.clear()
+            held[x] = shingle_set(unpack.decompress(texts[x].as_py()), words)
+        return held[x]
+
+    if whole:
+        ids = np.unique(np.concatenate([full_set(x) for x in range(len(size))]), return_inverse=True)[1]
+        starts = np.cumsum(size) - size
+        marks = np.zeros(int(ids.max()) + 1, bool)
+    for y in range(1, len(size)):
+        close = _open_pairs(y, part, size, brief, percent, least)
+        if not len(close):
+            continue
+        if whole:
+            own = ids[starts[y] : starts[y] + size[y]]
+            marks[own] = True
+            common = np.add.reduceat(marks[ids[: starts[y]]], starts[:y], dtype=np.int64)[close]
+            marks[own] = False
+        else:
+            common = np.array([len(np.intersect1d(full_set(y), full_set(x), assume_unique=True)) for x in close.tolist()])
+        same = close[100 * common >= percent * (size[close] + size[y] - common)]
+        if len(same):
+            joined = np.unique(part[np.append(same, y)])
+            part[np.isin(part, joined)] = joined[0]
+    return part
+
+
 class Join:
-    """State of one run: the classes, their texts, and how to compare groups of classes."""
+    """State of one run: the classes, their labels so far, and how to compare groups of classes."""
 
     def __init__(self, sets: DataFrame, words: int, percent: int) -> None:
         self.sets, self.words, self.percent = sets, words, percent
@@ -157,33 +215,40 @@ class Join:
         whole = sets.where("n > 0").groupBy("f1", "f2").agg(F.min("row").alias("c"), F.min("id").alias("cid"), F.min_by(F.struct("n", "sig"), "row").alias("s"))
         whole = whole.select("f1", "f2", "c", "cid", "s.n", "s.sig").withColumn("brief", F.unhex(F.array_join(brief, "")))
         self.classes = stored(whole, "near-classes")
-        self.links: list[DataFrame] = []
-
-    def components(self) -> DataFrame:
-        """(v, u): components of all links confirmed so far."""
-        links = self.classes.select(F.col("c").alias("root"), "c").limit(0)
-        for made in self.links:
-            links = links.union(made.select("root", "c"))
-        return components(links, "root", "c", "near-components")
+        # Tokens of a root, and trees.
+        self.root = max(1, math.ceil(math.log(max(1, self.classes.count()) / LIMIT) / -math.log(CHANCE)))
+        self.many = max(2, math.ceil(math.log(MISS) / math.log(max(1e-9, 1 - (percent / 100) ** self.root))))
+        self.labels: DataFrame | None = None  # (c, label) of classes known to be connected with a smaller one
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         """rows with `label`, the smallest class known to be connected with c."""
-        known = self.components().select(F.col("v").alias("c"), F.col("u").alias("known"))
-        return rows.join(known, "c", "left").withColumn("label", F.coalesce("known", "c")).drop("known")
-
-    def similar(self, groups: DataFrame) -> DataFrame | None:
-        """Stored (root, c): stars of the classes confirmed to be connected within groups (g, c, label, salt).
-
-        Suspects are confirmed in clusters, and clusters of several nodes and trees that share classes are
-        confirmed as one as long as they stay small, so that a text is taken apart once or twice and not for every tree.
+        if self.labels is None:
+            return rows.withColumn("label", F.col("c"))
+        return rows.join(self.labels.withColumnRenamed("label", "known"), "c", "left").withColumn("label", F.coalesce("known", "c")).drop("known")
+
+    def connect(self, links: DataFrame) -> None:
+        """Take links (a, b) between labels into the labels; only what they touch is solved anew."""
+        if links.isEmpty():
+            return
+        moved = components(links, "a", "b", "near-components").select(F.col("v").alias("label"), F.col("u").alias("to"))
+        fresh = moved.select(F.col("label").alias("c"), F.col("to").alias("label"))
+        if self.labels is not None:
+            held = self.labels.join(moved, "label", "left").select("c", F.coalesce("to", "label").alias("label"))
+            fresh = held.unionByName(fresh)
+        self.labels = stored(fresh, "near-labels")
+
+    def similar(self, groups: DataFrame) -> None:
+        """Connect the classes confirmed to be similar within groups (g, c, label) of at most LIMIT classes.
+
+        Suspects that hang together in a group are a cluster; their texts meet in one task and are confirmed on full sets.
         """
-        about = groups.distinct().join(self.classes.select("c", F.col("n").alias("size"), "brief"), "c")
+        about = groups.join(self.classes.select("c", F.col("n").alias("size"), "brief"), "c")
         percent, words = self.percent, self.words
         fields = ["key", "c", "label", "size", "brief"]
 
         def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in _groups(batches, "g", 20_000):
-                group, c, label, size, salt = (rows.column(x).to_numpy() for x in ("g", "c", "label", "size", "salt"))
+                group, c, label, size = (rows.column(x).to_numpy() for x in ("g", "c", "label", "size"))
                 brief = np.frombuffer(b"".join(rows.column("brief").to_pylist()), np.uint8).reshape(-1, HASHES)
                 i, j = _pairs(group, label, size, brief, percent)
                 if not len(i):
@@ -198,113 +263,91 @@ class Join:
                     if (new == root).all():
                         break
                     root = new
-                key = mix64(c[root].astype(np.uint64) ^ mix64(salt[root].astype(np.uint64)))  # chunks of a large node apart
+                key = mix64(group[root].astype(np.uint64) ^ mix64(c[root].astype(np.uint64)))
                 many = np.bincount(root, minlength=len(c))[root] > 1
-                out = [key[many].astype(np.int64), c[many], label[many], size[many], c[root][many]]
-                made = list(map(pa.array, out))
-                yield pa.RecordBatch.from_arrays([*made[:4], pa.array([x.tobytes() for x in brief[many]], pa.binary()), made[4]], names=[*fields, "root"])
+                made = [pa.array(x) for x in (key[many].astype(np.int64), c[many], label[many], size[many])]
+                yield pa.RecordBatch.from_arrays([*made, pa.array([x.tobytes() for x in brief[many]], pa.binary())], names=fields)
 
         parts = partitions(groups.sparkSession)
-        dealt = about.select("g", "c", "label", "size", "brief", "salt").repartition(parts, "g").sortWithinPartitions("g", "c")
-        guessed = stored(dealt.mapInArrow(guess, "key long, c long, label long, size long, brief binary, root long").dropDuplicates(["key", "c"]), "near-guesses")
+        dealt = about.select("g", "c", "label", "size", "brief").repartition(parts, "g").sortWithinPartitions("g", "c")
+        guessed = stored(dealt.mapInArrow(guess, "key long, c long, label long, size long, brief binary"), "near-guesses")
         if guessed.isEmpty():
-            return None
-        # The smallest class that a cluster reaches over its members' other clusters stands for all of them.
-        reach = guessed.groupBy("c").agg(F.min("root").alias("reach"))
-        whole = guessed.select("key", "c").join(reach, "c").groupBy("key").agg(F.min("reach").alias("whole"))
-        merged = stored(guessed.drop("root").join(whole, "key"), "near-merged")
-        few = merged.groupBy("whole").agg(F.count_distinct("c").alias("members")).where(F.col("members") <= MERGED).select("whole", F.lit(True).alias("few"))
-        key = F.when(F.col("few"), F.xxhash64("whole")).otherwise(F.col("key"))
-        guessed = stored(merged.join(few, "whole", "left").withColumn("key", key).select(*fields).dropDuplicates(["key", "c"]), "near-clusters")
-        texts = self.sets.select(F.col("row").alias("c"), "packed").join(guessed.select("c").distinct(), "c")
-        full = guessed.join(texts, "c").select(*fields, "packed").repartition(parts, "key").sortWithinPartitions("key", "c")
+            return
+        # A cluster with the same members in several trees is confirmed once.
+        once = guessed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y"))
+        once = once.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+        clusters = guessed.join(once, "key", "left_semi")
+        full = clusters.join(self.sets.select(F.col("row").alias("c"), "packed"), "c").select(*fields, "packed").repartition(parts, "key").sortWithinPartitions("key", "c")
 
         def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            unpack, least = zstandard.ZstdDecompressor(), _least(percent)
             for rows in _groups(batches, "key", 1):
-                keys, c, label, size = (rows.column(x).to_numpy() for x in ("key", "c", "label", "size"))
+                keys, label, size = (rows.column(x).to_numpy() for x in ("key", "label", "size"))
                 brief = np.frombuffer(b"".join(rows.column("brief").to_pylist()), np.uint8).reshape(-1, HASHES)
-                packed = rows.column("packed")
-                heads = np.append(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys))
-                roots, members = [], []
-                for a, b in zip(heads[:-1], heads[1:]):
-                    mine, sizes, kind = brief[a:b], size[a:b], label[a:b]
-                    sets: dict[int, np.ndarray] = {}
-                    # Component of every member, as the smallest place in it; equal labels are one from the start.
-                    _, first, back = np.unique(kind, return_index=True, return_inverse=True)
-                    part = first[back]
-
-                    def full_set(x: int, a: int = a, sets: dict = sets) -> np.ndarray:
-                        if x not in sets:
-                            sets[x] = shingle_set(unpack.decompress(packed[int(a) + x].as_py()), words)
-                        return sets[x]
-
-                    for y in range(1, b - a):
-                        fit = (part[:y] != part[y]) & (100 * np.minimum(sizes[:y], sizes[y]) >= percent * np.maximum(sizes[:y], sizes[y]))
-                        close = np.flatnonzero(fit)
-                        close = close[(mine[close] == mine[y]).sum(1) >= least]
-                        for x in close.tolist():
-                            if part[x] == part[y]:
-                                continue
-                            one, two = full_set(x), full_set(y)
-                            place = np.searchsorted(one, two)
-                            common = int((one[np.minimum(place, len(one) - 1)] == two).sum())
-                            if 100 * common >= percent * (len(one) + len(two) - common):
-                                low, high = sorted((part[x], part[y]))
-                                part[part == high] = low
-                    moved = np.flatnonzero(part != np.arange(b - a))
-                    roots += c[a + part[moved]].tolist()
-                    members += c[a + moved].tolist()
-                if roots:
-                    yield pa.RecordBatch.from_arrays([pa.array(roots, pa.int64()), pa.array(members, pa.int64())], names=["root", "c"])
-
-        return stored(full.mapInArrow(confirm, "root long, c long").distinct(), "near-links")
+                heads = np.append(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys)).tolist()
+                links = []
+                for a, b in zip(heads, heads[1:]):
+                    part = _connected(rows.column("packed").slice(a, b - a), label[a:b], size[a:b], brief[a:b], words, percent)
+                    ends = np.column_stack([label[a:b][part], label[a:b]])
+                    links.append(np.unique(ends[ends[:, 0] != ends[:, 1]], axis=0))
+                found = np.concatenate(links)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], names=["a", "b"])
+
+        self.connect(stored(full.mapInArrow(confirm, "a long, b long").distinct(), "near-links"))
 
     def trees(self, first: int, last: int) -> None:
-        """Add the links found by trees number `first` to `last` - 1, followed from their roots down."""
+        """Connect what trees number `first` to `last` - 1 find, followed from their roots down."""
         tokens = self.classes.select("c", "sig")
-        node = F.array(*[F.xxhash64(F.lit(t), F.element_at("sig", t + 1)) for t in range(first, last)])
+        drawn = [random.Random(t).sample(range(HASHES), self.root) for t in range(first, last)]
+        node = F.array(*[F.xxhash64(F.lit(t), *[F.element_at("sig", i + 1) for i in places]) for t, places in enumerate(drawn, first)])
         rows = self.classes.select("c", F.explode(node).alias("node"))
-        rows = self.labelled(rows) if self.links else rows.withColumn("label", F.col("c"))
-        rows = rows.select("node", "c", "label")
         for level in range(DEPTH + 1):
-            rows = stored(rows, "near-nodes")
+            rows = stored(self.labelled(rows).select("node", "c", "label"), "near-nodes")
             about = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("c", "label")).alias("pivot"))
             about = stored(about.where("n > 1 AND low < high").select("node", "n", "pivot"), "near-sizes")
-            live = rows.join(about, "node")
-            small = live.where(F.col("n") <= LIMIT).select(F.col("node").alias("g"), "c", "label", F.lit(0).cast("long").alias("salt"))
+            live = rows.join(about.select("node", "n"), "node")
+            small = live.where(F.col("n") <= LIMIT).select(F.col("node").alias("g"), "c", "label")
             large, heads = live.where(F.col("n") > LIMIT), about.where(F.col("n") > LIMIT)
             if level < DEPTH:
                 chunks = F.ceil(F.col("n") / (LIMIT - 1))
-                dealt = large.select(F.xxhash64("node", F.pmod(F.xxhash64("c", F.lit(level)), chunks)).alias("g"), "c", "label", "node")
+                mine = F.pmod(F.xxhash64("c", F.lit(level)), chunks)
+                dealt = large.join(heads.select("node", "pivot.c").withColumnRenamed("c", "p"), "node").where("c != p").select(F.xxhash64("node", mine).alias("g"), "c", "label")
                 pivots = heads.select("node", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("k"))
-                pivots = pivots.select(F.xxhash64("node", "k").alias("g"), "pivot.c", "pivot.label", "node")
-            else:  # every pair of blocks, the exact way for what branching did not split
-                blocks = F.ceil(F.col("n") / (LIMIT // 2))
-                mine = F.pmod(F.xxhash64("c", F.lit(level)), blocks)
-                dealt = large.select("node", "c", "label", mine.alias("k"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("o"))
-                dealt = dealt.select(F.xxhash64("node", F.least("k", "o"), F.greatest("k", "o")).alias("g"), "c", "label", "node")
-                pivots = dealt.limit(0)
-            apart = dealt.union(pivots).select("g", "c", "label", F.col("g").alias("salt"))
-            made = self.similar(small.union(apart))
-            if made is not None:
-                self.links.append(made)
+                apart = dealt.union(pivots.select(F.xxhash64("node", "k").alias("g"), "pivot.c", "pivot.label"))
+            else:
+                apart = _blocks(large)
+            self.similar(small.union(apart))
             if level == DEPTH or heads.isEmpty():
                 return
-            coordinate = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(HASHES)).cast("int")
-            child = F.array(*[F.xxhash64("node", F.lit(k), F.element_at("sig", coordinate(k) + 1)) for k in range(BRANCH)])
+            token = lambda k, i: F.element_at("sig", F.pmod(F.xxhash64("node", F.lit(k), F.lit(i)), F.lit(HASHES)).cast("int") + 1)
+            child = F.array(*[F.xxhash64("node", F.lit(k), *[token(k, i) for i in range(STEP)]) for k in range(BRANCH)])
             rows = large.select("node", "c").join(tokens, "c").select(F.explode(child).alias("node"), "c")
-            rows = (self.labelled(rows) if self.links else rows.withColumn("label", F.col("c"))).select("node", "c", "label")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Groups (g, c, label) in which every two rows (node, c, label) of a node meet, but those of its most frequent label.
+
+    That label's rows (the crowd) and the others are cut into blocks; each block of others meets each block of both.
+    """
+    size = LIMIT // 2
+    labels = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("m"))
+    sums = labels.groupBy("node").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("n"))
+    sums = sums.select("node", F.col("top.label").alias("crowd"), F.ceil(F.col("top.m") / size).alias("a"), F.ceil((F.col("n") - F.col("top.m")) / size).alias("o"))
+    met = rows.join(sums, "node").withColumn("same", F.col("label") == F.col("crowd"))
+    mine = F.pmod(F.xxhash64("c", F.lit(99)), F.when(F.col("same"), F.col("a")).otherwise(F.col("o")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    group = lambda kind, x, y: F.xxhash64("node", F.lit(kind), x, y)
+    met = met.withColumn("k", mine)
+    crowd = F.transform(upto("o"), lambda j: group(0, F.col("k"), j))
+    others = F.concat(F.transform(upto("a"), lambda i: group(0, i, F.col("k"))), F.transform(upto("o"), lambda j: group(1, F.least("k", j), F.greatest("k", j))))
+    return met.select(F.explode(F.when(F.col("same"), crowd).otherwise(others)).alias("g"), "c", "label")
 
 
 def _found(sets: DataFrame, words: int, percent: int) -> DataFrame:
     """(id, row, n_shingles, component_id, component) of every row of a sets table; `component` is unique, whatever the ids."""
     join = Join(sets, words, percent)
-
     join.trees(0, 1)
-    join.trees(1, TREES)
-    labels = join.components()
-    found = join.classes.select("f1", "f2", "c", "cid").join(labels.withColumnRenamed("v", "c"), "c", "left").withColumn("label", F.coalesce("u", "c"))
+    join.trees(1, join.many)
+    found = join.labelled(join.classes.select("f1", "f2", "c", "cid"))
     least = found.groupBy("label").agg(F.min("cid").alias("component_id"))
     found = stored(found.join(least, "label").select("f1", "f2", "component_id", "label"), "near-found")
     rows = sets.select("id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("f1")).alias("f1"), "f2").join(found, ["f1", "f2"], "left")
@@ -330,7 +373,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 
 def unpacked(rows: DataFrame, docs: DataFrame, text_column: str) -> DataFrame:
-    """Rows (keep, packed) as rows of docs: the kept columns, and the text out of its zstandard frame."""
+    """Rows (keep, packed) as rows of docs: the kept columns, apart from whether there was a text, and the text out of its zstandard frame."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -339,8 +382,8 @@ def unpacked(rows: DataFrame, docs: DataFrame, text_column: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("keep"), texts], names=["keep", "text"])
 
     made = rows.mapInArrow(run, f"keep {rows.schema['keep'].dataType.simpleString()}, text string")
-    text = F.when(~F.col("keep")["__null"], F.col("text"))
-    return made.select(*[text.alias(c) if c == text_column else F.col("keep")[c].alias(c) for c in docs.columns])
+    text = F.when(~F.col("keep")["no_text"], F.col("text"))
+    return made.select(*[text.alias(c) if c == text_column else F.col("keep")["columns"][c].alias(c) for c in docs.columns])
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

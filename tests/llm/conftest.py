@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 
 #: Names that operators use inside; a table may have them too.
-CLASHING = ["id", "row", "keep", "n", "c", "label", "size", "copies", "g", "h", "found", "packed", "sequence_id", "offset", "length", "host", "rule", "lang_pred", "score", "fill", "members", "__lang"]
+CLASHING = ["id", "row", "n", "c", "label", "size", "copies", "g", "h", "found", "sequence_id", "offset", "length", "host", "rule", "lang_pred", "score", "fill", "members", "__lang", "__null", "no_text", "columns", "keep", "packed"]
 WORDS = {
     "en": "the and of that was from with here there which stone water house green light small where other thing under",
     "de": "der die und nicht ein mit von auf haus wasser stein licht klein grün über straße größe wenn aber doch",
