@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,36 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(f"`{column}`"), F.lit(""))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+#: What drops each thing that workers remember from task to task.
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def remembered(name: str, drop: Callable[[], None]) -> None:
+    _REMEMBERED[name] = drop
+
+
+def give_back(keeps: str = "") -> None:
+    """Drop what this worker remembers but for `keeps`, and return free memory to the machine.
+
+    Workers live on through all stages of a job, so what one stage leaves would count for the next.
+    """
+    for name, drop in _REMEMBERED.items():
+        if name != keeps:
+            drop()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some systems have it
+    if trim:
+        trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20, keeps: str = "") -> Iterator[pa.RecordBatch]:
     """Cut batches so that the values of one column hold about `limit` bytes, one row at least."""
+    give_back(keeps)
+    yield from _cut(batches, column, limit)
+    give_back(keeps)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue

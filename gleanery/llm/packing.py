@@ -121,7 +121,7 @@ def token_pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(vocabulary(vocabulary_name))
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", keeps="pieces"):
             out: list[tuple] = []
             for at, made in enumerate(tool.encode(batch.column("text").to_pylist())):
                 made += end

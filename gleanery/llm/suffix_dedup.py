@@ -31,7 +31,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanery.llm.common import mix64, random_words, slices, stored, table, text_or_empty
+from gleanery.llm.common import mix64, random_words, remembered, slices, stored, table, text_or_empty
 from gleanery.llm.near_dedup import _groups
 
 SPAN, GRAM, HOT = 400, 96, 8192
@@ -57,15 +57,22 @@ class Hashes:
 
     def __init__(self, data: np.ndarray) -> None:
         if len(Hashes._up) < len(data) + 1:
-            size = 1 << (len(data) + 1).bit_length()
+            size = (len(data) >> 16) + 1 << 16
             Hashes._up, Hashes._down = _powers(_BASE, size), _powers(_INVERSE, size)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE[data] * Hashes._up[: len(data)], out=self.sums[1:])
 
+    @staticmethod
+    def forget() -> None:
+        Hashes._up, Hashes._down = _powers(_BASE, 1), _powers(_INVERSE, 1)
+
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return (self.sums[stop] - self.sums[start]) * Hashes._down[start]
 
 
+remembered("powers", Hashes.forget)
+
+
 def anchors(data: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, place, first and last window of every anchor in texts laid end to end (at most 2^23 bytes)."""
     none = np.zeros(0, np.int64)
@@ -219,7 +226,8 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _anchored(docs: DataFrame, id_column: str, text_column: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Stored (id, keep, row, n_bytes, sha256, packed, found): every text with its anchors."""
-    other = F.struct(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text_column}`").isNull().alias("__null"))
+    columns = F.struct(*[F.col(f"`{k}`") for k in keep]) if keep else F.lit(0)  # apart from what stands beside them
+    other = F.struct(columns.alias("columns"), F.col(f"`{text_column}`").isNull().alias("no_text"))
     rows = docs.select(F.col(f"`{id_column}`").alias("id"), other.alias("keep"), text_or_empty(text_column).cast("binary").alias("text"))
     fields = {"h": pa.int64(), "p": pa.int64(), "lo": pa.int64(), "hi": pa.int64()}
     schema = f"id {rows.schema['id'].dataType.simpleString()}, keep {rows.schema['keep'].dataType.simpleString()}, n_bytes long, sha256 string, packed binary, found array<struct<h:long,p:long,lo:long,hi:long>>"
@@ -383,8 +391,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in names[:3]], *made], names=names)
 
     made = rows.select("id", "keep", "n_bytes", "sha256", "packed", "spans").mapInArrow(run, schema)
-    bytes_kept = [F.when(~F.col("keep")["__null"], F.col("kept")).alias("kept")] if text else []
-    return made.select(F.col("id").alias(id_column), *[F.col("keep")[c].alias(c) for c in keep], *names[2:-1], *bytes_kept)
+    bytes_kept = [F.when(~F.col("keep")["no_text"], F.col("kept")).alias("kept")] if text else []
+    return made.select(F.col("id").alias(id_column), *[F.col("keep")["columns"][c].alias(c) for c in keep], *names[2:-1], *bytes_kept)
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -405,9 +413,9 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("keep"), pa.array(out, pa.string())], names=["id", "keep", "text"])
 
     made = rows.mapInArrow(run, f"id {kind}, keep {kept}, text string")
-    text = F.when(~F.col("keep")["__null"], F.col("text"))
+    text = F.when(~F.col("keep")["no_text"], F.col("text"))
     column = {id_column: F.col("id"), text_column: text}
-    return made.select(*[column.get(c, F.col("keep")[c] if c in keep else None).alias(c) for c in docs.columns])
+    return made.select(*[column.get(c, F.col("keep")["columns"][c] if c in keep else None).alias(c) for c in docs.columns])
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

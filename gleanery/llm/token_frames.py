@@ -145,7 +145,7 @@ def write_token_files(docs: DataFrame, id_column: str, text_column: str, vocabul
         shard, path = TaskContext.get().partitionId(), f"{folder}/{uuid.uuid4().hex}.zst"
         tool, end = encoder(vocabulary(vocabulary_name)), struct.pack("<I", end_id)
         ids, total, writer, out = [], 0, None, None
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", keeps="pieces"):
             if writer is None:
                 out = _open(path, "w")
                 writer = FrameWriter(out)

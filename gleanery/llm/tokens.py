@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from gleanery.llm.common import remembered
+
 #: Pieces of each pre-tokenizer, written for the plain characters only (fixed values).
 PIECES = {
     "byte": r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+",
@@ -21,7 +23,7 @@ PIECES = {
 #: Letters beyond U+017E, the dotted capital I, and signs with numeric values stay with the library.
 PLAIN = re.compile("[\t\n\r -~¡«»¿À-ÖØ-öø-įı-ž]*")
 #: Distinct pieces remembered by a worker before it starts anew, and the longest piece worth remembering.
-PIECES_KEPT, LONGEST = 400_000, 64
+PIECES_KEPT, LONGEST = 200_000, 64
 
 
 def vocabulary(name: str) -> str:
@@ -84,6 +86,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+remembered("pieces", _ENCODERS.clear)
 
 
 def encoder(path: str) -> Encoder:
