@@ -5,9 +5,9 @@ Classes are then branched into trees: a tree's root deals the classes by a few m
 classes there are, so that texts alike by chance do not meet); a node of more than `LIMIT` classes is dealt again by `STEP` further
 tokens chosen by a hash of the path, into `BRANCH` children (one over the similarity for each token), and so on
 down. Small nodes are compared exhaustively by signatures; whatever could reach the similarity (six standard deviations
-below it, and sizes that allow it) is confirmed on the full sets of shingles. With two tokens a root keeps
-a link of similarity 0.8 with odds of 0.64 and twelve independent trees miss it with 5 in a million; behind one step it
-is 3 in ten thousand, and behind `DEPTH` steps everything is compared.
+below it, and sizes that allow it) is confirmed on the full sets of shingles. With three tokens a root keeps
+a link of similarity 0.8 with odds of 0.51 and eighteen independent trees miss it with 3 in a million; behind one step it
+is 2 in ten thousand, and behind `DEPTH` steps everything is compared.
 
 Large nodes do not wait until branching has split them, which groups of near copies never let it do: their
 classes are dealt into chunks that each hold the node's smallest class as pivot, and chunks are
@@ -40,9 +40,9 @@ from gleanery.llm.common import mix64, partitions, random_words, slices, stored,
 from gleanery.llm.components import components
 
 HASHES, LIMIT = 64, 512
-#: A root takes so many tokens that texts which share this part of their shingles by chance make small nodes; there are so many trees that
-#: all roots part a pair just similar enough with odds of MISS.
-CHANCE, MISS = 1 / 30, 5e-6
+#: A root takes so many tokens that about MEET texts, which share the part CHANCE of their shingles by chance, meet in a node; there are so many
+#: trees that all roots part a pair just similar enough with odds of MISS.
+CHANCE, MEET, MISS = 1 / 30, 16, 5e-6
 #: Tokens of the path that a step of a large node takes at once, and its branches: about (1 / 0.8) ** STEP, the least that keeps links of
 #: similarity 0.8 together on average. Steps before what is left is compared exhaustively.
 STEP, BRANCH, DEPTH = 3, 2, 2
@@ -216,7 +216,7 @@ class Join:
         whole = whole.select("f1", "f2", "c", "cid", "s.n", "s.sig").withColumn("brief", F.unhex(F.array_join(brief, "")))
         self.classes = stored(whole, "near-classes")
         # Tokens of a root, and trees.
-        self.root = max(1, math.ceil(math.log(max(1, self.classes.count()) / LIMIT) / -math.log(CHANCE)))
+        self.root = max(1, math.ceil(math.log(max(1, self.classes.count()) / MEET) / -math.log(CHANCE)))
         self.many = max(2, math.ceil(math.log(MISS) / math.log(max(1e-9, 1 - (percent / 100) ** self.root))))
         self.labels: DataFrame | None = None  # (c, label) of classes known to be connected with a smaller one
 

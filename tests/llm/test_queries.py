@@ -166,7 +166,7 @@ def linked(rows, n):
     return [find(i) for i in range(len(rows))], sets
 
 
-@pytest.mark.parametrize("limit, chance, tokens", [(512, 1 / 30, 4_000_000), (6, 0.2, 100)])
+@pytest.mark.parametrize("limit, chance, tokens", [(512, 1 / 30, 4_000_000), (6, 0.3, 100)])
 def test_near_duplicates(spark, nasty, monkeypatch, limit, chance, tokens):
     """Also with tiny nodes, so that pivots, branching and blocks all take part, roots of several tokens, and sets that are not held at once."""
     from gleanery.llm import near_dedup
