@@ -165,7 +165,10 @@ def relative_dates(spark, sf):
       strftime(o_orderdate + INTERVAL 3 HOUR, '%Y-%m-%d 03:00:00') AS year_last, strftime(o_orderdate, '%Y-%m-%d 12:00:00') AS short_year,
       strftime(o_orderdate, '%Y-%m-%d 00:00:00') AS slashes, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d 00:00:00') AS month_only,
       strftime(o_orderdate, '%Y-%m-%d 10:20:30') AS abbreviation, strftime(o_orderdate, '%Y-%m-%d 00:00:00') AS padded_epoch,
-      (5000 + o_orderkey % 4000)::VARCHAR || '-01-01 00:00:00' AS far_epoch FROM orders)
+      (5000 + o_orderkey % 4000)::VARCHAR || '-01-01 00:00:00' AS far_epoch,
+      strftime(o_orderdate, '%Y-%m-%d 00:00:00') AS dots, strftime(o_orderdate, '%Y-%m-%d 00:00:00') AS short_dots, strftime(o_orderdate, '%Y-%m-%d 00:00:00') AS named,
+      strftime(o_orderdate, '%Y-%m-%d 00:12:00') AS offset_name, strftime(o_orderdate, '%Y-%m-%d 22:00:00') AS name_offset,
+      strftime(o_orderdate, '%Y-%m-%d 14:14:20') AS digits_in_line, strftime(o_orderdate, '%Y-%m-%d 00:00:00') AS colons FROM orders)
       ON COLUMNS(* EXCLUDE o_orderkey) INTO NAME shape VALUE parsed""",
 )
 def unknown_dates(spark, sf):
@@ -190,6 +193,13 @@ def unknown_dates(spark, sf):
         "abbreviation": F.date_format(d, "yyyy-MM-dd '10:20:30 EST'"),
         "padded_epoch": F.lpad(F.unix_seconds(d).cast("string"), 20, "0"),
         "far_epoch": F.unix_seconds(F.make_timestamp((5000 + k % 4000).cast("int"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))).cast("string"),
+        "dots": F.date_format(d, "M.d.yyyy"),
+        "short_dots": F.date_format(d, "MM.dd.yy"),
+        "named": F.date_format(d, "yyyy-MMM-dd"),
+        "offset_name": F.date_format(d, "yyyy-MM-dd '00:12:00 +0000 GMT'"),
+        "name_offset": F.date_format(d, "MMMM d, yyyy 'at 5:00pm UTC-05'"),
+        "digits_in_line": F.date_format(d, "yyMMdd '14:14:20'"),
+        "colons": F.date_format(d, "yyyy:MM:dd"),
     }
     rows = F.array(*[F.struct(F.lit(n).alias("shape"), c.alias("text")) for n, c in shapes.items()])
     written = fx.spread(fx.table(spark, sf, "orders")).select("o_orderkey", F.inline(rows))
