@@ -53,6 +53,18 @@ def test_declared_dates(evaluate, value, fmt, want):
     assert evaluate([value], lambda c: dates.parse_declared(c, fmt, NOW)) == [want]
 
 
+def test_roles_of_numbers_in_dates(evaluate):
+    """Month first but behind a year; names and offsets of zones in either order; signs and words of no date."""
+    table = {
+        "3.31.2014": datetime(2014, 3, 31), "08.21.71": datetime(1971, 8, 21), "3.1.2014": datetime(2014, 3, 1), "2013-Feb-03": datetime(2013, 2, 3),
+        "2015-02-18 00:12:00 +0000 GMT": datetime(2015, 2, 18, 0, 12), "September 17, 2012 at 5:00pm UTC-05": datetime(2012, 9, 17, 22),
+        "171113 14:14:20": datetime(2017, 11, 13, 14, 14, 20), "2014:03:31": datetime(2014, 3, 31), "Mon, 2 Jan 2006 15:04:05 -0700 (MST)": datetime(2006, 1, 2, 22, 4, 5),
+        "2006-01-02T15:04:05.5Z": datetime(2006, 1, 2, 15, 4, 5, 500_000), "12 Feb 06": datetime(2006, 2, 12), "Feb 31, 2006": None, "13.13.2014": None,
+        "Marchy 3 2014": None, "3/31/2014 25:00": None, "1 of 2 for 2014": None,
+    }
+    assert evaluate(list(table), lambda c: dates.parse_unknown(c, NOW)) == list(table.values())
+
+
 def test_unknown_dates(evaluate):
     table = {
         "1710000000": datetime(2024, 3, 9, 16, 0),
