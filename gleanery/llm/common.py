@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,6 +28,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Write df like `stored`, dealt into buckets of `key`, a key of single rows: joins by it move the other side alone.
+
+    The catalogue only lends the table its buckets; its name is dropped again, the files stay where they are.
+    """
+    spark = df.sparkSession
+    parts, path, label = partitions(spark), shared_path(spark, name), f"buckets_{uuid.uuid4().hex}"
+    df.repartition(parts, key).write.format("parquet").bucketBy(parts, key).option("path", path).saveAsTable(label)
+    found = spark.table(label)
+    spark.sql(f"DROP TABLE {label}")
+    return found
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions the session asks for, used where an operator must name a number."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -36,7 +36,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanery.llm.common import mix64, partitions, random_words, slices, stored, table, text_or_empty
+from gleanery.llm.common import bucketed, mix64, partitions, random_words, slices, stored, table, text_or_empty
 from gleanery.llm.components import components
 
 HASHES, LIMIT = 64, 512
@@ -89,7 +89,7 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sets_table(docs: DataFrame, id_column: str, text_column: str, words: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, keep, row, n, f1, f2, sig, packed): size, fingerprint and signature of every text's set, and the text."""
+    """(id, keep, row, n, f1, f2, sig, packed): size, fingerprint and signature of every text's set, and the text; in buckets of row."""
     columns = F.struct(*[F.col(f"`{k}`") for k in keep]) if keep else F.lit(0)  # apart from what stands beside them
     other = F.struct(columns.alias("columns"), F.col(f"`{text_column}`").isNull().alias("no_text"))
     rows = docs.select(F.col(f"`{id_column}`").alias("id"), other.alias("keep"), text_or_empty(text_column).cast("binary").alias("text"))
@@ -106,7 +106,7 @@ def _sets_table(docs: DataFrame, id_column: str, text_column: str, words: int, k
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("keep"), *made], names=["id", "keep", "n", "f1", "f2", "sig", "packed"])
 
     made = rows.mapInArrow(run, f"id {kind}, keep {kept}, n long, f1 long, f2 long, sig array<int>, packed binary")
-    return stored(made.withColumn("row", F.monotonically_increasing_id()), "near-sets")
+    return bucketed(made.withColumn("row", F.monotonically_increasing_id()), "near-sets", "row")
 
 
 def _least(percent: int) -> float:
@@ -212,9 +212,9 @@ class Join:
         self.sets, self.words, self.percent = sets, words, percent
         # The low bits of a least hash are as good as random; its high ones are zero.
         brief = F.transform("sig", lambda h: F.substring(F.hex(h.bitwiseAND(F.lit(255)).cast("long") + 256), 2, 2))
-        whole = sets.where("n > 0").groupBy("f1", "f2").agg(F.min("row").alias("c"), F.min("id").alias("cid"), F.min_by(F.struct("n", "sig"), "row").alias("s"))
-        whole = whole.select("f1", "f2", "c", "cid", "s.n", "s.sig").withColumn("brief", F.unhex(F.array_join(brief, "")))
-        self.classes = stored(whole, "near-classes")
+        first = sets.where("n > 0").groupBy("f1", "f2").agg(F.min("row").alias("c"), F.min("id").alias("cid"))
+        whole = first.join(sets.select(F.col("row").alias("c"), "n", "sig").hint("merge"), "c").withColumn("brief", F.unhex(F.array_join(brief, "")))
+        self.classes = bucketed(whole, "near-classes", "c")
         # Tokens of a root, and trees.
         self.root = max(1, math.ceil(math.log(max(1, self.classes.count()) / MEET) / -math.log(CHANCE)))
         self.many = max(2, math.ceil(math.log(MISS) / math.log(max(1e-9, 1 - (percent / 100) ** self.root))))
@@ -242,7 +242,7 @@ class Join:
 
         Suspects that hang together in a group are a cluster; their texts meet in one task and are confirmed on full sets.
         """
-        about = groups.join(self.classes.select("c", F.col("n").alias("size"), "brief"), "c")
+        about = groups.join(self.classes.select("c", F.col("n").alias("size"), "brief").hint("merge"), "c")
         percent, words = self.percent, self.words
         fields = ["key", "c", "label", "size", "brief"]
 
@@ -277,7 +277,8 @@ class Join:
         once = guessed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y"))
         once = once.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
         clusters = guessed.join(once, "key", "left_semi")
-        full = clusters.join(self.sets.select(F.col("row").alias("c"), "packed"), "c").select(*fields, "packed").repartition(parts, "key").sortWithinPartitions("key", "c")
+        texts = self.sets.select(F.col("row").alias("c"), "packed").hint("merge")  # stay in their buckets
+        full = clusters.join(texts, "c").select(*fields, "packed").repartition(parts, "key").sortWithinPartitions("key", "c")
 
         def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in _groups(batches, "key", 1):
@@ -299,9 +300,9 @@ class Join:
         tokens = self.classes.select("c", "sig")
         drawn = [random.Random(t).sample(range(HASHES), self.root) for t in range(first, last)]
         node = F.array(*[F.xxhash64(F.lit(t), *[F.element_at("sig", i + 1) for i in places]) for t, places in enumerate(drawn, first)])
-        rows = self.classes.select("c", F.explode(node).alias("node"))
+        rows = tokens
         for level in range(DEPTH + 1):
-            rows = stored(self.labelled(rows).select("node", "c", "label"), "near-nodes")
+            rows = stored(self.labelled(rows).select(F.explode(node).alias("node"), "c", "label"), "near-nodes")
             about = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("c", "label")).alias("pivot"))
             about = stored(about.where("n > 1 AND low < high").select("node", "n", "pivot"), "near-sizes")
             live = rows.join(about.select("node", "n"), "node")
@@ -319,8 +320,8 @@ class Join:
             if level == DEPTH or heads.isEmpty():
                 return
             token = lambda k, i: F.element_at("sig", F.pmod(F.xxhash64("node", F.lit(k), F.lit(i)), F.lit(HASHES)).cast("int") + 1)
-            child = F.array(*[F.xxhash64("node", F.lit(k), *[token(k, i) for i in range(STEP)]) for k in range(BRANCH)])
-            rows = large.select("node", "c").join(tokens, "c").select(F.explode(child).alias("node"), "c")
+            node = F.array(*[F.xxhash64("node", F.lit(k), *[token(k, i) for i in range(STEP)]) for k in range(BRANCH)])
+            rows = large.select("node", "c").join(tokens.hint("merge"), "c")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
