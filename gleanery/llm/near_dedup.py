@@ -14,7 +14,8 @@ classes are dealt into chunks that each hold the node's smallest class as pivot,
 compared like small nodes, so that a member meets hundreds of others in every tree and step. After every step classes confirmed
 to be connected share a label; nodes whose classes share one label are done, and pairs with one label are not
 compared again. What is still large and mixed after `DEPTH` steps is compared in pairs of blocks, but for those
-within its most frequent label, so nothing is lost to a cap. The first tree runs alone, so the other trees begin with most groups of copies known.
+within its most frequent label, so nothing is lost to a cap. The roots of two trees are compared first, so all trees, these two again, begin with
+most groups of copies known.
 
 Links within a cluster leave it as a star of labels, and only labels that new links touch are solved anew, so
 a group of n copies gives at most n rows per tree and never n squared.
@@ -40,6 +41,8 @@ from gleanery.llm.common import bucketed, mix64, partitions, random_words, slice
 from gleanery.llm.components import components
 
 HASHES, LIMIT = 64, 512
+#: Trees whose roots are compared first, without further steps, so that all trees begin with most groups of copies known.
+FIRST = 2
 #: A root takes so many tokens that about MEET texts, which share the part CHANCE of their shingles by chance, meet in a node; there are so many
 #: trees that all roots part a pair just similar enough with odds of MISS.
 CHANCE, MEET, MISS = 1 / 30, 16, 5e-6
@@ -295,13 +298,13 @@ class Join:
 
         self.connect(stored(full.mapInArrow(confirm, "a long, b long").distinct(), "near-links"))
 
-    def trees(self, first: int, last: int) -> None:
-        """Connect what trees number `first` to `last` - 1 find, followed from their roots down."""
+    def trees(self, many: int, depth: int) -> None:
+        """Connect what the first `many` trees find, followed from their roots down, large nodes for at most `depth` steps."""
         tokens = self.classes.select("c", "sig")
-        drawn = [random.Random(t).sample(range(HASHES), self.root) for t in range(first, last)]
-        node = F.array(*[F.xxhash64(F.lit(t), *[F.element_at("sig", i + 1) for i in places]) for t, places in enumerate(drawn, first)])
+        drawn = [random.Random(t).sample(range(HASHES), self.root) for t in range(many)]
+        node = F.array(*[F.xxhash64(F.lit(t), *[F.element_at("sig", i + 1) for i in places]) for t, places in enumerate(drawn)])
         rows = tokens
-        for level in range(DEPTH + 1):
+        for level in range(depth + 1):
             rows = stored(self.labelled(rows).select(F.explode(node).alias("node"), "c", "label"), "near-nodes")
             about = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("c", "label")).alias("pivot"))
             about = stored(about.where("n > 1 AND low < high").select("node", "n", "pivot"), "near-sizes")
@@ -317,7 +320,7 @@ class Join:
             else:
                 apart = _blocks(large)
             self.similar(small.union(apart))
-            if level == DEPTH or heads.isEmpty():
+            if level == depth or heads.isEmpty():
                 return
             token = lambda k, i: F.element_at("sig", F.pmod(F.xxhash64("node", F.lit(k), F.lit(i)), F.lit(HASHES)).cast("int") + 1)
             node = F.array(*[F.xxhash64("node", F.lit(k), *[token(k, i) for i in range(STEP)]) for k in range(BRANCH)])
@@ -346,8 +349,8 @@ def _blocks(rows: DataFrame) -> DataFrame:
 def _found(sets: DataFrame, words: int, percent: int) -> DataFrame:
     """(id, row, n_shingles, component_id, component) of every row of a sets table; `component` is unique, whatever the ids."""
     join = Join(sets, words, percent)
-    join.trees(0, 1)
-    join.trees(1, join.many)
+    join.trees(FIRST, 0)
+    join.trees(join.many, DEPTH)
     found = join.labelled(join.classes.select("f1", "f2", "c", "cid"))
     least = found.groupBy("label").agg(F.min("cid").alias("component_id"))
     found = stored(found.join(least, "label").select("f1", "f2", "component_id", "label"), "near-found")
