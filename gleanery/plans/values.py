@@ -206,6 +206,35 @@ def unknown_dates(spark, sf):
     return written.select("o_orderkey", "shape", stamp(dates.parse_unknown(F.col("text"), NOW)).alias("parsed"))
 
 
+@query(
+    "wall_clock_dates",
+    """WITH seen AS (SELECT o_orderkey AS k, o_orderdate + to_hours(o_orderkey % 24) AS instant,
+        CASE WHEN o_orderkey % 2 = 0 THEN 'America/New_York' ELSE 'Europe/Berlin' END AS zone FROM orders),
+      here AS (SELECT *, timezone(zone, timezone('UTC', instant))::DATE AS day FROM seen)
+    SELECT k AS o_orderkey, strftime(timezone('UTC', timezone(zone, day - 1 + to_hours(3 + k % 20) + INTERVAL 30 MINUTE)), '%Y-%m-%d %H:%M:%S') AS yesterday,
+      strftime(timezone('UTC', timezone(zone, day + INTERVAL 735 MINUTE)), '%Y-%m-%d %H:%M:%S') AS today,
+      strftime(timezone('UTC', timezone(zone, day - ((isodow(day) + 6 - k % 7) % 7)::INT + INTERVAL 862 MINUTE)), '%Y-%m-%d %H:%M:%S') AS weekday,
+      strftime(instant - INTERVAL 24 HOUR, '%Y-%m-%d %H:%M:%S') AS elapsed FROM here""",
+)
+def wall_clock_dates(spark, sf):
+    """Days and clocks as pages of two zones write them, on every order's date: a day back is a day of the calendar, also where
+    a clock change makes it 23 or 25 hours long, while a day that has passed is always 24 hours."""
+    k = F.col("o_orderkey")
+    seen = F.timestamp_add("HOUR", k % 24, F.col("o_orderdate").cast("timestamp"))
+    zone = F.when(k % 2 == 0, F.lit("America/New_York")).otherwise(F.lit("Europe/Berlin"))
+    names = F.array(*[F.lit(x) for x in ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")])
+    written = {
+        "yesterday": F.concat(F.lit("yesterday, "), (3 + k % 20).cast("string"), F.lit(":30")),
+        "today": F.lit("Today at 12:15 PM"),
+        "weekday": F.concat(F.get(names, (k % 7).cast("int")), F.lit(" at 14:22")),
+    }
+    rows = fx.spread(fx.table(spark, sf, "orders")).select("o_orderkey", seen.alias("seen"), zone.alias("zone"))
+    here = F.from_utc_timestamp("seen", F.col("zone"))
+    read = {n: F.to_utc_timestamp(dates.parse_unknown(c, here), F.col("zone")) for n, c in written.items()}
+    read["elapsed"] = dates.time_ago(F.lit("24 hours ago"), F.col("seen"))
+    return rows.select("o_orderkey", *[stamp(c).alias(n) for n, c in read.items()])
+
+
 @query(
     "feed_dates",
     """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'Tue, 15 Jan 2002 12:30:00 +0000'
