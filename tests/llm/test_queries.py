@@ -250,6 +250,15 @@ def test_mixing(spark, nasty):
         assert abs(taken[s] - target[s]) <= 0.05 * target[s] + 5
 
 
+def test_urls_of_empty_table(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.schema([("page_id", pa.int64()), ("url", pa.string())]).empty_table(), tmp_path / "pages.parquet")
+    found = QUERIES["op9_url_filters"](spark, str(tmp_path))
+    assert found.columns == ["page_id", "host", "path", "rule", "verdict"] and found.collect() == []
+
+
 def test_urls_equal_sql(spark, tmp_path):
     import pyarrow as pa
     import pyarrow.parquet as pq
