@@ -3,8 +3,8 @@
 Items are dealt to partitions of about `ITEMS` rows. Each partition packs its own items best-fit, longest
 first, into bins. Bins that nothing left could fill (residual under the shortest item, or a few
 tokens) are final; the underfull ones become items of the next round, which has as many fewer partitions as it has
-fewer items. Rounds end when one partition holds all, or when a round no longer merges anything to
-speak of. A task holds one partition's items and nothing grows with the whole; every round is a stored table.
+fewer items. Every other round deals items by how far they are from half a sequence, so that fills which complete each
+other meet. Rounds end when one partition holds all, or when neither way of dealing merges anything. A task holds one partition's items and nothing grows with the whole; every round is a stored table.
 
 A document is cut only if it is longer than a sequence: into whole sequences, the first piece being the rest.
 
@@ -26,8 +26,8 @@ from gleanery.llm.common import slices, stored, table, text_or_empty
 from gleanery.llm.tokens import encoder, vocabulary
 
 CAPACITY = 2048
-#: Items a task packs, about; tokens a final bin may lack; least share of bins a round must save to go on.
-ITEMS, SLACK, PROGRESS = 20_000, 8, 0.005
+#: Items a task packs, about; tokens a final bin may lack.
+ITEMS, SLACK = 20_000, 8
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -84,7 +84,7 @@ def pack(items: DataFrame, length_column: str = "length", capacity: int = CAPACI
     waiting = stored(items.select(length.alias("fill"), F.array(member).alias("members")), "pack-items")
     schema = f"fill long, members {waiting.schema['members'].dataType.simpleString()}, final boolean"
     whole = [waiting.where(F.col("fill") == capacity)]
-    waiting, turn = waiting.where(F.col("fill") < capacity), 0
+    waiting, turn, idle = waiting.where(F.col("fill") < capacity), 0, 0
     while True:
         count, least = waiting.agg(F.count(F.lit(1)), F.min("fill")).first()
         if not count:
@@ -98,10 +98,12 @@ def pack(items: DataFrame, length_column: str = "length", capacity: int = CAPACI
                 for start in range(0, merged.num_rows, 5_000):
                     yield merged.slice(start, 5_000)
 
-        packed = stored(waiting.repartition(parts).mapInArrow(run, schema), f"pack-{turn}")
+        # The seeded random number only spreads equal fills over partitions.
+        dealt = waiting.repartition(parts) if turn % 2 == 0 else waiting.repartitionByRange(parts, F.abs(F.col("fill") * 2 - capacity), F.rand(turn))
+        packed = stored(dealt.mapInArrow(run, schema), f"pack-{turn}")
         bins, open_ = packed.agg(F.count(F.lit(1)), F.count(F.when(~F.col("final"), 1))).first()
-        # Bins of one partition never merge with each other, so a round without gain is the last.
-        last = parts == 1 or open_ == 0 or (turn > 0 and bins > count * (1 - PROGRESS))
+        idle = idle + 1 if bins == count else 0
+        last = parts == 1 or open_ == 0 or idle == 2
         whole.append(packed if last else packed.where("final"))
         if last:
             break

@@ -147,6 +147,20 @@ def test_best_fit_bins():
     assert len(bins) <= 1.01 * np.ceil(lengths.sum() / 100) + 1
 
 
+def test_rounds_go_on_while_they_merge(spark, monkeypatch):
+    """Partitions of forty items end within 8 in 100 of one packing of all, no item lost."""
+    monkeypatch.setattr(packing, "ITEMS", 40)
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 2049, 1200).tolist()
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "id long, length long")
+    found = packing.pack(rows).toPandas()
+    assert sorted(found["id"]) == list(range(len(sizes)))
+    for _, bin_ in found.sort_values("offset").groupby("sequence_id"):
+        assert bin_["offset"].tolist() == [0, *bin_["length"].cumsum().tolist()[:-1]] and bin_["length"].sum() <= 2048
+    whole = len(packing.best_fit(np.array(sizes), 2048))
+    assert found["sequence_id"].nunique() <= 1.08 * whole
+
+
 def test_items_that_cannot_be_packed_raise(spark):
     with pytest.raises(Exception, match="length"):
         packing.pack(spark.createDataFrame([(0,), (5,)], "length int"), capacity=10).collect()
@@ -330,6 +344,15 @@ def test_small_cells_choose_the_same(spark, monkeypatch):
     assert sorted(mixing.mix(df, keep=("doc_id",)).collect()) == whole
 
 
+def test_many_languages_share_the_budget(spark):
+    """No language is left out however few rows each may give."""
+    words = {f"l{k:02d}": " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}x{j}" for j in range(12)) for k in range(30)}
+    rows = [(100 * k + i, text, lang) for k, (lang, text) in enumerate(words.items()) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language.train(docs, budget=60)
+    assert net.labels == sorted(words)
+
+
 def test_language_without_labels(spark):
     docs = spark.createDataFrame([(1, "some words", None), (2, None, None)], "doc_id int, text string, lang string")
     assert language.train(docs) is None
