@@ -5,9 +5,9 @@ response in the window (max pooling), and a softmax layer turns these into one p
 A document is cut into consecutive windows, all of them are scored, and its probabilities are the mean over
 windows weighted by the bytes they hold. The whole text counts, however long it is.
 
-Training reads a bounded sample: about `SAMPLE` documents per language, chosen by a hash, at most
-`LANGUAGES` languages (the most frequent), three windows of each document. That sample is all that
-reaches the driver. Everything else runs in Arrow batches where the rows are.
+Training reads a bounded sample: `SAMPLE` documents per language, chosen by a hash, three windows of each
+document, and no more than `BUDGET` documents in all: many languages share it evenly and none is left out. That
+sample and the count of each language are all that reaches the driver. Everything else runs in Arrow batches where the rows are.
 
 Defined cases: a null text or one without any letter gets `und` with score 0, and so does every text where
 nothing could be learned (no labelled rows). Equal texts get equal predictions. Extra columns are not read.
@@ -26,7 +26,7 @@ from gleanery.llm.common import slices, table
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
-SAMPLE, LANGUAGES, EPOCHS = 700, 200, 10
+SAMPLE, BUDGET, EPOCHS = 700, 140_000, 10
 UNKNOWN = "und"
 
 
@@ -135,16 +135,17 @@ def in_held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample: int = SAMPLE) -> ByteNet | None:
+def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample: int = SAMPLE, budget: int = BUDGET) -> ByteNet | None:
     """A network fitted on a bounded sample of the labelled rows outside the held-out fold."""
     pick = F.xxhash64(F.col(f"`{id_column}`"), F.lit(5))
     rows = docs.select(F.col(f"`{lang_column}`").alias("lang"), F.col(f"`{text_column}`").cast("binary").alias("raw"), F.col(f"`{id_column}`").alias("id"), pick.alias("pick")).where(
         F.col("lang").isNotNull() & F.col("raw").isNotNull() & F.col("id").isNotNull() & ~in_held_out(F.col("id"))
     )
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
-    rate = F.coalesce(*[F.when(F.col("lang") == lang, min(1.0, 1.2 * sample / n)) for lang, n in counts.items()])
+    sample = max(1, min(sample, budget // len(counts)))
+    rate = F.try_element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.2 * sample / n))]), F.col("lang"))
     size = F.octet_length("raw")
     # Three places of each chosen text: its start and two by hash; only these bytes leave the scan.
     place = lambda k: F.expr(f"substring(raw, CAST(pmod(shiftrightunsigned(pick, {k}), greatest(octet_length(raw) - {WINDOW}, 1)) AS INT) + 1, {WINDOW})")
