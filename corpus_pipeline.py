@@ -19,15 +19,18 @@ from gleanery.llm.near_dedup import keep_one
 from gleanery.llm.packing import pack, token_pieces
 from gleanery.llm.suffix_dedup import without_repeats
 
-#: Least mean probability of the predicted language; less is no more than a guess among a few.
-LEAST_SCORE = 0.3
+#: Least mean probability of the predicted language, in multiples of an even guess among all learned ones.
+LEAST_SCORE = 1.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; texts without letters, null or empty go, and hardly told ones."""
     rows = docs.select(F.struct(*docs.columns).alias("doc"), "text")
-    found = identify(rows, train(docs), keep=("doc",))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("doc.*")
+    net = train(docs)
+    classes = len(net.labels) if net else 0
+    least = LEAST_SCORE / classes if classes > 1 else 0.0
+    found = identify(rows, net, keep=("doc",))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
