@@ -10,6 +10,7 @@ import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -140,16 +141,22 @@ def _evaluate(tokens: list[str], env: TemplateEnv, dot: Value | None) -> Value |
 
 
 def template_col(
-    text: str, env: TemplateEnv, wrap: Callable[[Column], Column] | None = None, dot: Value | None = None
+    text: str,
+    env: TemplateEnv,
+    wrap: Callable[[Column], Column] | None = None,
+    dot: Value | None = None,
+    decide: Callable[[Column], bool] | None = None,
 ) -> Value | None:
     """A str when everything in it is constant, else a Column; None when it names a variable never set.
 
-    `wrap` is applied to each rendered action (path values are percent-encoded this way).
+    `wrap` is applied to each rendered action (path values are percent-encoded this way). `decide`
+    settles each condition that depends on a row, so that only one side of it is rendered.
     """
     pieces = re.split(r"\{\{-?\s*(.*?)\s*-?\}\}", text)
     if len(pieces) == 1:
         return text
     nodes = [("text" if i % 2 == 0 else "action", p) for i, p in enumerate(pieces)]
+    unused = 0  # how many sides not taken enclose the block being read
 
     def block(stops: tuple[str, ...], dot: Value | None) -> tuple[list[Value | None], str]:
         out: list[Value | None] = []
@@ -175,20 +182,28 @@ def template_col(
         return out, ""
 
     def branch(condition: str, dot: Value | None) -> Value | None:
+        nonlocal unused
         test = _evaluate(_TOKEN.findall(condition), env, dot)
+        if isinstance(test, Column) and env.categories is test:
+            hit = F.size(test) > 0
+        else:
+            hit = as_column(test) != ""
+        settled = bool(test) if isinstance(test, str) else None
+        if decide is not None and isinstance(test, Column):
+            settled = True if unused else decide(hit)
+        unused += settled is False
         yes, stop = block(("else", "end"), dot)
+        unused += (settled is True) - (settled is False)
         no: list[Value | None] = [""]
         if stop.startswith("else if"):
             no = [branch(stop.removeprefix("else if").strip(), dot)]
         elif stop.startswith("else"):
             no, _ = block(("end",), dot)
-        if isinstance(test, str):
-            return join(yes if test else no)
-        col = as_column(test)
-        if test is not None and isinstance(test, Column) and env.categories is test:
-            hit = F.size(test) > 0
-        else:
-            hit = col != ""
+        unused -= settled is True
+        if settled is not None:
+            return join(yes if settled else no)
+        if decide is not None:
+            return None
         return F.when(hit, as_column(join(yes))).when(~hit, as_column(join(no)))
 
     def loop(source: str, dot: Value | None) -> Value | None:
@@ -214,3 +229,31 @@ def template_col(
 
     parts, _ = block((), dot)
     return join(parts)
+
+
+def template_variants(text: str, env: TemplateEnv) -> list[tuple[Column | None, str | None]]:
+    """Every constant text a template can become, each with the condition under which it does.
+
+    Conditions may depend on a row; what is rendered may not. A text is None where it names a
+    variable never set, and a condition is None where there is nothing to decide.
+    """
+    out: list[tuple[Column | None, str | None]] = []
+    sides: list[bool] = []
+    while True:
+        taken: list[tuple[Column, bool]] = []
+
+        def decide(hit: Column) -> bool:
+            side = sides[len(taken)] if len(taken) < len(sides) else True
+            taken.append((hit if side else ~hit, side))
+            return side
+
+        rendered = template_col(text, env, decide=decide)
+        if isinstance(rendered, Column):
+            raise ValueError(f"{text!r} may depend on a row by its conditions only")
+        out.append((reduce(lambda a, b: a & b, [hit for hit, _ in taken]) if taken else None, rendered))
+        sides = [side for _, side in taken]
+        while sides and not sides[-1]:
+            sides.pop()
+        if not sides:
+            return out
+        sides[-1] = False

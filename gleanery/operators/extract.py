@@ -18,7 +18,7 @@ from gleanery.functions.chain import apply_chain
 from gleanery.functions.dates import parse_unknown
 from gleanery.functions.nodes import shred
 from gleanery.functions.selectors import Dialect, Scope, matches, node_text
-from gleanery.functions.templates import TemplateEnv, as_column, template_col
+from gleanery.functions.templates import TemplateEnv, as_column, template_col, template_variants
 from gleanery.functions.urls import resolve_url
 from gleanery.operators.search import and_match
 from gleanery.operators.taxonomy import map_categories
@@ -115,7 +115,7 @@ def _markup(pages: DataFrame, kind: str, search: Mapping, env: TemplateEnv, now,
         selected = F.when(
             F.col("error").isNull() & ~F.col("__no_results"), _markup_rows(dialect, nodes, rule, _constant(rule["selector"], env))
         )
-    slots = _slots(search)
+    slots = _slots(search, env)
 
     def read_row(row: Column) -> Column:
         def with_pool(pool: Column) -> Column:
@@ -129,14 +129,36 @@ def _markup(pages: DataFrame, kind: str, search: Mapping, env: TemplateEnv, now,
     return read.select("*", F.posexplode_outer("__rows").alias("row_no", "__row")).drop("__rows")
 
 
-def _slots(search: Mapping) -> list[tuple[str, Mapping]]:
-    """Named things to read from each row: the fields, and the date header if rules declare one."""
-    slots = [(f"v{i}", f) for i, f in enumerate(search["fields"]) if f["selector"] or f["arms"]]
+def _slots(search: Mapping, env: TemplateEnv) -> list[tuple[str, Mapping]]:
+    """Named things to read from each row: the fields, and the date header if rules declare one.
+
+    A selector whose template asks for earlier fields is read once for every text it can become;
+    which of them counts is known when the earlier fields are.
+    """
+    slots = []
+    for i, field in enumerate(search["fields"]):
+        if field["selector"] or field["arms"]:
+            earlier = env.with_result({f["name"]: F.lit("") for f in search["fields"][:i]})
+            texts = [text for _, text in template_variants(field["selector"] or "", earlier)]
+            if texts == [None]:
+                raise ValueError(f"selector {field['selector']!r} names a variable never set")
+            slots += [(f"v{i}_{k}", {**field, "selector": text}) for k, text in enumerate(texts) if text is not None]
     if search["rows"].get("dateheaders"):
         slots.append(("header", search["rows"]["dateheaders"]))
     return slots or [("none", {"selector": "", "arms": [], "attribute": "", "remove": ""})]
 
 
+def _chosen(i: int, field: Mapping, scope: TemplateEnv) -> Column:
+    """What the selector of field i found, by the text its template becomes in this row."""
+    variants = [
+        (condition, F.lit(None).cast("string") if text is None else F.col(f"__row.v{i}_{k}"))
+        for k, (condition, text) in enumerate(template_variants(field["selector"] or "", scope))
+    ]
+    if variants[0][0] is None:
+        return variants[0][1]
+    return reduce(lambda rest, v: F.when(v[0], v[1]).otherwise(rest), reversed(variants), F.lit(None).cast("string"))
+
+
 # --- JSON ------------------------------------------------------------------------------
 
 
@@ -207,7 +229,7 @@ def _json(pages: DataFrame, search: Mapping, env: TemplateEnv, now, charset) ->
     exploded = shaped.withColumn("__rows", _after(pairs, rule["after"])).drop("__doc", "__target", "__quiet", "__items")
     exploded = exploded.select("*", F.posexplode_outer("__rows").alias("row_no", "__pair")).drop("__rows")
     value, parent = F.col("__pair.value"), F.col("__pair.parent")
-    row = F.struct(*[_json_field(value, parent, f, env).alias(name) for name, f in _slots(search)])
+    row = F.struct(*[_json_field(value, parent, f, env).alias(name) for name, f in _slots(search, env)])
     return exploded.withColumn("__row", F.when(F.col("row_no").isNotNull(), row)).drop("__pair")
 
 
@@ -235,7 +257,7 @@ def _read_fields(rows: DataFrame, search: Mapping, env: TemplateEnv, now, charse
     reasons: list[Column] = []
     for i, field in enumerate(search["fields"]):
         scope = env.with_result({name: F.col(col) for name, col in result.items()})
-        raw = F.col(f"__row.v{i}") if field["selector"] or field["arms"] else None
+        raw = _chosen(i, field, scope) if field["selector"] or field["arms"] else None
         if field["arms"]:
             value = F.lit(None).cast("string")
             for k, arm in reversed(list(enumerate(field["arms"]))):

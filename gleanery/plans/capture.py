@@ -77,6 +77,31 @@ def html_titles(spark, sf):
     return rows.select("page_id", *[F.try_element_at("fields", F.lit(n)).alias(n) for n in names])
 
 
+BY_LANGUAGE = """
+search:
+  path: page
+  rows: {selector: "article:has(h1)"}
+  fields:
+    lang: {selector: ":root", attribute: lang}
+    advert: {selector: "div.ad", optional: true}
+    title: {selector: '{{ if eq .Result.lang "en" }}h1{{ else if .Result.advert }}div.ad{{ else }}:root title{{ end }}'}
+    other: {selector: '{{ if .Result.title }}{{ if eq .Result.lang "en" "de" }}:root title{{ else }}h1{{ end }}{{ else }}p{{ end }}'}
+"""
+
+
+@query(
+    "selectors_by_field",
+    r"""WITH t AS (SELECT page_id, replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&') AS h1, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang,
+        replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&') AS head FROM pages WHERE html LIKE '%<h1>%')
+      SELECT page_id, lang, CASE WHEN lang = 'en' THEN h1 ELSE head END AS title, CASE WHEN lang IN ('en', 'de') THEN head ELSE h1 END AS other
+      FROM t WHERE h1 != '' AND head != ''""",
+)
+def selectors_by_field(spark, sf):
+    """Fields whose selectors are chosen by what earlier fields of the same row hold."""
+    rows = extract.kept_rows(extract.extract_rows(site_pages(spark, sf), rules(BY_LANGUAGE), NOW))
+    return rows.select("page_id", *[F.try_element_at("fields", F.lit(n)).alias(n) for n in ("lang", "title", "other")])
+
+
 PARAGRAPHS = """
 search:
   path: page

@@ -203,3 +203,42 @@ def test_css(spark, selector, texts):
     hits = F.filter(nodes, lambda n: matches(groups, Scope(nodes), n)) if groups else F.array().cast("array<string>")
     out = F.transform(hits, lambda n: F.trim(node_text(nodes, n))) if groups else hits
     assert [t.strip() for t in df.select(out.alias("o")).first().o] == texts
+
+
+PICKY_RULES = """
+id: picky
+name: Picky
+search:
+  path: /
+  rows: {selector: "li{{ if .Config.open }}.open{{ else }}{{ end }}"}
+  fields:
+    kind: {selector: s, optional: true}
+    title: {selector: a}
+    size: {selector: '{{ if eq .Result.kind "big" }}u{{ else if .Result.kind }}{{ if .Result.title }}i{{ end }}{{ else }}b{{ end }}'}
+"""
+
+
+def test_selectors_read_earlier_fields(spark):
+    body = (
+        "<ul><li class=open><s>big</s><a>one</a><u>1</u><b>2</b></li><li class=open><s>odd</s><a>two</a><i>3</i><u>4</u></li>"
+        "<li class=open><a>three</a><b>5</b><u>6</u></li><li><a>shut</a><b>7</b></li><li class=open><s>big</s><a>four</a><b>8</b></li></ul>"
+    )
+    rows = extract.extract_rows(pages_of(spark, [("picky", "https://picky.invalid/", "html", body)]), rules.read_document(PICKY_RULES), NOW, {"open": "True"})
+    found = {r.fields["title"]: (r.fields["size"], r.reason) for r in rows.collect()}
+    assert found == {"one": ("1", None), "two": ("3", None), "three": ("5", None), "four": (None, "required missing: size")}
+
+
+def test_json_selectors_read_earlier_fields(spark):
+    rule = rules.read_document(
+        "id: j\nname: J\nsearch:\n  paths: [{path: /, response: {type: json}}]\n  rows: {selector: hits}\n  fields:\n"
+        "    title: {selector: name}\n    size: {selector: '{{ if eq .Result.title \"a\" }}n.x{{ else }}n.y{{ end }}'}\n"
+    )
+    body = '{"hits": [{"name": "a", "n": {"x": 1, "y": 2}}, {"name": "b", "n": {"x": 3, "y": 4}}]}'
+    rows = extract.extract_rows(pages_of(spark, [("j", "https://j.invalid/", "json", body)]), rule, NOW)
+    assert {r.fields["title"]: r.fields["size"] for r in rows.collect()} == {"a": "1", "b": "4"}
+
+
+def test_selectors_spliced_from_fields_are_refused(spark):
+    rule = rules.read_document("id: s\nname: S\nsearch:\n  path: /\n  rows: {selector: li}\n  fields:\n    kind: {selector: s}\n    title: {selector: 'a.{{ .Result.kind }}'}\n")
+    with pytest.raises(ValueError, match="conditions only"):
+        extract.extract_rows(pages_of(spark, [("s", "https://s.invalid/", "html", "<li>")]), rule, NOW)
