@@ -27,11 +27,24 @@ def _at_most_150_bytes(name: Column) -> Column:
     return F.when(F.octet_length(name) > 150, let(F.substring(name, 1, 150), cut)).otherwise(name)
 
 
+def fixed_places(x: Column, places: int) -> Column:
+    """A double from 1 to 2^52 to so many places, at most two, as its exact binary value rounds: ties to even, and 1.15 is below its tie."""
+    whole, one = F.floor(x).cast("bigint"), F.lit(1 << 52)
+    # What lies behind the point is a whole number of 2^-52, so tens of it are exact longs.
+    scaled = ((x - F.floor(x)) * F.lit(2.0**52)).cast("bigint") * 10**places
+
+    def rounded(v: Column) -> Column:
+        tens, left = F.call_function("shiftright", v, F.lit(52)), v.bitwiseAND(one - 1)
+        return tens + ((left > F.lit(1 << 51)) | ((left == F.lit(1 << 51)) & (tens % 2 == 1))).cast("bigint")
+
+    return let(rounded(scaled), lambda r: F.format_string(f"%d.%0{places}d", whole + F.floor(r / 10**places), r % 10**places))
+
+
 def human_bytes(n: Column) -> Column:
-    out = F.format_string("%.2f EB", F.bround(n / F.lit(1024.0**6), 2))
+    out = F.concat(fixed_places(n / F.lit(1024.0**6), 2), F.lit(" EB"))
     for power, unit in reversed(list(enumerate(["KB", "MB", "GB", "TB", "PB"], start=1))):
         value = n / F.lit(1024.0**power)
-        out = F.when(value < 1024, F.format_string(f"%.2f {unit}", F.bround(value, 2))).otherwise(out)
+        out = F.when(value < 1024, F.concat(fixed_places(value, 2), F.lit(f" {unit}"))).otherwise(out)
     return F.when(n < 1024, F.format_string("%d B", n)).otherwise(out)
 
 
@@ -46,7 +59,7 @@ def human_duration(seconds: Column) -> Column:
         .when(s < 3600, whole(60, "m"))
         .when(s < 86_400, whole(3600, "h"))
         .when(s < 365 * 86_400, whole(86_400, "d"))
-        .otherwise(F.format_string("%.1fy", F.bround(s / F.lit(365.0 * 86_400), 1)))
+        .otherwise(F.concat(fixed_places(s / F.lit(365.0 * 86_400), 1), F.lit("y")))
     )
 
 

@@ -166,3 +166,13 @@ def test_redaction(evaluate):
 def test_human_text(evaluate):
     assert evaluate(["1023", "1152", "1048576"], lambda c: text.human_bytes(c.cast("bigint"))) == ["1023 B", "1.12 KB", "1.00 MB"]
     assert evaluate(["..a/b:c..", "..", "é" * 100], text.torrent_filename) == ["a_b_c.torrent", "torrent.torrent", "é" * 75 + ".torrent"]
+
+
+def test_human_years_round_the_exact_value(evaluate):
+    """Ties of the written number are no ties of the double behind it, but for quarters and halves."""
+    seconds = [31_536_000, *[31_536_000 // 20 * n for n in (21, 23, 25, 27, 35, 39, 41, 199, 10_001)], 31_536_000 * 2 - 1]
+    assert evaluate([str(-s) for s in seconds], lambda c: text.human_duration(c.cast("bigint"))) == [f"{s / 31_536_000:.1f}y" for s in seconds]
+    sizes = [1024, 1029, 1152, 1047_552, 1048_575, 3 * 1024**3 + 7, 2**63 - 1]
+    units = {1: "KB", 2: "MB", 3: "GB", 6: "EB"}
+    power = [1, 1, 1, 1, 1, 3, 6]
+    assert evaluate([str(n) for n in sizes], lambda c: text.human_bytes(c.cast("bigint"))) == [f"{n / 1024**p:.2f} {units[p]}" for n, p in zip(sizes, power)]
