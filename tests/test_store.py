@@ -127,3 +127,20 @@ def test_deep_pages_sort_few_rows(spark, monkeypatch):
     df = spark.range(20_000).select((F.col("id") % 7).alias("g"), F.expr("if(id % 3 = 0, NULL, timestamp_seconds(id * 37 % 9001))").alias("published"), "id")
     parts, before = s._near(df, 15_000, 15_020, 20_000, s._fields(df, s.NEWEST))
     assert sum(p.count() for p in parts) <= 20 + 2 * 50 and 14_900 <= before <= 15_000
+
+
+def test_deep_pages_by_clock_times(spark, monkeypatch):
+    """Times without a zone order as they read, also where the session's zone skips or repeats an hour, and before 1970."""
+    monkeypatch.setattr(s, "SHALLOW", 5)
+    monkeypatch.setattr(s, "CELL_BITS", 4)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        clock = "if(id % 17 = 0, NULL, timestamp_ntz'2001-10-28 00:00:00.5' + make_dt_interval(if(id % 5 = 0, -20000, 0), 0, id * 37 % 300, 0.000001))"
+        df = spark.range(400).selectExpr(f"{clock} AS d", "id").withColumn("st", F.struct("d", "id"))
+        for order in ([("d", True), ("id", False)], [("st", False)]):
+            whole = [r.id for r in df.orderBy(*s.by_order(order)).collect()]
+            for offset, limit in ((57, 40), (199, 6), (399, 1)):
+                assert [r.id for r in s.page(df, limit, offset, order).collect()] == whole[offset : offset + limit], (order, offset)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
