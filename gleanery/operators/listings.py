@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -40,8 +40,7 @@ def merge_rows(sightings: DataFrame, order: Sequence[str], id_col: str | None =
     at = F.struct(*order)
     special = {"published", "search_managed", id_col, *KEY}
     payload = [c for c in sightings.columns if c not in special and c not in order]
-    ordered_payload = [c for c in order if c not in special]
-    newest = F.max(F.struct(at.alias("at"), F.struct(*payload, *ordered_payload).alias("row"))).alias("newest")
+    newest = F.max(F.struct(at.alias("at"), F.struct(*payload).alias("row"))).alias("newest")
     aggs = [newest]
     if "published" in sightings.columns:
         # A NULL struct field would win nothing: only dated sightings carry the pair.
@@ -49,12 +48,15 @@ def merge_rows(sightings: DataFrame, order: Sequence[str], id_col: str | None =
         aggs.append(F.max(dated).alias("dated"))
     if "search_managed" in sightings.columns:
         aggs.append(F.max("search_managed").alias("search_managed"))
-    if id_col:
+    if id_col and list(order) == [id_col]:  # the place is the id: the first one is the least
+        aggs.append(F.struct(F.min(id_col).alias("value")).alias("first_id"))
+    elif id_col:
         held = F.when(F.col(id_col).isNotNull(), F.struct(at.alias("at"), F.col(id_col).alias("value")))
         aggs.append(F.min(held).alias("first_id"))
     # The leading 64-bit hash gives the sort a numeric prefix; long strings then rarely meet.
     merged = sightings.groupBy(F.xxhash64(*KEY).alias("__hash"), *KEY).agg(*aggs)
     restored = {
+        **{c: F.col(f"newest.at.{c}") for c in order},
         "published": F.col("dated.value"),
         "search_managed": F.col("search_managed"),
         **({id_col: F.col("first_id.value")} if id_col else {}),
@@ -67,14 +69,14 @@ def merge_rows(sightings: DataFrame, order: Sequence[str], id_col: str | None =
     )
 
 
-def assign_ids(new: DataFrame, order: Sequence[str], start: int) -> DataFrame:
+def assign_ids(new: DataFrame, order: Sequence[str], start: int, keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
     """Ids for rows never stored before: above `start`, dense, increasing in `order`.
 
     Rows are dealt by range and numbered where they land; one count per partition reaches the
-    driver, so no single task ever sees all rows.
+    driver, so no single task ever sees all rows. `keep` holds the dealt rows until they are read again.
     """
     ranked = new.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-    dealt = cut_lineage(ranked.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
+    dealt = keep(ranked.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
     offsets, before = [], start + 1
     for row in dealt.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("first")).orderBy("__part").collect():
         offsets += [F.lit(row["__part"]), F.lit(before - row["first"]).cast("bigint")]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from gleanery.operators import listings as ops
 from gleanery.schema import LISTING, SEARCHES, check_schema, default_for
-from gleanery.session import cut_lineage, literal_table
+from gleanery.session import Stage, literal_table
 
 BUCKETS = 64
 ROWS_PER_FILE = 5_000_000
@@ -78,22 +78,31 @@ class ListingStore:
 
     # -- writing
 
-    def _replace(self, name: str, content: DataFrame, touched: list[int], order: list[str]) -> None:
-        """Swap the touched buckets of a table for `content`; buckets left without rows disappear."""
+    def _replace(self, name: str, content: DataFrame, touched: list[int], order: list[str], moved: bool = True) -> None:
+        """Swap the touched buckets of a table for `content`; buckets left without rows disappear.
+
+        Rows that only lost some of their number (not `moved`) lie by bucket already and are written where they were read.
+        """
         target, stage = f"{self.root}/{name}", f"{self.root}/.stage-{name}-{uuid.uuid4().hex}"
         bucketed = content.withColumn("bucket", self._bucket())
-        # At most one row per touched bucket reaches the driver.
-        files = {r.bucket: -(-r["count"] // self.rows_per_file) for r in bucketed.groupBy("bucket").count().collect()}
+        if moved:
+            # At most one row per touched bucket reaches the driver.
+            files = {r.bucket: -(-r["count"] // self.rows_per_file) for r in bucketed.groupBy("bucket").count().collect()}
+        else:
+            files = {}
+            kept = bucketed.sortWithinPartitions("bucket", *order)
+            kept.write.option("maxRecordsPerFile", self.rows_per_file).partitionBy("bucket").parquet(stage)
         if files:
             writers = F.element_at(F.create_map(*[F.lit(int(x)) for pair in files.items() for x in pair]), F.col("bucket"))
             spread = F.pmod(F.xxhash64("tracker", "identity"), writers)
             dealt = bucketed.repartition(sum(files.values()), "bucket", spread).sortWithinPartitions("bucket", *order)
             dealt.write.option("maxRecordsPerFile", self.rows_per_file).partitionBy("bucket").parquet(stage)
+        filled = self._filled(stage)
         fs, root = self._fs(target)
         fs.mkdirs(root)
-        for bucket in sorted({*touched, *files}):
+        for bucket in sorted({*touched, *filled}):
             self._remove(f"{target}/bucket={bucket}")
-            if bucket in files:
+            if bucket in filled:
                 fs.rename(self._fs(f"{stage}/bucket={bucket}")[1], self._fs(f"{target}/bucket={bucket}")[1])
         self._remove(stage)
 
@@ -116,7 +125,6 @@ class ListingStore:
         Returns how many rows were not stored before.
         """
         place = F.array(F.lit(1).cast("bigint"), *[F.col(c).cast("bigint") for c in order])
-        stored_place = F.array(*[F.lit(0).cast("bigint")] * (len(order) + 1))
         arriving = ops.with_identity(
             batch.withColumns(
                 {
@@ -127,8 +135,13 @@ class ListingStore:
                 }
             )
         )
+        with Stage(self.spark, "merge") as stage:
+            return self._merge(arriving, search_key, stage, order)
+
+    def _merge(self, arriving: DataFrame, search_key: str, stage: Stage, order: tuple[str, ...]) -> int:
+        stored_place = F.array(*[F.lit(0).cast("bigint")] * (len(order) + 1))
         have = set(arriving.columns)
-        fresh = cut_lineage(
+        fresh = stage.keep(
             arriving.select(
                 *[(F.col(f.name) if f.name in have else default_for(f)).cast(f.dataType).alias(f.name) for f in LISTING.fields],
                 "__order",
@@ -138,9 +151,9 @@ class ListingStore:
         if not touched:
             return 0
         both = self._part("listings", touched).withColumn("__order", stored_place).unionByName(fresh)
-        merged = cut_lineage(ops.merge_rows(both, ["__order"], id_col="id"))
+        merged = stage.keep(ops.merge_rows(both, ["__order"], id_col="id"))
         highest = self._highest()
-        new = cut_lineage(ops.assign_ids(merged.filter("id IS NULL"), ["__order"], highest))
+        new = ops.assign_ids(merged.filter("id IS NULL"), ["__order"], highest, stage.keep)
         added = new.count()
         if added:
             self._record_highest(highest + added)
@@ -155,7 +168,7 @@ class ListingStore:
     def _rewrite(self, listings: DataFrame, bridge: DataFrame, touched: list[int]) -> None:
         # Provenance first: a search row must not outlive its listing.
         self._replace("searches", bridge, touched, ["tracker", "search_key"])
-        self._replace("listings", listings, touched, ["tracker", "published"])
+        self._replace("listings", listings, touched, ["tracker", "published"], moved=False)
 
     def prune(self, cutoff: Column) -> int:
         """Apply retention; only buckets that hold something expired are rewritten. Returns rows removed."""

@@ -1,10 +1,12 @@
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from gleanery.operators import search as s
 from gleanery.schema import LISTING, SchemaMismatch, check_schema
+from gleanery.session import shared_root
 from gleanery.sources.store import ListingStore
 
 T0, T1, T2 = datetime(2024, 1, 1), datetime(2024, 2, 1), datetime(2024, 3, 1)
@@ -144,3 +146,13 @@ def test_deep_pages_by_clock_times(spark, monkeypatch):
                 assert [r.id for r in s.page(df, limit, offset, order).collect()] == whole[offset : offset + limit], (order, offset)
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_a_merge_leaves_nothing_but_its_tables(spark, tmp_path):
+    """What a merge and a sweep keep while they work is gone when they end, and no checkpoint is written."""
+    shared = shared_root(spark)
+    held = lambda: sorted(p.name for p in Path(shared).glob("gleanery/*")) + sorted(str(p) for p in Path(shared).glob("gleanery/rdd/*/rdd-*"))
+    store, before = ListingStore(spark, str(tmp_path / "lean"), buckets=4), held()
+    assert store.merge(batch(spark, dict(name="a"), dict(name="b", tracker="other")), F.lit(T0), "key") == 2
+    assert store.merge(batch(spark, dict(name="a"), dict(name="c")), F.lit(T1)) == 1
+    assert held() == before and not list((tmp_path / "lean").glob(".stage*"))
