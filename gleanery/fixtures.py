@@ -102,8 +102,8 @@ def sightings(spark: SparkSession, sf_dir: str, with_categories: bool = True, li
 
 def merged_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue merged from all sightings; `id` is the first sighting's place in SEQ order, as a struct."""
-    seen = sightings(spark, sf_dir).withColumn("id", F.struct(*SEQ)).drop("search_key")
-    return merge_rows(seen, SEQ, id_col="id").drop(*SEQ)
+    seen = sightings(spark, sf_dir).withColumn("id", F.struct(*SEQ)).drop("search_key", *SEQ)
+    return merge_rows(seen, ["id"], id_col="id")
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,14 +131,13 @@ _CATALOGUES: dict[tuple[str, str], str] = {}
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored catalogue: merged once per application, written to the shared folder, read by every search.
 
-    Rows are clustered by source and date, so a search over named sources or recent dates
-    skips row groups by their min/max.
+    Every file is sorted by source and date, so a search over named sources or recent dates
+    skips row groups by their min/max; rows stay where the merge left them, so none is moved a second time.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CATALOGUES:
         path = shared_path(spark, "catalogue")
-        merged = merged_listings(spark, sf_dir).repartitionByRange("tracker", "identity")
-        merged.sortWithinPartitions("tracker", "published").write.parquet(path)
+        merged_listings(spark, sf_dir).sortWithinPartitions("tracker", "published").write.parquet(path)
         _CATALOGUES[key] = path
     return spark.read.parquet(_CATALOGUES[key])
 
