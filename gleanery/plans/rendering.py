@@ -21,7 +21,12 @@ BASE = "https://proxy.invalid"
 
 def full_listings(spark, sf):
     """The catalogue with every listing column, unknown ones at their defaults; the id is a number."""
-    L = fx.listings(spark, sf).withColumn("id", F.xxhash64("tracker", "identity"))
+    return in_full(fx.listings(spark, sf))
+
+
+def in_full(L, *more):
+    """Rows of the catalogue with every listing column, and some columns more."""
+    L = L.withColumn("id", F.xxhash64("tracker", "identity"))
     have = set(L.columns)
     made = {
         "download_url": F.when(F.col("details_url") != "", F.concat("details_url", F.lit("/get"))).otherwise(F.lit("")),
@@ -32,7 +37,7 @@ def full_listings(spark, sf):
         "year": F.when(F.col("leechers") > 5, F.lit(1999)).otherwise(F.lit(0)),
     }
     return L.select(
-        *[(F.col(f.name) if f.name in have else made.get(f.name, default_for(f))).cast(f.dataType).alias(f.name) for f in LISTING.fields]
+        *[(F.col(f.name) if f.name in have else made.get(f.name, default_for(f))).cast(f.dataType).alias(f.name) for f in LISTING.fields], *more
     )
 
 
@@ -75,11 +80,12 @@ FEED_PAGES = f"""{sql.LISTINGS}, pages0 AS (SELECT * FROM (SELECT *, row_number(
 
 def _feeds(spark, sf):
     """One feed per source: its newest 50."""
-    L = full_listings(spark, sf).drop("id")
-    keyed = L.join(fx.listings(spark, sf).select("tracker", "identity", "id"), ["tracker", "identity"])
+    L = fx.listings(spark, sf)
     totals = L.groupBy("tracker").agg(F.count("*").alias("total"))
-    pages = s.recent(keyed, 50).join(totals, "tracker").withColumn("request_id", F.col("tracker")).withColumn("offset", F.lit(0))
-    return render.feed(pages.withColumn("id", F.xxhash64("tracker", "identity")), BASE, NOW)
+    # The newest are picked from the catalogue's own columns; the others are made for those picked only.
+    newest = in_full(s.recent(L, 50), "rank")
+    pages = newest.join(totals, "tracker").withColumn("request_id", F.col("tracker")).withColumn("offset", F.lit(0))
+    return render.feed(pages, BASE, NOW)
 
 
 @query(

@@ -8,7 +8,7 @@ from gleanery.operators.render import results_json
 
 
 def write_feed(channels: DataFrame, path: str) -> None:
-    """One channel element per request, as XML files; `_` fields are attributes."""
+    """One channel element per request, as compressed XML files; `_` fields are attributes."""
     (
         channels.select(F.col("request_id").alias("_request"), "response", "item")
         .write.format("xml")
@@ -16,6 +16,7 @@ def write_feed(channels: DataFrame, path: str) -> None:
         .option("rowTag", "channel")
         .option("attributePrefix", "_")
         .option("valueTag", "_VALUE")
+        .option("compression", "gzip")
         .save(path)
     )
 
@@ -28,8 +29,8 @@ def feed_xml(channels: DataFrame) -> DataFrame:
 
 
 def write_results(rendered: DataFrame, path: str) -> None:
-    """One JSON object per line."""
-    results_json(rendered).write.text(path)
+    """One JSON object per line, in compressed files: the names of some forty fields in every line are most of their length."""
+    results_json(rendered).write.option("compression", "gzip").text(path)
 
 
 def read_feed_items(pages_xml: DataFrame, column: Column, schema: str) -> DataFrame:
