@@ -94,6 +94,13 @@ def test_unknown_dates(evaluate):
     assert evaluate(list(table), lambda c: dates.parse_unknown(c, NOW)) == list(table.values())
 
 
+def test_unknown_dates_work_out_names_once(spark):
+    """The month and the numbers' roles are read once a value: the plan of one date holds no copies of them for every use."""
+    read = spark.range(1).select(dates.parse_unknown(F.col("id").cast("string"), NOW))
+    plan = read._jdf.queryExecution().analyzed().toString()
+    assert plan.count("array_position") < 20 and plan.count("aggregate(") < 5
+
+
 def test_clock_readings_survive_dst_transitions(spark, evaluate):
     """A time of day is built from its parts: 03:30 stays 03:30 on the day that has no 02:30."""
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
