@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from gleanery.session import shared_path
+from gleanery.session import written
 
 FEED_DEFAULT, FEED_MAX, JSON_MAX = 50, 100, 10_000
 
@@ -292,7 +292,7 @@ def _placed(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """
     by = [F.col(c).desc_nulls_last() for c in order]
     dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by)
-    kept = _written(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), name)
+    kept = written(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), name)
     starts, before = [], 0
     for part in kept.groupBy("_part").count().orderBy("_part").collect():
         starts += [F.lit(part._part), F.lit(before)]
@@ -322,7 +322,7 @@ def _match_names(wanted: DataFrame, names: DataFrame) -> tuple[DataFrame, Callab
     frequency = index.groupBy("gram").agg(F.count("*").alias("names"))
     # A gram no name has makes the search empty; min_by over counts picks it as 0.
     held = F.struct(F.coalesce("names", F.lit(0).cast("bigint")), F.col("gram"))
-    rarest = _written(sought.join(frequency, "gram", "left").groupBy("tid").agg(F.min_by("gram", held).alias("gram")).join(wanted, "tid"), "search-grams")
+    rarest = written(sought.join(frequency, "gram", "left").groupBy("tid").agg(F.min_by("gram", held).alias("gram")).join(wanted, "tid"), "search-grams")
 
     def verified(chosen: DataFrame) -> DataFrame:
         same = (F.col("i.gram") == F.col("c.gram")) & F.expr("forall(c.terms, t -> contains(i.folded, t))")
@@ -332,12 +332,6 @@ def _match_names(wanted: DataFrame, names: DataFrame) -> tuple[DataFrame, Callab
     return counts, lambda chosen: verified(rarest.join(chosen, "tid", "left_semi"))
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Pairs looked at inside a join cost about this share of a pair that is written out.
 LOOK = 0.1
 
@@ -370,7 +364,7 @@ def search_many(
     keyed = "query_key" in requests.columns and bridge is not None
     canonical = _canonical(requests, ids)
     searches = canonical.groupBy("search").agg(F.max(F.col("limit") + F.col("offset")).alias("depth"))
-    searches = _written(searches.select("search.*", "depth").withColumn("sig", F.monotonically_increasing_id()), "searches")
+    searches = written(searches.select("search.*", "depth").withColumn("sig", F.monotonically_increasing_id()), "searches")
 
     managed = F.coalesce(F.col("search_managed"), F.lit(False)) if "search_managed" in listings.columns else F.lit(False)
     rows = listings.withColumns({"folded": F.lower("name"), "cats": F.col("categories").cast("array<string>"), "managed": managed})
@@ -381,7 +375,7 @@ def search_many(
     shelf = ["tracker", "cats", "managed", *(["keys"] if keyed else []), *[f"bare_{c}" for c in ids]]
     carried = F.struct(*[F.col(c) for c in dict.fromkeys([*keep, *order])]).alias("row")
     placed = _placed(rows.select("folded", *shelf, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], carried), [f"_o{i}" for i in range(len(order))], "search-rows")
-    shelves = _written(placed.groupBy(*shelf, "cell").agg(F.count("*").alias("n")), "search-shelves")
+    shelves = written(placed.groupBy(*shelf, "cell").agg(F.count("*").alias("n")), "search-shelves")
 
     def holds() -> Column:
         """Unmanaged rows must hold one of the ids a search without terms names, and contradict none."""
@@ -404,7 +398,7 @@ def search_many(
     holding = F.expr("forall(terms, t -> contains(folded, t))")
 
     # The way of each search: names, rows of its sources, or shelves.
-    sets = _written(searches.where(F.size("terms") > 0).select("terms").distinct().withColumn("tid", F.monotonically_increasing_id()), "search-terms")
+    sets = written(searches.where(F.size("terms") > 0).select("terms").distinct().withColumn("tid", F.monotonically_increasing_id()), "search-terms")
     names = placed.select("folded").distinct()
     many, verified = _match_names(sets, names)
     stocked = shelves.groupBy("tracker").agg(F.sum("n").alias("stock"))
@@ -415,9 +409,9 @@ def search_many(
     through = F.coalesce("names", F.lit(0)) * (sizes[1] / max(sizes[0], 1))
     source_rows = F.when(F.size("trackers") == 0, F.lit(sizes[1])).otherwise(F.coalesce("stock", F.lit(0).cast("bigint")))
     way = F.when((F.size("terms") == 0) & (F.size("unsearched") == 0), "shelf").when((F.size("terms") == 0) | (LOOK * source_rows <= through), "source").otherwise("name")
-    planned = _written(searches.join(sets, "terms", "left").join(many, "tid", "left").join(stock, "sig", "left").withColumn("way", way).drop("names", "stock"), "search-ways")
+    planned = written(searches.join(sets, "terms", "left").join(many, "tid", "left").join(stock, "sig", "left").withColumn("way", way).drop("names", "stock"), "search-ways")
     by_name, by_source, by_shelf = (planned.where(F.col("way") == w) for w in ("name", "source", "shelf"))
-    matched = _written(verified(by_name.select("tid").distinct()), "search-names")
+    matched = written(verified(by_name.select("tid").distinct()), "search-names")
 
     def of_sources(asked: DataFrame, kept: DataFrame, fit: Column, cells: DataFrame | None) -> DataFrame:
         """asked met with kept rows: those of named sources by source (and cell), those of all sources by cell."""
@@ -443,7 +437,7 @@ def search_many(
     # At most some hundred cells a search: their running sum tells where its depth is reached.
     cells = W.partitionBy("sig").orderBy("cell")
     before = F.coalesce(F.sum("n").over(cells.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
-    counts = _written(counts.withColumns({"before": before, "total": F.sum("n").over(W.partitionBy("sig"))}), "search-counts")
+    counts = written(counts.withColumns({"before": before, "total": F.sum("n").over(W.partitionBy("sig"))}), "search-counts")
     needed = counts.join(searches.select("sig", "depth"), "sig").where(F.col("before") < F.col("depth")).select("sig", "cell")
     deepest = needed.groupBy("sig").agg(F.max("cell").alias("last"))
     found = [

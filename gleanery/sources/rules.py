@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gleanery.session import written
+
 RULES = "path string, size bigint, modified timestamp, id string, document string, error string"
 
 _FIELD = "attribute string, `default` string, optional boolean, remove string, selector string, text string"
@@ -179,7 +181,8 @@ def parse_rules(files: DataFrame) -> DataFrame:
                     out.append((row.path, row.length, row.modificationTime, None, None, str(problem)))
             yield pd.DataFrame(out, columns=["path", "size", "modified", "id", "document", "error"])
 
-    return files.mapInPandas(parse, RULES)
+    # A file of many documents is one small split, yet reading a document costs far more than moving it.
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(parse, RULES)
 
 
 def read_overrides(spark: SparkSession, path: str) -> DataFrame:
@@ -203,8 +206,10 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(parse, schema)
 
 
-def reject_duplicate_ids(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(usable rules, errors): an id two files share makes both unusable."""
+def reject_duplicate_ids(rules: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(usable rules, errors): an id two files share makes both unusable. The rules are parsed once and
+    kept for both, in a folder the caller names and removes, or one of their own."""
+    rules = written(rules, "rules", path)
     parsed = rules.filter(F.col("id").isNotNull())
     clashing = parsed.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
     message = F.concat(F.lit('duplicate tracker id "'), F.col("id"), F.lit('"'))

@@ -79,7 +79,7 @@ def ingest_pages(
         fields = [f for f in PAGES.fields if f.name != "source"]
         kept.filter("error IS NULL").select(*[f.name for f in fields], "source").write.partitionBy("source").parquet(stage)
         staged = spark.read.schema(T.StructType([*fields, PAGES["source"]])).parquet(stage)
-        usable, _ = rule_files.reject_duplicate_ids(rule_files.read_rules(spark, rules_dir))
+        usable, _ = rule_files.reject_duplicate_ids(rule_files.read_rules(spark, rules_dir), f"{stage}-rules")
         definitions = rule_files.definitions(usable)
         configs: dict[str, dict[str, str]] = {}
         for row in rule_files.read_overrides(spark, overrides_dir).collect() if overrides_dir else []:  # configuration
@@ -109,8 +109,9 @@ def ingest_pages(
         finally:
             if extracted is not None:
                 extracted.unpersist()
-            path = spark._jvm.org.apache.hadoop.fs.Path(stage)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            for folder in (stage, f"{stage}-rules"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     writer = pages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
