@@ -1,9 +1,10 @@
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery.functions.nodes import shred
+from gleanery.functions.nodes import PIECE, html_nodes, shred, shredded
 from gleanery.functions.selectors import Dialect, Scope, matches, node_text
 from gleanery.operators import extract, taxonomy
 from gleanery.schema import PAGES
@@ -242,3 +243,11 @@ def test_selectors_spliced_from_fields_are_refused(spark):
     rule = rules.read_document("id: s\nname: S\nsearch:\n  path: /\n  rows: {selector: li}\n  fields:\n    kind: {selector: s}\n    title: {selector: 'a.{{ .Result.kind }}'}\n")
     with pytest.raises(ValueError, match="conditions only"):
         extract.extract_rows(pages_of(spark, [("s", "https://s.invalid/", "html", "<li>")]), rule, NOW)
+
+
+def test_nodes_of_a_large_batch_are_made_in_pieces():
+    pages = [f"<p>{i}</p>" + "x" * 5000 for i in range(200)] + ["<p>big</p>" + "x" * PIECE, None, ""]
+    pieces = list(shredded(html_nodes, iter([pd.Series(pages)])))
+    sizes = [len(p) for p in pieces]
+    assert max(sizes) <= PIECE // 5000 and sum(sizes) == len(pages)
+    assert [n for p in pieces for n in p.nodes] == [html_nodes(body or "") for body in pages]
