@@ -183,3 +183,22 @@ def test_human_years_round_the_exact_value(evaluate):
     units = {1: "KB", 2: "MB", 3: "GB", 6: "EB"}
     power = [1, 1, 1, 1, 1, 3, 6]
     assert evaluate([str(n) for n in sizes], lambda c: text.human_bytes(c.cast("bigint"))) == [f"{n / 1024**p:.2f} {units[p]}" for n, p in zip(sizes, power)]
+
+
+def _planned(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_letters_of_a_size_are_picked_out_once(spark):
+    sizes = spark.createDataFrame([("1.5 GB",), ("2 furlongs",), ("Размер: 3 МБ",), (None,), ("7",)], "t string")
+    got = sizes.select(coerce.parse_size(F.col("t")).alias("s"))
+    assert [r.s for r in got.collect()] == [1610612736, 0, 3145728, 0, 7]
+    assert _planned(got).count("\\p{L}") == 1
+
+
+def test_a_path_is_resolved_once(spark):
+    refs = spark.createDataFrame([("../a b",), ("/x/./y",), ("?q=1",), ("",), (None,)], "r string")
+    got = refs.select(urls.resolve_url(F.lit("https://s.invalid/d/e/f"), F.col("r")).alias("u"))
+    assert [r.u for r in got.collect()] == ["https://s.invalid/d/a%20b", "https://s.invalid/x/y", "https://s.invalid/d/e/f?q=1", "", ""]
+    assert _planned(got).count("url_encode") + _planned(got).count("UrlCodec, encode") <= 2
+    assert _planned(got).count("[^:/?#]+") <= 10
