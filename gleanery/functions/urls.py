@@ -7,6 +7,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, functions as F
 
+from gleanery.functions.bind import let
 from gleanery.functions.coerce import trim_space
 
 
@@ -48,20 +49,27 @@ def _escape_path(path: Column) -> Column:
 
 def resolve_url(base: Column, ref: Column) -> Column:
     """RFC 3986 resolution of ref against base; empty, absolute and unparseable refs stay as they are."""
-    ref = F.coalesce(ref, F.lit(""))
+    return let(F.coalesce(ref, F.lit("")), lambda r: _resolved(base, r))
+
+
+def _resolved(base: Column, ref: Column) -> Column:
     site = F.concat(_part(base, 1), F.lit("://"), _part(base, 2))
     path, query, fragment = _part(ref, 3), _part(ref, 4), _part(ref, 5)
     suffix = F.concat(query, fragment)
-    base_path = F.when(_part(base, 3) == "", F.lit("/")).otherwise(_part(base, 3))
-    folder = F.regexp_replace(base_path, "[^/]*$", "")
+    folder = let(_part(base, 3), lambda p: F.when(p == "", F.lit("/")).otherwise(F.regexp_replace(p, "[^/]*$", "")))
+
+    def tidy(path: Column) -> Column:
+        # The path is worked out once, however often these read it.
+        return let(let(path, _drop_dots), _escape_path)
+
     unparseable = ref.rlike(r"[\x00-\x1F\x7F]|%(?![0-9A-Fa-f]{2})|^[^/?#]*[^A-Za-z0-9+.\-/?#:][^/?#]*:|^[0-9+.\-:][^/?#]*:")
     return (
         F.when((ref == "") | base.isNull() | unparseable | ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
         .when(ref.startswith("//"), F.concat(_part(base, 1), F.lit(":"), ref))
-        .when(ref.startswith("/"), F.concat(site, _escape_path(_drop_dots(path)), suffix))
+        .when(ref.startswith("/"), F.concat(site, tidy(path), suffix))
         .when(ref.startswith("?"), F.concat(site, _part(base, 3), suffix))
         .when(ref.startswith("#"), F.concat(site, _part(base, 3), _part(base, 4), fragment))
-        .otherwise(F.concat(site, _escape_path(_drop_dots(F.concat(folder, path))), suffix))
+        .otherwise(F.concat(site, tidy(F.concat(folder, path)), suffix))
     )
 
 
