@@ -95,6 +95,24 @@ def test_batch_search_equals_single_searches(spark, store):
         assert sorted((r.rank, r.identity, r.total) for r in got if r.request_id == i) == want
 
 
+def test_batch_search_by_ids_meets_rows_by_the_id(spark):
+    """Ids count only without terms, so searches by terms that differ in ids are one; the others equal single searches."""
+    ids = [("12", ""), ("12", "7"), ("", "7"), ("9", "7"), ("", ""), ("012", "8")]
+    rows = [(f"t{i % 2}", f"k{i}", f"name {i % 3}", datetime(2024, 1, 1 + i % 9) if i % 4 else None, i, [[], [2000]][i % 2], i % 5 == 0, *ids[i % 6]) for i in range(60)]
+    listings = spark.createDataFrame(rows, "tracker string, identity string, name string, published timestamp, id int, categories array<int>, search_managed boolean, imdbid string, tvdbid string")
+    bridge = listings.where("id % 10 = 0").select("tracker", "identity", F.lit("key").alias("search_key"))
+    one, both = {"imdbid": "tt0012"}, {"imdbid": "tt12", "tvdbid": "7"}
+    asked = [([], ["t0", "t1"], one, [], ""), ([], ["t1"], both, [], ""), ([], [], both, ["name 1"], "key"), ([], [], {"tvdbid": ""}, [], ""), (["name"], ["t0"], one, [], ""), (["name"], ["t0"], both, [], "")]
+    requests = spark.createDataFrame([(i, t, [], w, False, m, u, k, 7, i) for i, (t, w, m, u, k) in enumerate(asked)],
+                                     "request_id int, terms array<string>, categories array<string>, trackers array<string>, needs_category boolean, ids map<string,string>, unsearched_terms array<string>, query_key string, limit int, offset int")
+    assert s._canonical(requests.where("request_id > 3"), ["imdbid", "tvdbid"]).select("search").distinct().count() == 1
+    got = s.search_many(requests, listings, bridge=bridge).collect()
+    for i, (terms, trackers, named, unsearched, key) in enumerate(asked):
+        page, total = s.search(listings, s.Query(terms=terms, trackers=trackers, ids=named, unsearched_terms=unsearched, query_key=key, limit=7, offset=i), bridge)
+        want = [(n, r.identity, total.first().total) for n, r in enumerate(page.collect(), start=1)]
+        assert want and sorted((r.rank, r.identity, r.total) for r in got if r.request_id == i) == want
+
+
 def test_a_hot_source_is_written_by_many_tasks(spark, tmp_path):
     store = ListingStore(spark, str(tmp_path / "hot"), buckets=4, rows_per_file=10)
     store.merge(batch(spark, *[dict(name=f"n{i}", tracker="hot") for i in range(95)], dict(name="other", tracker="cold")), F.lit(T0))
