@@ -83,3 +83,27 @@ def test_a_key_that_is_never_idle(spark):
             flight = (i, ts + timedelta(seconds=seconds))
         leaders[i] = flight[0]
     assert {r.attempt_id: r.leader_id for r in h.coalesce_inflight(attempts).collect()} == leaders
+
+
+def test_stream_gate_keeps_many_keys_in_one_state(spark, tmp_path, monkeypatch):
+    """Forty keys over three micro-batches: as many states as buckets, the decisions of a loop."""
+    from gleanery.streaming import gate
+
+    monkeypatch.setattr(gate, "BUCKETS", 4, raising=False)
+    rows = [(i, f"s{i % 10}" if i % 10 else None, f"k{i % 4}", i * 4, i % 3 > 0) for i in range(240)]
+    schema = "request_id bigint, source string, key string, second bigint, ok boolean"
+    for n in range(3):
+        spark.createDataFrame(rows[n * 80:(n + 1) * 80], schema).coalesce(1).write.parquet(str(tmp_path / f"in{n}"))
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
+    asked = arriving.withColumn("ts", F.timestamp_seconds("second"))
+    decided = gate.gate_stream(asked, interval=100, idle_seconds=None).writeStream.format("parquet")
+    run = decided.option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    run.awaitTermination()
+    assert len([p for p in run.recentProgress if p["numInputRows"]]) == 3
+    assert run.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+    last, want = {}, {}
+    for i, source, key, now, ok in rows:
+        want[i] = (source, key) not in last or now - last[source, key] >= 100
+        if want[i] and ok:
+            last[source, key] = now
+    assert {r.request_id: r.accepted for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
