@@ -48,16 +48,16 @@ def _plain_number(v: Column) -> Column:
 
 
 def _one(v: Column) -> Column:
-    return let(F.schema_of_variant(v), lambda kind: _of_kind(v, kind))
+    return let(F.to_json(v), lambda json: _of_json(v, json))
 
 
-def _of_kind(v: Column, kind: Column) -> Column:
-    text = F.try_variant_get(v, "$", "string")
+def _of_json(v: Column, json: Column) -> Column:
+    """Text of a value by the first character of its JSON text, which tells its kind."""
     return (
-        F.when(F.is_variant_null(v), F.lit(""))
-        .when(kind == "BOOLEAN", F.initcap(text))
-        .when(kind == "STRING", text)
-        .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.to_json(v))
+        F.when(F.startswith(json, F.lit('"')), F.try_variant_get(v, "$", "string"))
+        .when(F.startswith(json, F.lit("[")) | F.startswith(json, F.lit("{")), json)
+        .when(json == "null", F.lit(""))
+        .when(json.isin("true", "false"), F.initcap(json))
         .otherwise(_plain_number(v))
     )
 
@@ -77,29 +77,31 @@ def scalar_text(v: Column) -> Column:
     SQL NULL (nothing selected) stays NULL. An array of scalars is read off its own text, so
     nesting has no bound; one that holds objects is joined item by item, an object as its JSON text.
     """
-    return let(v, lambda x: F.when(x.isNotNull(), let(F.schema_of_variant(x), lambda kind: _text(x, kind))))
+    return let(v, lambda x: F.when(x.isNotNull(), let(F.to_json(x), lambda json: _text(x, json))))
 
 
 def _item_text(item: Column) -> Column:
     return (
-        F.when(F.startswith(item, F.lit('"')), F.get_json_object(F.concat(F.lit("["), item, F.lit("]")), "$[0]"))
+        F.when(F.startswith(item, F.lit('"')) & ~F.contains(item, F.lit("\\")), F.substr(item, F.lit(2), F.length(item) - 2))
+        .when(F.startswith(item, F.lit('"')), F.get_json_object(F.concat(F.lit("["), item, F.lit("]")), "$[0]"))
         .when(item.isin("null") | F.startswith(item, F.lit("[")), F.lit(""))
         .when(item.isin("true", "false"), F.initcap(item))
         .otherwise(plain_double(item.try_cast("double")))
     )
 
 
-def _text(v: Column, kind: Column) -> Column:
+def _text(v: Column, whole: Column) -> Column:
     def flat(json: Column) -> Column:
         return F.array_join(F.transform(F.regexp_extract_all(json, F.lit(_ITEM), F.lit(0)), _item_text), ",")
 
+    def item_of(x: Column, json: Column) -> Column:
+        return F.when(F.startswith(json, F.lit("[")) & ~F.contains(json, F.lit("{")), flat(json)).otherwise(F.coalesce(_of_json(x, json), F.lit("")))
+
     def item(x: Column) -> Column:
-        json = F.to_json(x)
-        return F.when(F.startswith(json, F.lit("[")) & ~F.contains(json, F.lit("{")), flat(json)).otherwise(F.coalesce(_one(x), F.lit("")))
+        return let(F.to_json(x), lambda json: item_of(x, json))
 
-    whole = F.to_json(v)
     joined = F.when(F.contains(whole, F.lit("{")), F.array_join(F.transform(array_of(v), item), ",")).otherwise(flat(whole))
-    return F.when(kind.startswith("ARRAY"), joined).otherwise(_of_kind(v, kind))
+    return F.when(F.startswith(whole, F.lit("[")), joined).otherwise(_of_json(v, whole))
 
 
 def value_text(v: Column) -> Column:
@@ -134,6 +136,8 @@ def select(value: Column, selector: str) -> Column:
     """The selected value, SQL NULL when the path or one of the filters does not hold."""
     parsed = read_selector(selector)
     target = lookup(value, parsed.path) if parsed.path.strip() else value
+    if not parsed.tests:
+        return target
     holds = target.isNotNull()
     for name, arg in parsed.tests:
         if name == "has":

@@ -226,11 +226,17 @@ def _json(pages: DataFrame, search: Mapping, env: TemplateEnv, now, charset) ->
         pairs = F.flatten(
             F.transform(pairs, lambda p: F.transform(entries(p["value"]), lambda e: F.struct(p["parent"].alias("parent"), e.alias("value"))))
         )
-    exploded = shaped.withColumn("__rows", _after(pairs, rule["after"])).drop("__doc", "__target", "__quiet", "__items")
-    exploded = exploded.select("*", F.posexplode_outer("__rows").alias("row_no", "__pair")).drop("__rows")
-    value, parent = F.col("__pair.value"), F.col("__pair.parent")
-    row = F.struct(*[_json_field(value, parent, f, env).alias(name) for name, f in _slots(search, env)])
-    return exploded.withColumn("__row", F.when(F.col("row_no").isNotNull(), row)).drop("__pair")
+    slots = _slots(search, env)
+
+    def read_row(pair: Column) -> Column:
+        return F.struct(*[_json_field(pair["value"], pair["parent"], f, env).alias(name) for name, f in slots])
+
+    # Fields and the page's error are settled before they are exploded: a filter on them would otherwise carry all that makes
+    # them down to the scan and have it worked out again there, once for every test.
+    read = shaped.withColumn("__rows", F.transform(_after(pairs, rule["after"]), read_row)).drop("__doc", "__target", "__quiet", "__items")
+    carried = [c for c in read.columns if c != "error"]
+    settled = read.select(*carried, F.explode_outer(F.array("error")).alias("error"))
+    return settled.select("*", F.posexplode_outer("__rows").alias("row_no", "__row")).drop("__rows")
 
 
 # --- fields -----------------------------------------------------------------------------

@@ -245,6 +245,28 @@ def test_selectors_spliced_from_fields_are_refused(spark):
         extract.extract_rows(pages_of(spark, [("s", "https://s.invalid/", "html", "<li>")]), rule, NOW)
 
 
+def test_json_fields_are_settled_before_rows_are_filtered(spark):
+    """A filter on reason or error is not carried to the scan, where it would read the page again for every test."""
+    definition = rules.read_document("""
+id: site
+name: Site
+links: [https://site.invalid/]
+caps: {categorymappings: [{id: 1, cat: TV}]}
+search:
+  paths: [{path: q, response: {type: json}}]
+  rows: {selector: hits}
+  fields: {title: {selector: name}, seeds: {selector: n}}
+""")
+    body = r'{"hits": [{"name": "a", "n": 1.0}, {"name": "q\\", "n": [true, null, "x\n,", [[]], 1e2]}, {"n": 2}, {"name": {"k": 1}, "n": [{"a": false}, [3]]}]}'
+    pages = spark.createDataFrame([(1, "site", "u", "json", body), (2, "site", "u", "json", "{")], "page_id int, source string, url string, format string, body string")
+    out = extract.extract_rows(pages.repartition(2), definition, None)
+    got = [(r.row_no, r.fields["title"], r.fields["seeds"]) for r in extract.kept_rows(out).orderBy("row_no").collect()]
+    assert got == [(0, "a", "1"), (1, 'q\\', "True,,x\n,,,100"), (3, '{"k":1}', '{"a":false},3')]
+    assert [r.error for r in extract.page_errors(out).collect()] == ["invalid JSON response"]
+    plan = extract.kept_rows(out)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "variant" in line.lower()]
+
+
 def test_nodes_of_a_large_batch_are_made_in_pieces():
     pages = [f"<p>{i}</p>" + "x" * 5000 for i in range(200)] + ["<p>big</p>" + "x" * PIECE, None, ""]
     pieces = list(shredded(html_nodes, iter([pd.Series(pages)])))
