@@ -373,3 +373,16 @@ def test_partial_notices_need_their_key_phrase(spark):
     assert got[0].labels == "bsd" and got[0].score == 1.0 and got[0].n_base == 0
     assert got[3].labels == "" and got[4].base_labels == "mit" and got[4].labels == "lgpl,mit,mit-notice"
     assert got[5].labels == "" and got[5].n_words == 5 and (got[6].n_words, got[6].score) == (0, 0.0)
+
+
+def test_few_others_in_a_large_node_meet_its_crowd_at_once(spark):
+    """Every row of another label meets every row of the node in some group; rows of the crowd's label alone meet nowhere."""
+    from gleanery.llm import near_dedup as nd
+
+    rows = spark.range(1200).selectExpr("7L AS node", "1200L AS n", "0L AS crowd", "5L AS others", "id AS c", "if(id < 5, id + 1, 0) AS label")
+    groups = {}
+    for r in nd._blocks(rows).collect():
+        groups.setdefault(r.g, set()).add((r.c, r.label))
+    met = {(a, b) for g in groups.values() for a, label in g if label for b, _ in g}
+    assert met == {(a, b) for a in range(5) for b in range(1200)}
+    assert all(any(label for _, label in g) for g in groups.values()) and len(groups) == 6
