@@ -11,6 +11,9 @@ from gleanery.session import cut_lineage
 
 KEY = ["tracker", "identity"]
 
+#: As many hashes as every task may be told.
+FEW = 2_000_000
+
 
 def identity() -> Column:
     """What tells one listing of a source from another: hash, else details page, else title."""
@@ -69,6 +72,33 @@ def merge_rows(sightings: DataFrame, order: Sequence[str], id_col: str | None =
     )
 
 
+def seen_again(sightings: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """The hashes of keys that more than one of the sightings holds; None if they are too many to tell every task.
+
+    Eight bytes a row are shuffled. Keys of one hash by chance are among them, which costs a merge of two rows that stay two.
+    """
+    hashes = sightings.select(F.xxhash64(*KEY).alias("__hash")).groupBy("__hash").agg(F.count("*").alias("n"))
+    again = keep(hashes.where("n > 1").select("__hash"))
+    return again if again.count() <= FEW else None
+
+
+def held_by(sightings: DataFrame, again: DataFrame, held: bool) -> DataFrame:
+    """Rows whose key has one of the hashes, or none of them, where they lie."""
+    rows = sightings.withColumn("__hash", F.xxhash64(*KEY))
+    return rows.join(F.broadcast(again), "__hash", "left_semi" if held else "left_anti").drop("__hash")
+
+
+def merge_apart(sightings: DataFrame, order: Sequence[str], keep: Callable[[DataFrame], DataFrame], id_col: str | None = None) -> DataFrame:
+    """merge_rows of stored sightings, moving only rows of listings sighted more than once: any other is current as it stands.
+
+    Where too many were sighted again, all rows are merged; the result is the same.
+    """
+    again = seen_again(sightings, keep)
+    if again is None:
+        return merge_rows(sightings, order, id_col)
+    return held_by(sightings, again, False).unionByName(merge_rows(held_by(sightings, again, True), order, id_col))
+
+
 def assign_ids(new: DataFrame, order: Sequence[str], start: int, keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
     """Ids for rows never stored before: above `start`, dense, increasing in `order`.
 

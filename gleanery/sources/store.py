@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gleanery.operators import listings as ops
 from gleanery.schema import LISTING, SEARCHES, check_schema, default_for
-from gleanery.session import Stage, literal_table
+from gleanery.session import Stage, literal_table, shuffles_dropped
 
 BUCKETS = 64
 ROWS_PER_FILE = 5_000_000
+# Rows are not dealt by bucket if files hold this many on average without that.
+LEAST_ROWS = 10_000
 COLUMNS = LISTING.names
 
 
@@ -19,9 +22,11 @@ class ListingStore:
     """Listings under <root>/listings, provenance under <root>/searches, both by bucket.
 
     A bucket is a hash of the source, so a search over named sources opens only their
-    buckets. Rows are merged by an aggregate keyed on (tracker, identity), and a bucket is
-    written by as many tasks as its rows fill files, spread by identity: a source holding a
-    third of all rows is never one task's work.
+    buckets. Rows are merged by an aggregate keyed on (tracker, identity); those that are neither
+    stored nor in the batch twice need none and are not moved for it. A large merge writes
+    rows where they lie; a small one, which would leave crumbs, deals them so that a bucket is
+    written by as many tasks as its rows fill files, spread by identity. Either way a source
+    holding a third of all rows is never one task's work.
 
     A write goes to a staging folder first, since it reads the table it replaces; the staged
     buckets then take the place of the touched ones by renaming. Staging and table share one
@@ -78,25 +83,29 @@ class ListingStore:
 
     # -- writing
 
-    def _replace(self, name: str, content: DataFrame, touched: list[int], order: list[str], moved: bool = True) -> None:
+    def _files(self, name: str, touched: list[int]) -> int:
+        """How many files the touched buckets of a table hold."""
+        folders = [self._fs(f"{self.root}/{name}/bucket={b}") for b in touched]
+        return sum(len(fs.listStatus(p)) for fs, p in folders if fs.exists(p))
+
+    def _replace(self, name: str, content: DataFrame, touched: list[int], order: list[str], pieces: float = math.inf) -> None:
         """Swap the touched buckets of a table for `content`; buckets left without rows disappear.
 
-        Rows that only lost some of their number (not `moved`) lie by bucket already and are written where they were read.
+        pieces: how many files come of `content` at most if it is written where it lies. That is done if they are large enough; 0 for
+        rows that only lost some of their number, which always are.
         """
         target, stage = f"{self.root}/{name}", f"{self.root}/.stage-{name}-{uuid.uuid4().hex}"
         bucketed = content.withColumn("bucket", self._bucket())
-        if moved:
-            # At most one row per touched bucket reaches the driver.
-            files = {r.bucket: -(-r["count"] // self.rows_per_file) for r in bucketed.groupBy("bucket").count().collect()}
-        else:
-            files = {}
-            kept = bucketed.sortWithinPartitions("bucket", *order)
-            kept.write.option("maxRecordsPerFile", self.rows_per_file).partitionBy("bucket").parquet(stage)
-        if files:
-            writers = F.element_at(F.create_map(*[F.lit(int(x)) for pair in files.items() for x in pair]), F.col("bucket"))
+        # At most one row per touched bucket reaches the driver.
+        counts = {r.bucket: r["count"] for r in bucketed.groupBy("bucket").count().collect()} if pieces else {}
+        if pieces * LEAST_ROWS > sum(counts.values()):
+            files = {b: -(-n // self.rows_per_file) for b, n in counts.items()}
+            writers = F.element_at(F.create_map(*[F.lit(int(x)) for pair in files.items() for x in pair]), F.col("bucket")) if files else F.lit(1)
             spread = F.pmod(F.xxhash64("tracker", "identity"), writers)
-            dealt = bucketed.repartition(sum(files.values()), "bucket", spread).sortWithinPartitions("bucket", *order)
-            dealt.write.option("maxRecordsPerFile", self.rows_per_file).partitionBy("bucket").parquet(stage)
+            bucketed = bucketed.repartition(max(sum(files.values()), 1), "bucket", spread)
+        with shuffles_dropped(bucketed.sparkSession):
+            laid = bucketed.sortWithinPartitions("bucket", *order).write.option("maxRecordsPerFile", self.rows_per_file)
+            laid.option("compression", "zstd").partitionBy("bucket").parquet(stage)
         filled = self._filled(stage)
         fs, root = self._fs(target)
         fs.mkdirs(root)
@@ -141,34 +150,41 @@ class ListingStore:
     def _merge(self, arriving: DataFrame, search_key: str, stage: Stage, order: tuple[str, ...]) -> int:
         stored_place = F.array(*[F.lit(0).cast("bigint")] * (len(order) + 1))
         have = set(arriving.columns)
-        fresh = stage.keep(
-            arriving.select(
-                *[(F.col(f.name) if f.name in have else default_for(f)).cast(f.dataType).alias(f.name) for f in LISTING.fields],
-                "__order",
-            )
-        )
+        missing = {f.name: default_for(f).alias(f.name) for f in LISTING.fields if f.name not in have}
+        # Columns that the batch does not carry are added when its rows are written, not moved with them.
+        fresh = stage.keep(arriving.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LISTING.fields if f.name in have], "__order"))
         touched = [r.b for r in fresh.select(self._bucket().alias("b")).distinct().collect()]
         if not touched:
             return 0
-        both = self._part("listings", touched).withColumn("__order", stored_place).unionByName(fresh)
-        merged = stage.keep(ops.merge_rows(both, ["__order"], id_col="id"))
+        stored = self._part("listings", touched).withColumn("__order", stored_place)
+        both = stored.unionByName(fresh.withColumns(missing))
+        again = ops.seen_again(both, stage.keep)
+        merged = stage.keep(ops.merge_rows(both if again is None else ops.held_by(both, again, True), ["__order"], id_col="id"))
+        # A row without an id was sighted in this batch only.
+        known, new = merged.filter("id IS NOT NULL"), merged.filter("id IS NULL").select(*fresh.columns)
+        if again is not None:
+            known = ops.held_by(stored, again, False).unionByName(known)
+            new = ops.held_by(fresh, again, False).unionByName(new)
         highest = self._highest()
-        new = ops.assign_ids(merged.filter("id IS NULL"), ["__order"], highest, stage.keep)
+        new = ops.assign_ids(new, ["__order"], highest, stage.keep)
         added = new.count()
         if added:
             self._record_highest(highest + added)
-        known = merged.filter("id IS NOT NULL")
-        self._replace("listings", known.select(*COLUMNS).unionByName(new.select(*COLUMNS)), touched, ["tracker", "published"])
+        # A file of stored rows gives one at most, one of new rows one to each bucket.
+        held = self._files("listings", touched) if again is not None else len(merged.inputFiles()) * len(touched)
+        pieces = max(held + len(new.inputFiles()) * len(touched), 1)
+        written = known.select(*COLUMNS).unionByName(new.withColumns(missing).select(*COLUMNS))
+        self._replace("listings", written, touched, ["tracker", "published"], pieces)
         if search_key:
             produced = fresh.select("tracker", F.lit(search_key).alias("search_key"), "identity", "last_seen")
-            bridge = ops.merge_searches(self._part("searches", touched), produced)
-            self._replace("searches", bridge, touched, ["tracker", "search_key"])
+            bridge = stage.keep(ops.merge_searches(self._part("searches", touched), produced))
+            self._replace("searches", bridge, touched, ["tracker", "search_key"], max(len(bridge.inputFiles()) * len(touched), 1))
         return added
 
     def _rewrite(self, listings: DataFrame, bridge: DataFrame, touched: list[int]) -> None:
         # Provenance first: a search row must not outlive its listing.
         self._replace("searches", bridge, touched, ["tracker", "search_key"])
-        self._replace("listings", listings, touched, ["tracker", "published"], moved=False)
+        self._replace("listings", listings, touched, ["tracker", "published"], pieces=0)
 
     def prune(self, cutoff: Column) -> int:
         """Apply retention; only buckets that hold something expired are rewritten. Returns rows removed."""

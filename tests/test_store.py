@@ -174,3 +174,42 @@ def test_a_merge_leaves_nothing_but_its_tables(spark, tmp_path):
     assert store.merge(batch(spark, dict(name="a"), dict(name="b", tracker="other")), F.lit(T0), "key") == 2
     assert store.merge(batch(spark, dict(name="a"), dict(name="c")), F.lit(T1)) == 1
     assert held() == before and not list((tmp_path / "lean").glob(".stage*"))
+
+
+def test_a_merge_moves_only_rows_met_again(spark, tmp_path, monkeypatch):
+    """Stored rows that no row of the batch meets, and rows met by none, are not merged; the table is the same as if all were."""
+    from gleanery.operators import listings as ops
+    from gleanery.sources import store as module
+
+    first = [dict(name=f"n{i}", tracker=f"t{i % 3}", published=T0 if i % 2 else None) for i in range(30)] + [dict(name="twice"), dict(name="twice", size=7)]
+    then = [dict(name="n4", tracker="t1", size=9), dict(name="n0", tracker="other"), dict(name="new", tracker="t0"), dict(name="new", tracker="t0", size=3)]
+    merge_rows, found = ops.merge_rows, []
+    for few, least in ((ops.FEW, module.LEAST_ROWS), (ops.FEW, 0), (0, 0)):
+        met = []
+        monkeypatch.setattr(ops, "FEW", few)
+        monkeypatch.setattr(module, "LEAST_ROWS", least)
+        monkeypatch.setattr(ops, "merge_rows", lambda df, *a, **k: met.append(df.count()) or merge_rows(df, *a, **k))
+        store = ListingStore(spark, str(tmp_path / f"{few}-{least}"), buckets=4)
+        assert store.merge(batch(spark, *first), F.lit(T0)) == 31 and store.merge(batch(spark, *then), F.lit(T1), "key") == 2
+        assert met == ([2, 4] if few else [32, 35])
+        found.append((sorted(store.listings().collect(), key=lambda r: r.id), sorted(store.searches().collect())))
+    assert found[0] == found[1] == found[2] and [r.id for r in found[0][0]] == list(range(1, 34))
+    assert {r.name: r.size for r in found[0][0] if r.tracker in ("t0", "alpha")}["new"] == 3
+
+
+def test_shuffles_of_a_written_step_are_gone(spark, tmp_path):
+    import glob
+    import tempfile
+    import time
+
+    from gleanery.session import write_step
+
+    files = lambda: set(glob.glob(f"{tempfile.gettempdir()}/blockmgr-*/*/shuffle_*.data"))
+    before, step = files(), spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    write_step(step, str(tmp_path / "step"))
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before
+    assert sorted(step.collect()) == sorted(spark.read.parquet(str(tmp_path / "step")).collect())
