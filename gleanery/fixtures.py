@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleanery.operators import taxonomy
-from gleanery.operators.listings import identity, merge_rows
-from gleanery.session import literal_table, shared_path
+from gleanery.operators.listings import identity, merge_apart, merge_rows
+from gleanery.session import Stage, literal_table, shared_path, write_step
 
 SEQ = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
@@ -102,8 +102,11 @@ def sightings(spark: SparkSession, sf_dir: str, with_categories: bool = True, li
 
 def merged_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue merged from all sightings; `id` is the first sighting's place in SEQ order, as a struct."""
-    seen = sightings(spark, sf_dir).withColumn("id", F.struct(*SEQ)).drop("search_key", *SEQ)
-    return merge_rows(seen, ["id"], id_col="id")
+    return merge_rows(_placed_sightings(spark, sf_dir), ["id"], id_col="id")
+
+
+def _placed_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sightings(spark, sf_dir).withColumn("id", F.struct(*SEQ)).drop("search_key", *SEQ)
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,7 +140,9 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CATALOGUES:
         path = shared_path(spark, "catalogue")
-        merged_listings(spark, sf_dir).sortWithinPartitions("tracker", "published").write.parquet(path)
+        with Stage(spark, "sightings") as stage:
+            merged = merge_apart(stage.keep(_placed_sightings(spark, sf_dir)), ["id"], stage.keep, id_col="id")
+            write_step(merged.sortWithinPartitions("tracker", "published"), path)
         _CATALOGUES[key] = path
     return spark.read.parquet(_CATALOGUES[key])
 

@@ -213,3 +213,19 @@ def test_shuffles_of_a_written_step_are_gone(spark, tmp_path):
         time.sleep(0.2)
     assert not files() - before
     assert sorted(step.collect()) == sorted(spark.read.parquet(str(tmp_path / "step")).collect())
+
+
+def test_the_catalogue_moves_only_listings_sighted_again(spark, sf_dir, monkeypatch):
+    """Of all sightings only those that share a listing are merged; the rows are those of a merge of all."""
+    from gleanery import fixtures as fx
+    from gleanery.operators import listings as ops
+
+    merge_rows, met, found = ops.merge_rows, [], []
+    for few in (ops.FEW, 0):
+        monkeypatch.setattr(fx, "_CATALOGUES", {})
+        monkeypatch.setattr(ops, "FEW", few)
+        monkeypatch.setattr(ops, "merge_rows", lambda df, *a, **k: met.append(df.count()) or merge_rows(df, *a, **k))
+        rows = fx.listings(spark, sf_dir)
+        found.append(sorted(rows.select(F.to_json(F.struct(*sorted(rows.columns)))).toPandas().iloc[:, 0]))
+    everything = fx.table(spark, sf_dir, "lineitem").count()
+    assert found[0] == found[1] and 0 < met[0] < everything == met[1]
