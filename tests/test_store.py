@@ -229,3 +229,24 @@ def test_the_catalogue_moves_only_listings_sighted_again(spark, sf_dir, monkeypa
         found.append(sorted(rows.select(F.to_json(F.struct(*sorted(rows.columns)))).toPandas().iloc[:, 0]))
     everything = fx.table(spark, sf_dir, "lineitem").count()
     assert found[0] == found[1] and 0 < met[0] < everything == met[1]
+
+
+def test_batch_search_moves_a_row_once(spark, monkeypatch):
+    """What the order, the answer and the name share is dealt once, and the order's own columns are not stored."""
+    rows = [("t0", f"k{i}", f"Name {i % 3}", datetime(2024, 1, 1 + i % 9), i, [2000]) for i in range(30)]
+    listings = spark.createDataFrame(rows, "tracker string, identity string, name string, published timestamp, id int, categories array<int>")
+    requests = spark.createDataFrame([(1, ["name 1"], [], [], False, 4, 2)], "request_id int, terms array<string>, categories array<string>, trackers array<string>, needs_category boolean, limit int, offset int")
+    placed, seen = s._placed, []
+
+    def watched(*args):
+        found = placed(*args)
+        seen.append((args[0].columns, found.columns))
+        return found
+
+    monkeypatch.setattr(s, "_placed", watched)
+    got = sorted((r["rank"], r.identity, r.total) for r in s.search_many(requests, listings).collect())
+    page, _ = s.search(listings, s.Query(terms=["name 1"], limit=4, offset=2))
+    assert got == [(n, r.identity, 10) for n, r in enumerate(page.collect(), start=1)]
+    (dealt, stored), = seen
+    assert sorted(dealt) == ["_id", "_identity", "_name", "_published", "cats", "managed", "tracker"]
+    assert sorted(stored) == ["cats", "cell", "folded", "managed", "place", "row", "tracker"]
